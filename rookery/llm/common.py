@@ -58,3 +58,9 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, left_id: str
     )
     spread = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of few rows, so that a batch of very long texts still fits a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,7 +1,7 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from rookery.llm import exact_dedup, mixing
+from rookery.llm import bpe, exact_dedup, mixing
 
-MODULES = (mixing, exact_dedup)
+MODULES = (mixing, exact_dedup, bpe)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
