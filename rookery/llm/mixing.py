@@ -27,7 +27,7 @@ MOST = 2
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8_192
 #: Documents are ordered within chunks of about so many rows, so that no source is ordered by one task.
-CHUNK_ROWS = 4_096
+CHUNK_ROWS = 512
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 16
 #: The unit interval of the draws is cut into so many bins, to find a draw's source by an equal join.
@@ -127,7 +127,7 @@ def mix_sources(
     else:
         drawn = _draws(quotas.select("source_no", "_quota"), slots, shard_slots, seed).join(quotas.select("source_no", "_blocks"), "source_no")
         picks = (
-            drawn.select("shard", "source_no", "_blocks", F.explode(F.expr("sequence(_from, _from + _n - 1)")).alias("slot"))
+            drawn.repartition("shard", "source_no").select("shard", "source_no", "_blocks", F.explode(F.expr("sequence(_from, _from + _n - 1)")).alias("slot"))
             .withColumn("pass", F.expr("slot div _blocks"))
             .withColumn("_place", F.expr("slot % _blocks"))
             .withColumn("block", permuted("_place", "_blocks", f"{seed}, source_no, pass"))
