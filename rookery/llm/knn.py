@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rookery.llm.common import written
 
 #: Vectors of a shard and queries of a block, about; vectors of a leaf.
-SHARD_ROWS, BLOCK_QUERIES, LEAF = 8_192, 2_048, 256
+SHARD_ROWS, BLOCK_QUERIES, LEAF = 4_096, 2_048, 256
 SCALE, K, EVERY = 256, 5, 50
 #: Products of numbers up to this size add up exactly in a double.
 EXACT = 1 << 22
@@ -144,7 +144,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     blocks = max(1, -(-asked.count() // block_queries))
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
     asked = asked.withColumn("home", home).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)))
-    dealt = points.select("vec_id", "v", home.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block")).groupBy("shard", "block")
+    dealt = points.select("vec_id", "v", home.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).groupBy("shard", "block")
     no_floor = [F.lit(None).cast("long").alias("floor_score"), F.lit(None).cast("long").alias("floor_id")]
     schema = "query_id long, vec_id long, score long"
     q = F.col("vec_id").alias("query_id")
@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     if shards > 1:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         kth = at_home.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("floor_score"), F.col("vec_id").alias("floor_id"))
-        away = asked.join(kth, F.col("vec_id") == F.col("_q"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long")).filter("shard <> home")
+        away = asked.join(kth, F.col("vec_id") == F.col("_q"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).filter("shard <> home")
         rest = dealt.cogroup(away.select(q, "v", "shard", "block", "floor_score", "floor_id").groupBy("shard", "block")).applyInArrow(_searched(k), schema)
         at_home = at_home.unionByName(rest)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,7 +1,7 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from rookery.llm import bpe, exact_dedup, gam, jaccard_join, mixing, pii, warc
+from rookery.llm import bpe, exact_dedup, gam, jaccard_join, knn, mixing, pii, warc
 
-MODULES = (pii, mixing, jaccard_join, warc, exact_dedup, bpe, gam)
+MODULES = (pii, mixing, jaccard_join, knn, warc, exact_dedup, bpe, gam)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
