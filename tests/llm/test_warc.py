@@ -15,7 +15,7 @@ def through(spark, pages, folder, least_bytes=0):
     archives = warc.write_archives(warc.deduplicated(pages, least_bytes=least_bytes), f"{folder}/streams").collect()
     files = spark.createDataFrame([(r.archive, r.records) for r in archives], "archive string, records long")
     normal = warc.normalise(files, f"{folder}/members").collect()
-    made = spark.createDataFrame([(r.archive, r.index, r.records) for r in normal], "archive string, index string, records long")
+    made = spark.createDataFrame([(r.archive, r["index"], r.records) for r in normal], "archive string, index string, records long")
     return warc.read_records(made, str(folder)).collect(), normal
 
 
