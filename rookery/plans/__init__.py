@@ -1,5 +1,6 @@
 """Plans: one registered query for each operator, over the driver's tables."""
 
+from rookery.plans import postings  # noqa: F401  registers its queries
 from rookery.plans.registry import ORACLES, QUERIES
 
 
