@@ -17,6 +17,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACES = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,6 +27,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base)]))
+
+
 def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
     held, size = [], 0
     for text in texts:
@@ -48,10 +53,9 @@ def _sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     before = np.concatenate([[False], word])
     start = np.flatnonzero(word & (fresh[:-1] | ~before[:-1]))
     end = np.flatnonzero(word & (fresh[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-    # the polynomial of a word's bytes, as a difference of running sums scaled to one common end
-    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), _BASE)]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[:-1])])
-    words = mixed((sums[end] - sums[start]) * powers[len(data) - start])
+    # the polynomial of a word's bytes, as a difference of running sums divided by the power at its start: the same wherever the word stands
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_BASE, len(data))[:-1])])
+    words = mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(data))[start])
     at = np.searchsorted(start, first)
     runs = max(0, len(words) - width + 1)
     shingle = np.zeros(runs, np.uint64)
