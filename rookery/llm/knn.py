@@ -10,7 +10,7 @@ Queries meet shards in blocks: a task has one shard and one block of queries, bo
 
 Ties go to the smaller id. A query never meets its own id, nor rows that repeat it. Vectors that are null, or hold null or non-finite components, take no part; nor do
 null ids. Vectors of another length than the query's score over the components that both have. Scores beyond 64 bits stop at the
-limits of long. Extra columns are ignored.
+limits of long before they are ranked. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,6 +78,8 @@ class Tree:
                 continue
             rows = self.rows[node]
             scores, ids = self.points[rows] @ query, self.ids[rows]
+            if scores.dtype == object:
+                scores = np.clip(scores, *LONG)
             take = ids != query_id
             if kth is not None:
                 take &= scores >= kth[0]
@@ -125,7 +127,7 @@ def _searched(k: int):
             for score, minus in tree.search(q, query_id, bound, k, None if score is None else (score, -id_)):
                 out["query_id"].append(query_id)
                 out["vec_id"].append(-minus)
-                out["score"].append(min(LONG[1], max(LONG[0], int(score))))
+                out["score"].append(int(score))
         return pa.Table.from_pydict(out, schema=FOUND)
 
     return run

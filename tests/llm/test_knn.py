@@ -16,8 +16,9 @@ def brute(vectors, queries, k):
     for q, v in queries:
         if q is None or not ok(v):
             continue
-        best = sorted((-sum(a * b for a, b in zip(floor(v), w)), i) for i, w in rows if i != q)[:k]
-        out += [(q, rank + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for rank, (s, i) in enumerate(best)]
+        score = lambda w: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(floor(v), w))))  # noqa: E731, B023
+        best = sorted((-score(w), i) for i, w in rows if i != q)[:k]
+        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
     return sorted(out)
 
 
