@@ -28,6 +28,8 @@ BLOCK_WORDS = 128
 SHARD_SLOTS = 8_192
 #: Documents are ordered within chunks of about so many rows, so that no source is ordered by one task.
 CHUNK_ROWS = 512
+#: Slots are numbered and permuted in tasks of about so many.
+SLOTS_PER_TASK = 50_000
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 16
 #: The unit interval of the draws is cut into so many bins, to find a draw's source by an equal join.
@@ -127,13 +129,14 @@ def mix_sources(
     else:
         drawn = _draws(quotas.select("source_no", "_quota"), slots, shard_slots, seed).join(quotas.select("source_no", "_blocks"), "source_no")
         picks = (
-            drawn.repartition("shard", "source_no").select("shard", "source_no", "_blocks", F.explode(F.expr("sequence(_from, _from + _n - 1)")).alias("slot"))
+            drawn.repartition(max(1, -(-slots // SLOTS_PER_TASK)), "shard", "source_no").select("shard", "source_no", "_blocks", F.explode(F.expr("sequence(_from, _from + _n - 1)")).alias("slot"))
             .withColumn("pass", F.expr("slot div _blocks"))
             .withColumn("_place", F.expr("slot % _blocks"))
             .withColumn("block", permuted("_place", "_blocks", f"{seed}, source_no, pass"))
             .select("shard", "source_no", "slot", "pass", "block")
         )
-    return told, picks.join(pieces, ["source_no", "block"])
+    # both sides grow with the data, and the counts that picks are made from look small enough to broadcast
+    return told, picks.join(pieces.hint("merge"), ["source_no", "block"])
 
 
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
