@@ -10,10 +10,11 @@ same set are one class and join once. Then:
    rarer one wins. Documents as first pivots would not divide anything, since nearly all sets are at distance 1 from nearly all
    others. A linking partner of x shares one of the first n - ceil(similarity * n) + 1 shingles of x in the common order (rarest
    first), so these are the Voronoi regions to which x is copied: its own and those at whose boundary it may have partners.
-3. In each region the member of the lowest rank is the pivot; every member's distance to it is computed, members within r link
+3. In each region the member of the lowest rank is the pivot; every member is measured against it, and members within r link
    to it and form its cell. Regions whose members are all connected need nothing more.
-4. Other regions join recursively: split into blocks by the distance to the pivot, and only blocks whose distances are within r
-   of each other meet (triangle inequality); within them only pairs of different components and within that window are compared.
+4. Other regions join recursively: those that share members form a cluster, which is cut into blocks; any two blocks meet in a task,
+   with a pivot of their own, and only pairs of different components that share a region and whose distances to that pivot are
+   within r of each other (triangle inequality) are compared.
 
 Components follow from the links by label propagation with pointer jumping. No group of documents is ever in one task
 unless its size is bounded; no pairs are dropped.
@@ -40,8 +41,8 @@ from rookery.llm.shingles import mixed, shingle_sets
 WIDTH, PERCENT = 5, 75
 #: A batch of the first step is sent when it has so many shingles or texts; a bucket gets about so many fingerprints.
 FLUSH_SHINGLES, FLUSH_TEXTS, BUCKET_SHINGLES, LEAST_BUCKETS = 1_500_000, 60_000, 1_500_000, 64
-#: Members of a block of the last step, and steps of the distance by which blocks are cut.
-BLOCK, DISTANCE_STEPS = 256, 40
+#: Members of a block of the last step.
+BLOCK = 512
 NOBODY = 0xFFFF
 PROBES = 3
 
@@ -217,45 +218,73 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of (a, b) pairs of nodes."""
+    """(a, b, linked) of (a, b) pairs of nodes."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b"))
     joined = pairs.join(right, "b").join(left, "a").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     joined = joined.withColumn("_any", F.size("_a") + F.size("_b") - F.col("_both"))
-    return joined.select("a", "b", (1 - F.col("_both") / F.col("_any")).alias("distance"), (100 * F.col("_both") >= percent * F.col("_any")).alias("linked"))
+    return joined.select("a", "b", (100 * F.col("_both") >= percent * F.col("_any")).alias("linked"))
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
 
 
 def _block_links(percent: int):
-    reach = (100 - percent) / 100
+    """Joins a block of a cluster with itself or another one: pairs of different components that share a region and that no bound tells apart."""
+    reach = (100 - percent) / 100 + 1e-9
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        sets = [np.asarray(r["hashes"], dtype=np.int64) for r in rows]
-        root = {r["label"]: r["label"] for r in rows}
+        links: list[dict] = []
+        node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+        same_block = len(np.unique(block)) == 1
+        if same_block and table.column("b1")[0] != table.column("b2")[0]:
+            return pa.Table.from_pylist(links, LINKS)
+        sets = [np.sort(x.values.to_numpy()) for x in table.column("hashes")]
+        sizes = np.array([len(x) for x in sets])
+        regions: dict[int, list[int]] = {}
+        for i, hs in enumerate(table.column("regions").to_pylist()):
+            for h in hs:
+                regions.setdefault(h, []).append(i)
+        meet = np.zeros((len(node), len(node)), bool)
+        for members in regions.values():
+            meet[np.ix_(members, members)] = True
+        meet &= label[:, None] != label[None, :]
+        if not same_block:
+            meet &= block[:, None] != block[None, :]
+        meet &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+        # distances to the member that meets most others: pairs whose distances differ by more than the reach can't link
+        pivot = int(meet.sum(1).argmax())
+        both = np.array([_shared(x, sets[pivot]) for x in sets])
+        distance = 1 - both / (sizes + sizes[pivot] - both)
+        meet &= np.abs(np.subtract.outer(distance, distance)) <= reach
+        root = {x: x for x in label.tolist()}
 
         def top(x):
             while root[x] != x:
+                root[x] = root[root[x]]
                 x = root[x]
             return x
 
-        links = []
-        for i, x in enumerate(rows):
-            for j in range(i):
-                y = rows[j]
-                if x["b1"] != x["b2"] and x["block"] == y["block"]:
-                    continue
-                few, many = sorted((len(sets[i]), len(sets[j])))
-                if 100 * few < percent * many or abs(x["distance"] - y["distance"]) > reach + 1e-9 or top(x["label"]) == top(y["label"]):
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (few + many - both):
-                    links.append({"a": x["node"], "b": y["node"]})
-                    root[top(x["label"])] = top(y["label"])
-        return pa.Table.from_pylist(links, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(meet, 1)))):
+            if top(label[i]) != top(label[j]):
+                n = _shared(sets[i], sets[j])
+                if 100 * n >= percent * (sizes[i] + sizes[j] - n):
+                    links.append({"a": int(node[i]), "b": int(node[j])})
+                    root[top(label[i])] = top(label[j])
+        return pa.Table.from_pylist(links, LINKS)
 
     return run
 
 
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     """Enough links between nodes to connect all that are connected."""
     shingles = sets.select("node", "n", F.explode("hashes").alias("h"))
@@ -277,22 +306,19 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     spokes = written(_measured(pairs, sets, percent), "spokes")
     stars = spokes.filter("linked").select("a", "b")
     labels = components(stars)
-    # what isn't connected yet: regions with members of several components
-    told = placed.join(spokes.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance"), ["node", "pivot"], "left").join(labels, "node", "left")
-    told = told.select("h", "node", "members", F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("label", "node").alias("label"))
-    told = written(told, "told")
+    # what isn't connected yet: regions with members of several components. Regions that share members form a cluster, so that a set is
+    # sent to its cluster's task once, and not to every region's
+    told = written(placed.join(labels, "node", "left").select("h", "node", "pivot", "members", F.coalesce("label", "node").alias("label")), "told")
     split = told.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_members")).filter("_lo <> _hi")
-    apart = attach(told, split.select("h", "_members"), "h", "_members", "node", told.count()).filter("_members IS NOT NULL")
-    step = F.floor(F.col("distance") * DISTANCE_STEPS)
-    parts = F.ceil(F.col("members") / BLOCK)
-    block = F.when(F.col("members") <= BLOCK, F.lit(0)).otherwise(step * (1 << 32) + F.pmod(F.xxhash64("node"), parts))
-    apart = written(apart.withColumn("block", block.cast("long")).withColumn("step", F.when(F.col("members") <= BLOCK, F.lit(0)).otherwise(step)).select("h", "node", "distance", "label", "block", "step"), "apart")
-    blocks = apart.select("h", "block", "step").distinct()
-    other = blocks.select("h", F.col("block").alias("b2"), F.col("step").alias("_s2"))
-    meet = blocks.select("h", F.col("block").alias("b1"), F.col("step").alias("_s1")).join(other, "h").filter((F.col("b1") <= F.col("b2")) & (F.abs(F.col("_s1") - F.col("_s2")) <= DISTANCE_STEPS * (100 - percent) // 100 + 1))
-    sides = meet.select("h", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-    dealt = apart.join(sides, ["h", "block"]).join(sets.select("node", "hashes"), "node")
-    late = dealt.select("h", "b1", "b2", "block", "node", "label", "distance", "hashes").groupBy("h", "b1", "b2").applyInArrow(_block_links(percent), "a long, b long")
+    apart = written(attach(told, split.select("h", "_members"), "h", "_members", "node", told.count()).filter("_members IS NOT NULL").select("h", "node", "pivot", "label"), "apart")
+    clusters = components(apart.filter("node <> pivot").select("node", "pivot").distinct(), "node", "pivot").select("node", F.col("label").alias("cluster"))
+    nodes = written(apart.groupBy("node").agg(F.first("label").alias("label"), F.collect_set("h").alias("regions")).join(clusters, "node"), "nodes")
+    parts = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    cut = attach(nodes, parts, "cluster", "size", "node", nodes.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # every two blocks of a cluster meet in a task of their own, of two blocks at most
+    meet = cut.join(sets.select("node", "hashes"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meet = meet.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label", "regions", "hashes")
+    late = meet.groupBy("cluster", "b1", "b2").applyInArrow(_block_links(percent), "a long, b long")
     return stars.unionByName(written(late, "late"))
 
 
