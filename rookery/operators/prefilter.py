@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rookery.functions.text import company_key
+from rookery.functions.text import GENERIC, company_key
 from rookery.operators.places import workplace
 from rookery.operators.titles import has_term, match_title
 
@@ -28,12 +30,21 @@ class Preferences:
     remote: str = "rank_lower"  # or include, exclude
 
 
+def folded(name: str) -> str:
+    """company_key of a name that the driver holds."""
+    plain = unicodedata.normalize("NFKD", name.lower()).encode("ascii", "ignore").decode().replace("&", " and ")
+    words = re.sub(rf"\b({GENERIC})\b", " ", re.sub("[^a-z0-9]+", " ", plain))
+    return " ".join(words.split())
+
+
 def company_blocked(company: Column, blocked: list[str]) -> Column:
     """A blocked name as whole words of the company's, or anywhere in it without spaces if it has five letters or more."""
     key = company_key(company)
     found = F.lit(False)
     for name in blocked:
-        plain = "".join(c for c in name.lower() if c.isalnum() or c == " ").strip()
+        plain = folded(name)
+        if not plain:
+            continue
         found = found | key.rlike(rf"(^| ){plain}( |$)")
         if len(plain.replace(" ", "")) >= 5:
             found = found | F.contains(F.replace(key, F.lit(" "), F.lit("")), F.lit(plain.replace(" ", "")))

@@ -28,7 +28,7 @@ def test_rules_in_order(spark):
     rows = [("Sales Engineer", "Evil", "Austin, TX", ""), ("Engineer", "The Evil Corp Group", "Austin, TX", ""), ("Sales Engineer", "A", "London", ""), ("Engineer", "A", "London", ""), ("Engineer", "A", "Remote", ""), ("Chef", "A", "Austin, TX", ""), ("Engineer intern", "A", "Austin, TX", ""), ("Engineer", "A", "Austin, TX", "needs clearance"), ("Engineer", "A", "Austin, TX", "")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, title string, company string, location string, description string")
     got = {r.i: r.reason for r in prefilter.classify(df, p).collect()}
-    assert list(got.values()) == ["title excluded", "title excluded", "title excluded", "location", "remote", "no role", "seniority", "content", None] or got[1] == "company"
+    assert [got[i] for i in range(len(rows))] == ["company", "company", "title excluded", "location", "remote", "no role", "seniority", "content", None]
 
 
 def test_components_of_a_chain(spark):
