@@ -52,7 +52,8 @@ def decode_entities(text: Column) -> Column:
 def html_to_text(html: Column, most: int = MAX_DESCRIPTION) -> Column:
     """Scripts and styles go, block tags break lines, other tags go, entities are decoded, lines are tidied."""
     text = F.coalesce(html, F.lit(""))
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    for name in ("script", "style"):
+        text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
     text = F.regexp_replace(text, rf"(?i)</?({BLOCK_TAGS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", " ")
     return description(F.regexp_replace(decode_entities(text), r"\n[ \t]+", "\n"), most)

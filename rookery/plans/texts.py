@@ -48,7 +48,28 @@ def careers(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(urls.careers_links(F.col("html"))).alias("n"))
 
 
-@query("html_to_text")
+def _decoded(sql: str) -> str:
+    """The entities of text.decode_entities, in SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    numbers = {"#39": "'", "#34": '"', "#160": " ", "#8211": "–", "#8217": "’", "#38": "&"}
+    for name, to in [*list(text.ENTITIES.items())[:-1], *numbers.items(), ("amp", "&")]:
+        sql = f"replace({sql}, '&{name};', {quoted(to)})"
+    return sql
+
+
+def _described(sql: str) -> str:
+    """text.description, in SQL."""
+    sql = f"replace({sql}, chr(13) || chr(10), chr(10))"
+    for pattern, to in ((r"[ \t]+\n", "chr(10)"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
+        sql = f"regexp_replace({sql}, '{pattern}', {to}, 'g')"
+    return f"substr({sql}, 1, {text.MAX_DESCRIPTION})"
+
+
+_STRIPPED = r"regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g')"
+_TEXT = rf"regexp_replace(regexp_replace({_STRIPPED}, '(?i)</?({text.BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+
+
+@query("html_to_text", "SELECT page_id, " + _described(rf"regexp_replace({_decoded(_TEXT)}, '\n[ \t]+', chr(10), 'g')") + " AS text FROM pages")
 def html_to_text(spark, sf_dir):
     """The readable text of every page."""
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
