@@ -64,3 +64,18 @@ def dead_boards(checks: DataFrame, key: str, at: str, gone: str, most: int = 3)
 def completed_prefix(steps: DataFrame, group: str, index: str, done: str) -> DataFrame:
     """How many steps from the first on are done without a gap."""
     return steps.groupBy(group).agg(F.coalesce(F.min(F.when(~F.col(done), F.col(index))), F.max(index) + 1).alias("cursor"))
+
+
+def unit(requested_until: Column, covered: Column, status: Column) -> Column:
+    """Up to when a unit is covered: as it says, else what was asked for if it is complete."""
+    return F.coalesce(covered, F.when(status == "complete", requested_until))
+
+
+def clamp(since: Column, fetched_from: Column) -> Column:
+    """(since, gap_days): a window can't begin before what was fetched; the days between are reported as a gap."""
+    return F.struct(F.greatest(since, fetched_from).alias("since"), F.greatest(F.lit(0), F.datediff(fetched_from, since)).alias("gap_days"))
+
+
+def run_windows(units: DataFrame, key: str, since: str) -> DataFrame:
+    """One window a key, from the earliest day that any of its units asks for; without one it is unbounded."""
+    return units.groupBy(key).agg(F.min(since).alias("since"), F.count(F.lit(1)).alias("units"), F.min(since).isNull().alias("unbounded"))

@@ -41,3 +41,22 @@ def fallback(heuristic: Column) -> Column:
 def decision(status: Column, score: Column, least: float) -> Column:
     """Only what a model or the cache scored is published or rejected by the threshold."""
     return F.when(~status.isin("model", "cache") | score.isNull(), "unscored").when(score >= least, "eligible").otherwise("below_threshold")
+
+
+def cache_key(*parts: Column) -> Column:
+    """SHA-256 of what a score depends on: prompt, schema, model, brief, the posting as it is shown."""
+    return F.sha2(F.concat_ws("\n", *parts), 256)
+
+
+def fresh(scored_at: Column, now: Column, hours: int) -> Column:
+    """Whether a cached score may still be used."""
+    return scored_at >= now - F.expr(f"INTERVAL {hours} HOURS")
+
+
+def deadline_ms(postings: Column, batch: int, at_once: int, each_ms: int) -> Column:
+    return (F.ceil(F.ceil(postings / batch) / at_once) * each_ms).cast("long")
+
+
+def rate_limited(calls: DataFrame, by: str) -> DataFrame:
+    """Two calls or more that all failed fast look like a limit."""
+    return calls.groupBy(by).agg(((F.count(F.lit(1)) >= 2) & F.bool_and((F.col("status") == "error") & (F.col("ms") < 15_000))).alias("limited"))

@@ -71,3 +71,16 @@ def test_sheet_round_trip(spark, tmp_path):
     (tmp_path / "s.csv").write_text('Job Title,Notes\n"a ""q""","line\nbreak"\n ,\n x ,y\n')
     got = files.read_sheet(spark, f"file://{tmp_path}/s.csv").collect()
     assert [tuple(r) for r in got] == [('a "q"', "line\nbreak"), ("x", "y")] and got[0].__fields__ == ["job_title", "notes"]
+
+
+def test_signed_links(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    from rookery.functions import signing
+
+    for secret in (b"k", b"long" * 40):
+        assert one(spark, signing.hmac_sha256(F.col("s"), secret), s="é message") == hmac.new(secret, "é message".encode(), hashlib.sha256).hexdigest()
+    link = one(spark, signing.signed_link(F.lit("u"), F.lit("add"), F.col("s"), F.lit(9), b"k"), s="7")
+    assert link == "u?action=add&id=7&exp=9&sig=" + base64.urlsafe_b64encode(hmac.new(b"k", b"add.7.9", hashlib.sha256).digest()).decode().rstrip("=")
