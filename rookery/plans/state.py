@@ -13,12 +13,12 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
 
-@query("recovered_observations", """WITH o AS (SELECT ts::DATE AS run, user_id AS url, event_id AS "at", event_type FROM events WHERE ts::DATE NOT IN (SELECT ts::DATE FROM events WHERE value > 99.9 AND event_type = 'signup'))
+@query("recovered_observations", """WITH o AS (SELECT ts::DATE AS run, user_id AS url, event_id AS "at", event_type FROM events WHERE ts::DATE NOT IN (SELECT ts::DATE FROM events WHERE event_id % 997 = 0))
   SELECT url, max_by(run, ("at", run)) AS run, max("at") AS "at", max_by(event_type, ("at", run)) AS event_type FROM o GROUP BY 1""")
 def recovered_observations(spark, sf_dir):
     e = _events(spark, sf_dir)
     o = e.select(F.to_date("ts").alias("run"), F.col("user_id").alias("url"), F.col("event_id").alias("at"), "event_type")
-    done = e.filter("value > 99.9 AND event_type = 'signup'").select(F.to_date("ts").alias("run"))
+    done = e.filter("event_id % 997 = 0").select(F.to_date("ts").alias("run"))
     return ledger.recovered(o, done, "run", "url", "at")
 
 
