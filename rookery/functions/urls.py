@@ -96,3 +96,18 @@ CAREERS = r"(?i)(^|[^a-z])(careers?|jobs?|join-us|work-with-us|openings?|vacanci
 def careers_links(html: Column) -> Column:
     """Distinct links whose target speaks of careers, in page order."""
     return F.array_distinct(F.filter(links(html), lambda x: x.rlike(CAREERS)))
+
+
+def board_slug(url: Column) -> Column:
+    """The first segment of the path, decoded and cut at what can't be part of it; null if there is none."""
+    return F.nullif(F.regexp_replace(F.try_url_decode(F.regexp_extract(path(url), r"^/+([^/?#&=]+)", 1)), r"[?#&=].*$", ""), F.lit(""))
+
+
+def record_key(url: Column, board: Column, name: Column) -> Column:
+    """What tells companies of lists apart: their site, else their board, else their name."""
+    return F.coalesce(F.concat(F.lit("site:"), site_key(url)), F.concat(F.lit("board:"), F.lower(F.nullif(board, F.lit("")))), F.concat(F.lit("name:"), F.lower(F.nullif(name, F.lit("")))))
+
+
+def fingerprint(*parts: Column, length: int = 16) -> Column:
+    """A short hash of values, the same for the same values in the same order."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), 1, length)

@@ -1,6 +1,6 @@
 """Plans: one registered query for each operator, over the driver's tables."""
 
-from rookery.plans import decisions, postings, runs, state, texts  # noqa: F401  they register their queries
+from rookery.plans import decisions, more, postings, runs, state, texts  # noqa: F401  they register their queries
 from rookery.plans.registry import ORACLES, QUERIES
 
 
