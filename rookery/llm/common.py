@@ -51,6 +51,9 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, left_id: str
     share = max(1, total // HOT_KEYS)
     salted = right.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col(count) / share)).cast("int"))
     hot = salted.filter(F.col("_salts") > 1).select(F.col(key).alias("_hot"), F.col("_salts").alias("_n"))
+    # the list is never empty, so that the plan is the same at every size and skew; one salt for a key means none
+    one = left.sparkSession.range(1).select(F.lit("0").cast(right.schema[key].dataType).alias("_hot"), F.lit(1).alias("_n"))
+    hot = hot.unionByName(one).groupBy("_hot").agg(F.max("_n").alias("_n"))
     dealt = (
         left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
         .withColumn("_salt", F.when(F.col(key).isNull() | F.col("_n").isNotNull(), F.pmod(F.xxhash64(left_id, key), F.coalesce("_n", F.lit(1 << 20)))).otherwise(0).cast("int"))
