@@ -29,11 +29,12 @@ REMOTE = r"\b(remote\w*|anywhere|work from home|wfh|distributed|fully distribute
 
 
 def _literals(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+    """The values as one constant that the optimizer folds, and not as an expression for each."""
+    return F.split(F.lit("|".join(values)), "[|]")
 
 
 def _map(values: dict) -> Column:
-    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    return F.str_to_map(F.lit("|".join(f"{k}:{v}" for k, v in values.items())), F.lit("[|]"), F.lit(":"))
 
 
 def segments(location: Column) -> Column:
