@@ -40,7 +40,7 @@ from rookery.llm.shingles import mixed, shingle_sets
 
 WIDTH, PERCENT = 5, 75
 #: A batch of the first step is sent when it has so many shingles or texts; a bucket gets about so many fingerprints.
-FLUSH_SHINGLES, FLUSH_TEXTS, BUCKET_SHINGLES, LEAST_BUCKETS = 1_500_000, 60_000, 1_500_000, 64
+FLUSH_SHINGLES, FLUSH_TEXTS, BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 60_000, 1_500_000, 64
 #: Members of a block of the last step.
 BLOCK = 512
 NOBODY = 0xFFFF
