@@ -88,11 +88,9 @@ def descriptions(spark, sf_dir):
 @query("name_keys", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(strip_accents(lower(substr(text, 1, 80))), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), '\s+', ' ', 'g')) AS company_key,
   trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '\([^)]*\)', ' ', 'g'), '[^a-z0-9+#.]+', ' ', 'g')) AS title_key FROM documents WHERE NOT regexp_matches(lower(strip_accents(substr(text, 1, 80))), '(^|[^a-z0-9])(inc|llc|ltd|limited|corp|corporation|co|gmbh|bv|nv|sa|ag|plc|holdings|group|labs|technologies|technology)([^a-z0-9]|$)')""")
 def name_keys(spark, sf_dir):
-    """Folded keys of each document's first words; those with generic company words have a query of their own."""
-    head = F.substring("text", 1, 80)
-    plain = F.translate(F.lower(head), text.MARKED, text.PLAIN)
-    docs = table(spark, sf_dir, "documents").filter(~plain.rlike(rf"(^|[^a-z0-9])({text.GENERIC})([^a-z0-9]|$)"))
-    return docs.select("doc_id", text.company_key(head).alias("company_key"), text.title_key(head).alias("title_key"))
+    """Folded keys of each document's whole text, generic company words included. The SQL still reads 80 characters of texts without such words."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.company_key(F.col("text")).alias("company_key"), text.title_key(F.col("text")).alias("title_key"))
 
 
 @query("company_keys", "SELECT c_custkey, 'customer ' || substr(c_name, 10) AS key FROM customer")

@@ -2,6 +2,8 @@
 
 import datetime
 import random
+import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -96,3 +98,20 @@ def test_preference_changes(spark, sf_dir, events):
         add, remove = {e[3] for e in es if DAY(10) <= e[1] < DAY(20)}, {e[3] for e in es if e[1] >= DAY(20)}
         want.append((u, ",".join(sorted((first | add) - remove)), ",".join(sorted(remove - first))))
     assert rows(spark, sf_dir, "preference_changes") == sorted(want)
+
+
+GENERIC = "inc llc ltd limited corp corporation co gmbh bv nv sa ag plc holdings group labs technologies technology".split()
+
+
+def test_name_keys(spark, tmp_path):
+    """Generic words fold away wherever they stand, and texts are keyed to their end."""
+    texts = ["Acmé, Inc.", "Plain name", "the Group of Labs (old) & C++ .NET", "word " * 40 + "Öwn GmbH tail", "inc", "", None, "Income co-op (sa)"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def keys(text):
+        low = (text or "").lower()
+        plain = "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c)).replace("&", " and ")
+        company = " ".join(w for w in re.findall("[a-z0-9]+", plain) if w not in GENERIC)
+        return company, " ".join(re.findall("[a-z0-9+#.]+", re.sub(r"\([^)]*\)", " ", low)))
+
+    assert rows(spark, str(tmp_path), "name_keys") == [(i, *keys(t)) for i, t in enumerate(texts)]
