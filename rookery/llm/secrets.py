@@ -1,6 +1,7 @@
 """Secret scan: candidates from plain patterns, and a random forest that removes false positives; DataFrame and SQL functions only.
 
-Candidates are values assigned to a telling name (token = "..."), tokens of known vendors' formats, private key blocks and bearer headers. For each the forest sees
+Candidates are values assigned to a name with a telling part (token = "...", DB_PASSWORD=..., secret_key_base: ...), tokens of known vendors' formats, private key blocks
+through their END line (without one, as far as lines of base 64 follow) and bearer headers; all of them whole, however long. For each the forest sees
 its length, how likely its character transitions are (by class: lower, upper, digit, other), how much of it common words and word fragments cover, the
 path it stands in (test, example and documentation folders and such), and the words around it. The forest is trained on labelled findings: findings of a table given by the
 caller, or by default those that rules of high precision can label (a value of a vendor's format or of random hex or base 64 beside a telling name is a secret; a
@@ -28,12 +29,19 @@ AROUND = 64
 # Names that announce a secret, vendors' formats, signs of placeholders, folders of samples, fragments of words.
 NAMES = "api[_-]?key|apikey|access[_-]?key|secret[_-]?key|client[_-]?secret|secret|auth[_-]?token|access[_-]?token|token|passwd|password|pwd|credentials?|private[_-]?key"
 VENDORS = (
-    r"\bAKIA[0-9A-Z]{16}\b|\bASIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,80}\b|\bglpat-[A-Za-z0-9_-]{20,40}\b|\bxox[abprs]-[A-Za-z0-9-]{10,80}\b|\bAIza[A-Za-z0-9_-]{35}\b"
-    r"|\bsk_live_[A-Za-z0-9]{16,60}\b|\brk_live_[A-Za-z0-9]{16,60}\b|\bSG\.[A-Za-z0-9_-]{16,40}\.[A-Za-z0-9_-]{16,60}\b|\bnpm_[A-Za-z0-9]{36}\b|\beyJ[A-Za-z0-9_-]{8,500}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,500}"
+    r"\bAKIA[0-9A-Z]{16}\b|\bASIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+\b|\bglpat-[A-Za-z0-9_-]{20,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}\b|\bAIza[A-Za-z0-9_-]{35}\b"
+    r"|\bsk_live_[A-Za-z0-9]{16,}+\b|\brk_live_[A-Za-z0-9]{16,}+\b|\bSG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}\b|\bnpm_[A-Za-z0-9]{36}\b|\beyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 )
+# Loops are possessive wherever what follows can't be part of them, so that long texts need neither stack nor second tries.
+IDENTIFIER = "[A-Za-z0-9_-]"
+SIGN = r"[\"']?[\x20\t]*+(?>=>|:=|=|:)[\x20\t]*+[\"']?"
+#: A whole identifier and its sign, of which the identifier has one of NAMES anywhere; names are looked for only where a sign follows.
+NAMED = rf"(?={IDENTIFIER}++{SIGN})(?={IDENTIFIER}*?(?:{NAMES})){IDENTIFIER}++{SIGN}"
+_KEY = "[A-Z0-9\\x20]*?PRIVATE KEY(?: BLOCK)?-----"
+KEY_BLOCK = rf"-----BEGIN {_KEY}(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END {_KEY}|(?:(?:\\[nr]|[\s\"'+,])++[A-Za-z0-9+/=]{{40,}}+)*+)"
 PATTERN = (
-    rf"(?i:\b(?:{NAMES})\b[\"']?[\x20\t]{{0,4}}(?:=|:=|:|=>)[\x20\t]{{0,4}}[\"']?)[A-Za-z0-9_./+~=!@#$%^&*-]{{6,512}}"
-    rf"|{VENDORS}|(?i:\bbearer[\x20\t]{{1,4}})[A-Za-z0-9_./+~=-]{{16,1024}}|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----"
+    rf"(?i:(?<!{IDENTIFIER}){NAMED}(?:bearer[\x20\t]++)?)(?:{KEY_BLOCK}|[A-Za-z0-9_./+~=!@#$%^&*-]{{6,}}+)"
+    rf"|{VENDORS}|(?i:\bbearer[\x20\t]++)[A-Za-z0-9_./+~=-]{{16,}}+|{KEY_BLOCK}"
 )
 PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|change_me|your[_-]|dummy|fake|redacted|xxxx|\*\*\*\*|\.\.\.\.|<|\$\{|%\(|123456|abcdef|password|secret|test|todo|none|null|true|false|undefined|foobar|lorem"
 SAMPLE_PATHS = r"(?i)(?:^|[/._-])(?:tests?|specs?|examples?|samples?|docs?|fixtures?|mocks?|demo|tutorial|templates?)(?:[/._-]|$)"
@@ -54,7 +62,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def value() -> Column:
     """The secret itself: the match without the name, the sign and the quote before it."""
-    return F.regexp_replace("match", rf"^(?i:(?:{NAMES})\b[\"']?[\x20\t]*(?:=>|:=|=|:)[\x20\t]*[\"']?|bearer[\x20\t]+)", "")
+    return F.regexp_replace("match", rf"^(?i:bearer[\x20\t]+|{NAMED}(?:bearer[\x20\t]+)?)", "")
 
 
 def _count(col: str, pattern: str) -> Column:
@@ -78,7 +86,7 @@ def features(found: DataFrame) -> DataFrame:
         (_count("_v", "[A-Z]") / n).alias("upper_share"), (_count("_v", "[0-9]") / n).alias("digit_share"), (_count("_v", "[0-9a-fA-F]") / n).alias("hex_share"),
         (_count("_v", r"(.)(?=\1)") / n).alias("repeats"),
         (1 - F.length(F.regexp_replace("_v", rf"(?i){FRAGMENTS}", "")) / n).alias("word_cover"),
-        flag("_v", PLACEHOLDER).alias("placeholder"), flag("_v", f"^(?:{VENDORS})").alias("vendor"), flag("match", rf"(?i)^(?:{NAMES})\b").alias("named"),
+        flag("_v", PLACEHOLDER).alias("placeholder"), flag("_v", f"^(?:{VENDORS})").alias("vendor"), flag("match", rf"(?i)^{NAMED}").alias("named"),
         flag("path", SAMPLE_PATHS).alias("in_sample_path"), (F.length("path") > 0).cast("double").alias("has_path"),
         flag("left", SPEAKS_FOR).alias("words_for"), F.greatest(flag("left", SPEAKS_AGAINST), flag("right", SPEAKS_AGAINST)).alias("words_against"), flag("right", "^[\"']").alias("quoted"),
     )

@@ -1,3 +1,7 @@
+import hashlib
+
+import pytest
+
 from rookery.llm import secrets
 from tests.llm.helpers import docs_of
 
@@ -34,3 +38,39 @@ def test_no_findings(spark):
 def test_labels_of_the_caller(spark):
     labelled = secrets.anchors(spark).withColumn("label", 1 - secrets.F.col("label"))
     assert not any(r.secret for r in found(spark, [(1, TEXT)], labelled=labelled))
+
+
+HEX = hashlib.sha256(b"a").hexdigest()
+LONG = "".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(24))
+BODY = "\n".join(LONG[i : i + 64] for i in range(0, 1_536, 64))
+BLOCK = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{BODY}\n-----END RSA PRIVATE KEY-----"
+OTHER = BLOCK.replace("0", "1")
+
+
+@pytest.mark.parametrize(
+    "text,values",
+    [
+        *((f"{name}{HEX} end", [HEX]) for name in ("DB_PASSWORD=", "AWS_SECRET_ACCESS_KEY=", "GITHUB_TOKEN: ", "my_api_key: ", "SECRET_KEY_BASE=", "dbPassword = '", "x-auth-token-2:", "--password=", 'token          = "', '"api_keys" => "')),
+        (f"ACCESS_TOKEN: Bearer {HEX}", [HEX]), ("token = bearer", ["bearer"]),
+        (f'token = "{LONG}" end', [LONG]), (f"bearer {LONG} end", [LONG]), (f"x eyJ{LONG}.eyJ{LONG}.{LONG} end", [f"eyJ{LONG}.eyJ{LONG}.{LONG}"]), (f"ghp_{LONG} end", [f"ghp_{LONG}"]), (f"glpat-{LONG}- end", [f"glpat-{LONG}"]),
+        (f"a {BLOCK} b {OTHER} c", [BLOCK, OTHER]), (f'"private_key": "{BLOCK}"', [BLOCK]), (BLOCK.replace("\n", "\\n"), [BLOCK.replace("\n", "\\n")]),
+        (f"-----BEGIN PRIVATE KEY-----\n{BODY}\nand no end\n{BLOCK}", [f"-----BEGIN PRIVATE KEY-----\n{BODY}", BLOCK]),
+        ("a secret is a thing: " + HEX, []), ("key: " + HEX, []),
+    ],
+)
+def test_candidates_are_whole(spark, text, values):
+    """Names inside identifiers, values of any length, key blocks with their lines."""
+    got = secrets.features(secrets.candidates(docs_of(spark, [(1, text)]))).orderBy("i").collect()
+    assert [r._v for r in got] == values
+    ends, at = [], 0
+    for r in got:
+        at += r.gap + len(r.match)
+        ends.append(at)
+    assert [text[end - len(v) : end] for end, v in zip(ends, values)] == values
+
+
+def test_odd_texts_take_no_stack(spark):
+    """Long runs without a finding, and long blocks, neither overflow nor take long."""
+    texts = ["token" * 100_000, "-----BEGIN PRIVATE KEY-----" * 5_000, "-" * 300_000, "-----BEGIN PRIVATE KEY-----" + "a-" * 200_000 + "-----END PRIVATE KEY-----", "secret_" * 50_000 + "=" + HEX]
+    got = secrets.candidates(docs_of(spark, list(enumerate(texts)))).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in got} == {1: 5_000, 3: 1, 4: 1}
