@@ -45,6 +45,8 @@ FLUSH_SHINGLES, FLUSH_TEXTS, BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 60_000,
 BLOCK = 512
 NOBODY = 0xFFFF
 PROBES = 3
+#: The row number by which keep_one tells rows apart.
+ROW = "_keep_one_row"
 
 
 def _needed(n: int, percent: int) -> int:
@@ -343,10 +345,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that stay: of each component the one with its id, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    goes = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_goes"))
-    return docs.join(goes, F.col(id_col) == F.col("_goes"), "left_anti")
+    """The documents that stay, with all their columns: one row of each component.
+
+    Rows are told apart by a written row number, not by id. The row with the smallest id stays, null ids coming after all others; of rows that repeat
+    that id, the first by row number.
+    """
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, ROW, text_col, **how).select(ROW, F.col("component_id").alias("_component"))
+    told = written(found.join(rows.select(F.col(ROW).alias("_at"), F.col(id_col).alias("_id")), F.col(ROW) == F.col("_at")).select(ROW, "_id", "_component"), "told")
+    stays = told.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col(ROW).alias("row"))).alias("_first")).select(F.col("_first.row").alias("_stays"))
+    goes = written(told.join(stays, F.col(ROW) == F.col("_stays"), "left_anti").select(F.col(ROW).alias("_goes")), "goes")
+    return rows.join(goes, F.col(ROW) == F.col("_goes"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

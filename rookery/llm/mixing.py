@@ -142,10 +142,11 @@ def mix_sources(
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: a row for each run of adjoining pieces of one document in one pass, with the columns of documents.
 
-    The text is exactly the run's words and the white space between them; n_chars is counted anew. Rows of `docs` are told apart by doc_id: of rows
-    that repeat one, each gives the runs of all, as far as its own words go.
+    The text is exactly the run's words and the white space between them; n_chars is counted anew. Rows of `docs` are told apart by a written row
+    number, so that rows with a null or repeated doc_id give their own runs only.
     """
-    _, mix = mix_sources(docs, **how)
+    rows = written(docs.select("doc_id", "text", "lang", "source", F.monotonically_increasing_id().alias("_at_row")), "rows")
+    _, mix = mix_sources(rows, id_col="_at_row", **how)
     near = Window.partitionBy("_row", "pass").orderBy("word_from")
     runs = (
         mix.select("_row", "id", "pass", "word_from", "word_to")
@@ -156,10 +157,9 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     )
     words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     out = (
-        docs.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")))
+        rows.join(runs, F.col("_at_row") == F.col("_id"))
         .withColumn("_words", words)
-        .withColumn("_cut", F.explode(F.expr("transform(_runs, r -> if(r._from < size(_words), array_join(slice(_words, cast(r._from + 1 as int), cast(r._to - r._from as int)), ''), null))")))
-        .filter("_cut IS NOT NULL")
+        .withColumn("_cut", F.explode(F.expr("transform(_runs, r -> array_join(slice(_words, cast(r._from + 1 as int), cast(r._to - r._from as int)), ''))")))
     )
     cut = F.regexp_replace("_cut", r"^[\x20\x09-\x0D]+", "")
     return out.select("doc_id", cut.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))

@@ -84,3 +84,28 @@ def test_keep_one(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a b c d e f")]])
 def test_little(spark, rows):
     assert [tuple(r) for r in jaccard_join.near_duplicates(docs_of(spark, rows)).collect()] == brute(rows)
+
+
+def test_keep_one_tells_rows_apart(spark):
+    """Null and repeated ids: one row of each component stays, the first with the smallest id; other rows with the id of one that goes stay."""
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = lambda t: t + " tail"
+    rows = [
+        (9, long[0]), (1, near(long[0])), (9, long[1]),  # 9 goes from the first component, and stays in another
+        (2, long[2]), (2, near(long[2])),  # near copies under one id
+        (None, long[3]), (3, near(long[3])), (None, long[4]), (None, near(long[4])), (None, long[5]), (None, None), (None, ""), (9, ""),
+    ]
+    kept = jaccard_join.keep_one(docs_of(spark, rows))
+    want = [rows[i] for i in (1, 2, 3, 6, 7, 9, 10, 11, 12)]
+    assert kept.columns == docs_of(spark, []).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_keep_one_of_every_component(spark):
+    rows = [*corpus(4, 80), *((3, t) for _, t in corpus(4, 20)[:20]), *((None, t) for _, t in corpus(5, 20)[:20])]
+    parts = {}
+    for k, _, c in brute([(k, t) for k, (_, t) in enumerate(rows)]):
+        parts.setdefault(c, []).append(k)
+    want = [rows[min(ks, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))] for ks in parts.values()]
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs_of(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

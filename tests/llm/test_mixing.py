@@ -87,3 +87,17 @@ def test_nothing_to_mix(spark, rows):
     told, mix = mixing.mix_sources(docs_of(spark, rows))
     assert told.count() == len(rows) and mix.count() == 0
     assert mixing.mixed_texts(docs_of(spark, rows)).count() == 0
+
+
+def test_rows_of_one_id_give_their_own_runs(spark):
+    """Rows with a null or repeated id are mixed as if each had an id of its own."""
+    rows = [(None, " ".join(f"n{k}x{i}" for i in range(50 + k)), "hot") for k in range(8)] + [(7, " ".join(f"r{k}x{i}" for i in range(60 + k)), "b") for k in range(8)]
+    out = mixing.mixed_texts(docs_of(spark, rows), block_words=16).collect()
+    total = sum(len(WORD.findall(t)) for _, t, _ in rows)
+    assert abs(sum(len(WORD.findall(r.text)) for r in out) - 1.5 * total) < 120
+    taken = {}
+    for r in out:
+        assert any(i == r.doc_id and r.text in t and s == r.source for i, t, s in rows) and r.n_chars == len(r.text)
+        for w in WORD.findall(r.text):
+            taken[w] = taken.get(w, 0) + 1
+    assert max(taken.values()) <= 2
