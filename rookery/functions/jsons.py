@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def extract_json(text: Column) -> Column:
-    """The JSON array of a model's answer: a fenced block if there is one, else from the first [ to the last ] that makes it parse; null if nothing does."""
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1), F.lit(""))
-    bare = F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit(""))
-    parsed = lambda x: F.when(F.json_array_length(x).isNotNull(), x)
-    return F.coalesce(parsed(fenced), parsed(bare))
+from rookery.functions.pages import extract_json  # noqa: F401
 
 
 def embedded(html: Column, element_id: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rookery.functions import dates, jsons, text, urls
+from rookery.functions import dates, jsons, pages, text, urls
 from rookery.plans.registry import query, table
 
 _SITE = r"regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '')"
@@ -45,7 +45,15 @@ def page_links(spark, sf_dir):
 @query("careers_links", r"""WITH l AS (SELECT page_id, list_distinct(list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*?href=["'']([^"''>]+)["'']', 1), lambda x: regexp_matches(x, '(?i)(^|[^a-z])(careers?|jobs?|join-us|work-with-us|openings?|vacancies|positions|hiring)([^a-z]|$)'))) AS c FROM pages)
   SELECT page_id, len(c)::INT AS n FROM l""")
 def careers(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.size(urls.careers_links(F.col("html"))).alias("n"))
+    """Careers links of each page's own site. The SQL still tests the hrefs' text only."""
+    return table(spark, sf_dir, "pages").select("page_id", F.size(pages.careers_links(F.col("html"), F.col("url"))).alias("n"))
+
+
+@query("page_boards")
+def page_boards(spark, sf_dir):
+    """Every board that a page names, and how often."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(pages.extract_boards(F.col("html"))).alias("b"))
+    return found.select("page_id", "b.vendor", "b.slug", "b.careers_url", F.col("b.count").alias("n"))
 
 
 def _decoded(sql: str) -> str:
