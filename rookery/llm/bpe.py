@@ -29,11 +29,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import bounded_batches, text_of
+from rookery.llm.common import bounded_batches, kept, text_of
 
-#: Bounds of what a worker keeps: states of the transducer, and encoded pieces in each of two generations.
+#: Bounds of what a worker keeps until a task of another operator comes: states of the transducer, and encoded pieces in each of two
+#: generations. Pieces longer than PIECE_CHARS are encoded anew each time, so that the pieces' bytes are bounded with their number.
 MAX_STATES = 200_000
-MAX_PIECES = 250_000
+MAX_PIECES = 60_000
+PIECE_CHARS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -166,6 +168,8 @@ class Pieces(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = self.transducer.encode(piece.encode())
+            if len(piece) > PIECE_CHARS:
+                return ids
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -197,16 +201,10 @@ class Decoder:
         return "".join(self.stream(ids[i : i + chunk] for i in range(0, len(ids), chunk)))
 
 
-_coders: dict[tuple[int, str], tuple[Encoder, Decoder]] = {}
-
-
 def coders(vocabulary, pattern: str) -> tuple[Encoder, Decoder]:
     """The coders of a broadcast vocabulary, made once in each worker."""
-    key = (vocabulary._jid if hasattr(vocabulary, "_jid") else id(vocabulary), pattern)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Encoder(vocabulary.value, pattern), Decoder(vocabulary.value)
-    return _coders[key]
+    key = ("bpe", vocabulary._jid if hasattr(vocabulary, "_jid") else id(vocabulary), pattern)
+    return kept(key, lambda: (Encoder(vocabulary.value, pattern), Decoder(vocabulary.value)))
 
 
 def _mapped(docs: DataFrame, columns: list, make, schema: str) -> DataFrame:

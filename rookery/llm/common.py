@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ HOT_KEYS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a fresh local one only where that is unset (tests, local mode)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; a fresh local one only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rookery-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,7 +66,34 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, left_id: str
     return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts still fits a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20) -> None:
+    """Arrow batches of few rows and bytes, so that a batch of very long texts still fits a worker's memory. Smaller settings of the session stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(name))[0]) <= most:
+            spark.conf.set(name, str(most))
+
+
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker keeps from task to task under `key`, made once; all that was kept under other keys goes first."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Gives back what tasks of other operators kept in this worker. Workers outlive their stage, so each operator's tasks begin with this."""
+    if _kept:
+        import ctypes
+        import gc
+
+        _kept.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: memory is reused, if not given back
+            pass

@@ -6,15 +6,19 @@ same set are one class and join once. Then:
 1. Classes that can't link to any other are told apart at once: a class of n shingles needs ceil(similarity * n) that another class
    has too. Fingerprints of all shingles are dealt to buckets, packed and each once for a batch of texts, so that a shingle in a
    third of all texts is a few entries; what comes back are counts for each text.
-2. The first pivots are single shingles. A set is nearest to the pivots among its own shingles, all at one distance, and the
-   rarer one wins. Documents as first pivots would not divide anything, since nearly all sets are at distance 1 from nearly all
-   others. A linking partner of x shares one of the first n - ceil(similarity * n) + 1 shingles of x in the common order (rarest
-   first), so these are the Voronoi regions to which x is copied: its own and those at whose boundary it may have partners.
-3. In each region the member of the lowest rank is the pivot; every member is measured against it, and members within r link
-   to it and form its cell. Regions whose members are all connected need nothing more.
-4. Other regions join recursively: those that share members form a cluster, which is cut into blocks; any two blocks meet in a task,
-   with a pivot of their own, and only pairs of different components that share a region and whose distances to that pivot are
-   within r of each other (triangle inequality) are compared.
+2. Pivots are documents. Two sets at a distance below 1 share a shingle, and a linking partner of x shares one of the first
+   n - ceil(similarity * n) + 1 shingles of x in the common order (rarest first). Of the sets with such a shingle in common the one of
+   the lowest rank is a pivot, and the others are measured against it; those within r link to it. To any other pivot a set is too far to link, so it need
+   not be measured.
+3. Voronoi regions: the home of a set is the nearest pivot it was measured against. Sets that are connected by links already need
+   not meet; for others, x is copied to the region of a pivot q if a set y at home there shares a shingle's pivot p with x,
+   |d(x, p) - d(y, p)| <= r, and d(x, q) <= d(y, q) + r (triangle inequality); the largest such d(y, q) is the region's radius. Each pair meets once, in the later
+   one of its two homes, so copies go only to later regions than home.
+4. A region that fits a task is joined there: pairs of different components whose distances to the pivot are within r of each
+   other. Any other region is divided by pivots of its own, taken from its components in turn. All its members are measured against
+   all of them, which settles the pivots themselves; the others go to the nearest pivot q, and as copies to those with
+   d(x, q') <= d(x, q) + 2r and d(x, q') <= radius(q') + r. Regions are divided again until each fits a task. Where pivots
+   don't divide (all members are about as far from all of them), blocks of the region meet in pairs, a task for each.
 
 Components follow from the links by label propagation with pointer jumping. No group of documents is ever in one task
 unless its size is bounded; no pairs are dropped.
@@ -31,18 +35,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rookery.llm.common import attach, bounded_batches, text_of, written
+from rookery.llm.common import BROADCAST_ROWS, attach, bounded_batches, release, text_of, written
 from rookery.llm.exact_dedup import PAGE, filter_size
 from rookery.llm.shingles import mixed, shingle_sets
 
 WIDTH, PERCENT = 5, 75
 #: A batch of the first step is sent when it has so many shingles or texts; a bucket gets about so many fingerprints.
-FLUSH_SHINGLES, FLUSH_TEXTS, BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 60_000, 1_500_000, 64
-#: Members of a block of the last step.
-BLOCK = 512
+FLUSH_SHINGLES, FLUSH_TEXTS, BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 60_000, 1_000_000, 64
+#: Members, and their shingles, of a region that one task joins.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Pivots of a region in the first division; twice as many in each further one, up to the limit. Copies are noted as a bit for each level.
+PIVOTS, MOST_PIVOTS, LEVELS = 16, 128, 62
+#: A division must leave at most this share of the pairs that could meet.
+GAIN = 0.5
+#: Room for the rounding of distances, which are doubles.
+SLACK = 1e-9
 NOBODY = 0xFFFF
 PROBES = 3
 #: The row number by which keep_one tells rows apart.
@@ -66,9 +76,10 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
     """(id, n_shingles, key): equal keys, equal sets."""
 
     def run(batches):
+        release()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(len(s), _signature(s)) if len(s) else None for s in sets], pa.binary())], names=["id", "n_shingles", "key"])
+            known = [(len(s), _key(len(s), _signature(s)) if len(s) else None) for s in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in known], pa.int64()), pa.array([k for _, k in known], pa.binary())], names=["id", "n_shingles", "key"])
 
     kind = docs.schema[0].dataType.simpleString()
     return docs.mapInArrow(run, f"id {kind}, n_shingles long, key binary")
@@ -77,13 +88,15 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
 def _pack(batch_id: int, sets: list[np.ndarray], keys: list[bytes], buckets: int) -> Iterator[dict]:
     """A batch's rows: its fingerprints by bucket, each once with the text that owns it, and what is known of the texts already."""
     hashes = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+    n_sets = len(sets)
+    owner = np.repeat(np.arange(n_sets, dtype=np.uint16), [len(s) for s in sets])
     order = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[order], owner[order]
+    sets.clear()  # they are in `hashes`
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     times = np.diff(np.concatenate([first, [len(hashes)]]))
     repeated = np.repeat(times > 1, times)
-    known = np.bincount(owner[repeated], minlength=len(sets)).astype(np.uint32)
+    known = np.bincount(owner[repeated], minlength=n_sets).astype(np.uint32)
     once, owners = hashes[first], np.where(times > 1, NOBODY, owner[first]).astype(np.uint16)
     bucket = (once % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -97,6 +110,21 @@ def _pack(batch_id: int, sets: list[np.ndarray], keys: list[bytes], buckets: int
 
 
 PACKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("owners", pa.binary()), ("prints", pa.binary()), ("known", pa.binary()), ("keys", pa.binary())])
+#: Buckets whose rows go out together.
+PACKED_ROWS = 256
+
+
+def _packed_batches(batch_id: int, sets: list[np.ndarray], keys: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for row in _pack(batch_id, sets, keys, buckets):
+        rows.append(row)
+        if len(rows) == PACKED_ROWS:
+            yield pa.RecordBatch.from_pylist(rows, PACKED)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, PACKED)
+
+
 COUNTED = pa.schema([("batch", pa.int64()), ("owners", pa.binary()), ("counts", pa.binary()), ("known", pa.binary()), ("keys", pa.binary())])
 
 
@@ -104,11 +132,9 @@ def _may_link(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFr
     """(key) of the classes of which enough shingles occur in other texts too; copies in one batch count once."""
 
     def pack(batches):
+        release()
         batch_id, sets, keys, seen, size = TaskContext.get().partitionId() << 32, [], [], set(), 0
 
-        def flush():
-            return pa.RecordBatch.from_pylist(list(_pack(batch_id, sets, keys, buckets)), PACKED)
-
         for batch in batches:
             for hashes in shingle_sets(batch.column(1), width):
                 if not len(hashes) or (key := _key(len(hashes), _signature(hashes))) in seen:
@@ -118,10 +144,10 @@ def _may_link(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFr
                 keys.append(key)
                 size += len(hashes)
                 if size >= FLUSH_SHINGLES or len(sets) >= FLUSH_TEXTS:
-                    yield flush()
+                    yield from _packed_batches(batch_id, sets, keys, buckets)
                     batch_id, sets, keys, seen, size = batch_id + 1, [], [], set(), 0
         if sets:
-            yield flush()
+            yield from _packed_batches(batch_id, sets, keys, buckets)
 
     def count(table: pa.Table) -> pa.Table:
         owners = [np.frombuffer(x, np.uint16) for x in table.column("owners").to_pylist()]
@@ -183,10 +209,14 @@ def hash_of(value: str | None) -> int:
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFrame:
-    """(node, key, n, hashes) of the chosen classes, from one of their documents; other texts stay where they are."""
+    """(node, key, n, hashes) of the chosen classes, from one of their documents; other texts stay where they are.
+
+    Nodes are numbers given as the table is written, so no two classes share one.
+    """
     cells, bits = _sieve(chosen, rows)
 
     def run(batches):
+        release()
         for batch in batches:
             found = []
             for id_, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
@@ -200,7 +230,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFram
     kind = docs.schema[0].dataType.simpleString()
     passed = docs.mapInArrow(run, f"key binary, id {kind}, hashes array<long>")
     exact = passed.join(chosen.select(F.col("key").alias("_key"), F.col("id").alias("_id")), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    return exact.groupBy("key").agg(F.first("hashes").alias("hashes")).select(F.xxhash64("key").alias("node"), "key", F.size("hashes").alias("n"), "hashes")
+    one = exact.groupBy("key").agg(F.first("hashes").alias("hashes"))
+    return written(one.select(F.monotonically_increasing_id().alias("node"), "key", F.size("hashes").alias("n"), "hashes"), "sets")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -219,13 +250,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _linked(both: Column, any_: Column, percent: int) -> Column:
+    return 100 * both >= percent * any_
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of (a, b) pairs of nodes."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b"))
-    joined = pairs.join(right, "b").join(left, "a").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    """(node, pivot, d, linked) of (node, pivot) pairs; a pivot of very many nodes is dealt over salts."""
+    hashes = sets.select(F.col("node").alias("_n"), F.col("hashes").alias("_a"))
+    asked = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("_times"))
+    pivots = asked.join(sets.select("node", F.col("hashes").alias("_b")), F.col("pivot") == F.col("node")).select("pivot", "_times", "_b")
+    left = pairs.join(hashes, F.col("node") == F.col("_n")).select("node", "pivot", "_a")
+    joined = attach(left, pivots, "pivot", "_times", "node", pairs.count()).withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     joined = joined.withColumn("_any", F.size("_a") + F.size("_b") - F.col("_both"))
-    return joined.select("a", "b", (100 * F.col("_both") >= percent * F.col("_any")).alias("linked"))
+    return joined.select("node", "pivot", (1 - F.col("_both") / F.col("_any")).alias("d"), _linked(F.col("_both"), F.col("_any"), percent).alias("linked"))
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -238,33 +275,22 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _block_links(percent: int):
-    """Joins a block of a cluster with itself or another one: pairs of different components that share a region and that no bound tells apart."""
-    reach = (100 - percent) / 100 + 1e-9
+    """Joins a region, or two of its blocks: pairs of different components that are to meet here and that no bound tells apart."""
+    reach = (100 - percent) / 100 + SLACK
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         links: list[dict] = []
-        node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+        node, label, block, copied, d = (table.column(c).to_numpy() for c in ("node", "label", "block", "copied", "d"))
         same_block = len(np.unique(block)) == 1
         if same_block and table.column("b1")[0] != table.column("b2")[0]:
             return pa.Table.from_pylist(links, LINKS)
         sets = [np.sort(x.values.to_numpy()) for x in table.column("hashes")]
         sizes = np.array([len(x) for x in sets])
-        regions: dict[int, list[int]] = {}
-        for i, hs in enumerate(table.column("regions").to_pylist()):
-            for h in hs:
-                regions.setdefault(h, []).append(i)
-        meet = np.zeros((len(node), len(node)), bool)
-        for members in regions.values():
-            meet[np.ix_(members, members)] = True
-        meet &= label[:, None] != label[None, :]
+        meet = (label[:, None] != label[None, :]) & ((copied[:, None] & copied[None, :]) == 0) & (np.abs(np.subtract.outer(d, d)) <= reach)
         if not same_block:
             meet &= block[:, None] != block[None, :]
         meet &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
-        # distances to the member that meets most others: pairs whose distances differ by more than the reach can't link
-        pivot = int(meet.sum(1).argmax())
-        both = np.array([_shared(x, sets[pivot]) for x in sets])
-        distance = 1 - both / (sizes + sizes[pivot] - both)
-        meet &= np.abs(np.subtract.outer(distance, distance)) <= reach
         root = {x: x for x in label.tolist()}
 
         def top(x):
@@ -287,41 +313,116 @@ def _block_links(percent: int):
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame | None:
-    """Enough links between nodes to connect all that are connected."""
+def _shingle_pivots(sets: DataFrame, percent: int) -> DataFrame:
+    """(h, members, node, pivot): the sets that share one of their first shingles, and the pivot of each such shingle."""
     shingles = sets.select("node", "n", F.explode("hashes").alias("h"))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     common = attach(shingles, counted, "h", "df", "node", total)
-    # the first shingles of each node in the common order, rarest first; those that no other node has come first of all and need no region
+    # the first shingles of each node in the common order, rarest first; those that no other node has come first of all and have no pivot
     ordered = common.groupBy("node", "n").agg(F.sum(F.when(F.col("df").isNull(), 1).otherwise(0)).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "h")))).alias("_order"))
     keep = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1 - alone")
-    regions = written(ordered.filter(keep > 0).select("node", F.explode(F.slice("_order", F.lit(1), keep.cast("int"))).alias("s")).select("node", F.col("s.h").alias("h"), F.col("s.df").alias("df")), "regions")
+    firsts = written(ordered.filter(keep > 0).select("node", F.explode(F.slice("_order", F.lit(1), keep.cast("int"))).alias("s")).select("node", F.col("s.h").alias("h")), "firsts")
     ranked = F.struct(F.xxhash64("node").alias("rank"), F.col("node"))
-    heads = regions.groupBy("h").agg(F.min(ranked).alias("head"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node", F.lit(7)) % (1 << 40)).alias("mark")).filter("members > 1")
-    # regions of the same members are one
-    heads = heads.groupBy("members", "mark", "head").agg(F.min("h").alias("h")).select("h", "members", F.col("head.node").alias("pivot"))
+    heads = firsts.groupBy("h").agg(F.min(ranked).alias("head"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node", F.lit(7)) % (1 << 40)).alias("mark"), F.sum(F.xxhash64("node", F.lit(8)) % (1 << 40)).alias("mark2")).filter("members > 1")
+    # shingles of the same members are one
+    heads = heads.groupBy("members", "mark", "mark2", "head").agg(F.min("h").alias("h")).select("h", "members", F.col("head.node").alias("pivot"))
     heads = written(heads, "heads")
-    placed = attach(regions.select("h", "node"), heads, "h", "members", "node", regions.count()).filter("pivot IS NOT NULL")
-    placed = written(placed, "placed")
-    pairs = placed.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    spokes = written(_measured(pairs, sets, percent), "spokes")
-    stars = spokes.filter("linked").select("a", "b")
-    labels = components(stars)
-    # what isn't connected yet: regions with members of several components. Regions that share members form a cluster, so that a set is
-    # sent to its cluster's task once, and not to every region's
-    told = written(placed.join(labels, "node", "left").select("h", "node", "pivot", "members", F.coalesce("label", "node").alias("label")), "told")
+    return written(attach(firsts, heads, "h", "members", "node", firsts.count()).filter("pivot IS NOT NULL"), "placed")
+
+
+def _regions(placed: DataFrame, distances: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The Voronoi regions of the pivots, as (region, node, label, d, copied) of members that may have partners of another component, and what was measured."""
+    reach = (100 - percent) / 100 + SLACK
+    homes = distances.groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("_home")).select("node", F.col("_home.pivot").alias("home"), F.col("_home.d").alias("home_d"))
+    nodes = written(homes.join(labels, "node", "left").select("node", "home", "home_d", F.coalesce("label", "node").alias("label")), "homes")
+    told = written(placed.join(nodes, "node").join(distances.select("node", "pivot", "d"), ["node", "pivot"]), "told")
     split = told.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_members")).filter("_lo <> _hi")
-    apart = written(attach(told, split.select("h", "_members"), "h", "_members", "node", told.count()).filter("_members IS NOT NULL").select("h", "node", "pivot", "label"), "apart")
-    clusters = components(apart.filter("node <> pivot").select("node", "pivot").distinct(), "node", "pivot").select("node", F.col("label").alias("cluster"))
-    nodes = written(apart.groupBy("node").agg(F.first("label").alias("label"), F.collect_set("h").alias("regions")).join(clusters, "node"), "nodes")
-    parts = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-    cut = attach(nodes, parts, "cluster", "size", "node", nodes.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # every two blocks of a cluster meet in a task of their own, of two blocks at most
+    apart = attach(told.drop("pivot"), split.select("h", "_members"), "h", "_members", "node", told.count()).filter("_members IS NOT NULL")
+    # a shingle of many members is dealt over salts, and the homes of its members go to each
+    apart = written(apart.withColumn("_salts", F.expr(f"cast(ceil(_members / {BLOCK * 16}.0) as int)")).withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int")), "apart")
+    there = apart.groupBy("h", "_salts", F.col("home").alias("q")).agg(*(f(c).alias(f"{n}_{c}") for c in ("label", "d") for n, f in (("lo", F.min), ("hi", F.max))), F.max("home_d").alias("radius"))
+    there = there.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    asked = apart.join(there, ["h", "_salt"]).filter((F.col("q") > F.col("home")) & ((F.col("lo_label") != F.col("label")) | (F.col("hi_label") != F.col("label"))) & F.col("d").between(F.col("lo_d") - reach, F.col("hi_d") + reach))
+    asked = written(asked.groupBy("node", F.col("q").alias("pivot")).agg(F.max("radius").alias("radius")), "asked")
+    found = written(_measured(asked.select("node", "pivot"), sets, percent), "found")
+    near = found.join(asked, ["node", "pivot"]).filter(F.col("d") <= F.col("radius") + reach)
+    copies = near.join(nodes.select("node", "label"), "node").select(F.col("pivot").alias("region"), "node", "label", "d", F.lit(1).cast("long").alias("copied"))
+    own = apart.select(F.col("home").alias("region"), "node", "label", F.col("home_d").alias("d"), F.lit(0).cast("long").alias("copied")).distinct()
+    return own.unionByName(copies), found
+
+
+def _divided(big: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions divided by pivots of their own: the new regions, the members of those that pivots don't divide, and links to pivots."""
+    reach = (100 - percent) / 100 + SLACK
+    pivots = min(MOST_PIVOTS, PIVOTS << (level - 1))
+    rank = F.xxhash64("node", F.lit(level))
+    # row_number under a limit is cut before the shuffle, so no task sorts a whole region
+    by_label = big.withColumn("_nth", F.row_number().over(Window.partitionBy("region", "label").orderBy(rank, "node"))).filter(F.col("_nth") <= pivots)
+    chosen = by_label.withColumn("_no", F.row_number().over(Window.partitionBy("region").orderBy("_nth", rank, "node"))).filter(F.col("_no") <= pivots).select("region", "node", "label", "size")
+    kept = chosen.join(sets.select("node", "hashes"), "node").groupBy("region", "size").agg(F.collect_list(F.struct("node", "label", "hashes")).alias("_pivots"))
+    measured = F.expr(f"""transform(transform(_pivots, p -> struct(p.node AS node, p.label AS label, size(hashes) + size(p.hashes) AS both_sizes, size(array_intersect(p.hashes, hashes)) AS both)),
+        p -> struct(p.node AS node, p.label AS label, 1 - p.both / (p.both_sizes - p.both) AS d, 100 * p.both >= {percent} * (p.both_sizes - p.both) AS linked))""")
+    members = attach(big.drop("parts").join(sets.select("node", "hashes"), "node"), kept.select("region", F.col("size").alias("_size"), "_pivots"), "region", "_size", "node", big.count())
+    seen = written(members.select("region", "size", "node", "label", "copied", F.col("d").alias("_d"), measured.alias("_seen")), "seen")
+    links = seen.select("node", "label", F.explode("_seen").alias("p")).filter("p.linked AND p.label <> label").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+    rest = seen.filter("NOT exists(_seen, p -> p.node = node)").withColumn("_home", F.array_min(F.transform("_seen", lambda p: F.struct(p["d"].alias("d"), p["node"].alias("node")))))
+    radius = rest.groupBy("region", F.col("_home.node").alias("q")).agg(F.max("_home.d").alias("_radius"), F.count(F.lit(1)).alias("_at_home"))
+    own = rest.select("region", "size", "node", "label", F.col("_home.node").alias("q"), F.col("_home.d").alias("d"), "copied")
+    over = rest.withColumn("_p", F.explode(F.filter("_seen", lambda p: (p["node"] > F.col("_home.node")) & (p["d"] <= F.col("_home.d") + 2 * reach))))
+    over = over.select("region", "size", "node", "label", F.col("_p.node").alias("q"), F.col("_p.d").alias("d"), F.col("copied").bitwiseOR(F.lit(1 << level)).alias("copied"))
+    over = over.join(F.broadcast(radius) if radius.count() <= BROADCAST_ROWS else radius, ["region", "q"]).filter(F.col("d") <= F.col("_radius") + reach)
+    made = written(own.unionByName(over.select(own.columns)), "made")
+    # pairs that could meet, before and after
+    after = made.groupBy("region", "size", "q").agg(F.count(F.lit(1)).cast("double").alias("_n")).groupBy("region", "size").agg(F.sum(F.col("_n") * F.col("_n")).alias("_pairs"))
+    gains = written(after.select("region", F.col("size").alias("_size"), (F.col("_pairs") <= GAIN * F.col("size") * F.col("size")).alias("_gains")), "gains")
+    divided = attach(made, gains, "region", "_size", "node", made.count()).filter("_gains").select(F.xxhash64("region", "q").alias("region"), "node", "label", "d", "copied")
+    left = attach(rest.select("region", "size", "node", "label", F.col("_d").alias("d"), "copied"), gains, "region", "_size", "node", rest.count()).filter("NOT _gains").select("region", "node", "label", "d", "copied")
+    return divided, left, links
+
+
+def _sized(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of regions of several components, with the region's size and the number of blocks that it takes."""
+    known = regions.join(sets.select("node", "n"), "node")
+    sizes = known.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.sum("n").alias("_n")).filter("_lo <> _hi")
+    sizes = sizes.select("region", "size", F.expr(f"cast(greatest(ceil(size / {BLOCK}.0), ceil(_n / {BLOCK_SHINGLES}.0)) as int)").alias("parts"))
+    return attach(regions, sizes, "region", "size", "node", regions.count()).filter("size > 1")
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Enough links between nodes to connect all that are connected."""
+    placed = _shingle_pivots(sets, percent)
+    spokes = written(_measured(placed.filter("node <> pivot").select("node", "pivot").distinct(), sets, percent), "spokes")
+    itself = placed.select("pivot").distinct().select(F.col("pivot").alias("node"), "pivot", F.lit(0.0).alias("d"), F.lit(False).alias("linked"))
+    ab = lambda df: df.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    links, labels = ab(spokes), components(ab(spokes))
+    regions, found = _regions(placed, spokes.unionByName(itself), labels, sets, percent)
+    links, last = links.unionByName(ab(found)), []
+    for level in range(1, LEVELS + 1):
+        sized = written(_sized(written(regions, "regions"), sets), "sized")
+        big = sized.filter("parts > 1")
+        if not big.limit(1).count():
+            last.append(sized)
+            break
+        if level == LEVELS:
+            last.append(sized)
+            break
+        last.append(sized.filter("parts = 1"))
+        regions, left, more = _divided(big, sets, percent, level)
+        last.append(_sized(written(left, "left"), sets))
+        links = links.unionByName(written(more, "more"))
+        # what has come together since need not meet again
+        renamed = components(links).select("node", F.col("label").alias("_now"))
+        regions = regions.join(renamed, "node", "left").withColumn("label", F.coalesce("_now", "label")).drop("_now")
+    cut = last[0]
+    for more in last[1:]:
+        cut = cut.unionByName(more)
+    # blocks of a region that is still large meet in pairs, a task for each
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     meet = cut.join(sets.select("node", "hashes"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meet = meet.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label", "regions", "hashes")
-    late = meet.groupBy("cluster", "b1", "b2").applyInArrow(_block_links(percent), "a long, b long")
-    return stars.unionByName(written(late, "late"))
+    meet = meet.select("region", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label", "copied", "d", "hashes")
+    late = meet.groupBy("region", "b1", "b2").applyInArrow(_block_links(percent), "a long, b long")
+    return links.unionByName(written(late, "late"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -334,7 +435,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(digests.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     buckets = max(LEAST_BUCKETS, -(-shingles // BUCKET_SHINGLES))
     may = written(_may_link(lean, width, percent, buckets).join(classes, "key").select("key", F.col("rep").alias("id")), "may")
-    sets = written(_sets(lean, may, may.count(), width), "sets")
+    sets = _sets(lean, may, may.count(), width)
     labels = components(_links(sets, percent))
     named = labels.join(sets.select("node", "key"), "node").join(classes.select("key", "rep"), "key")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))

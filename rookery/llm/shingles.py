@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Texts are hashed in slices of about so many bytes, or one text if it is longer.
+#: Texts are hashed in slices of at most so many bytes; a longer text is cut between words.
 SLICE_BYTES = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -34,15 +36,17 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
     held, size = [], 0
     for text in texts:
-        held.append(text.as_py() or b"")
-        size += len(held[-1])
-        if size >= SLICE_BYTES:
+        text = text.as_py() or b""
+        if held and size + len(text) > SLICE_BYTES:
             yield held
             held, size = [], 0
+        held.append(text)
+        size += len(text)
     yield held
 
 
-def _sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and how many of them lie before each text and before the end."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -55,8 +59,26 @@ def _sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     end = np.flatnonzero(word & (fresh[1:] | ~np.concatenate([word[1:], [False]]))) + 1
     # the polynomial of a word's bytes, as a difference of running sums divided by the power at its start: the same wherever the word stands
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_BASE, len(data))[:-1])])
-    words = mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(data))[start])
-    at = np.searchsorted(start, first)
+    return mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(data))[start]), np.searchsorted(start, first)
+
+
+def _long_word_hashes(text: bytes) -> np.ndarray:
+    """The hashes of the words of one long text, made from slices that end between words."""
+    found, lo = [], 0
+    while lo < len(text):
+        cut = _GAP.search(text, min(len(text), lo + SLICE_BYTES))
+        hi = cut.end() if cut else len(text)
+        found.append(_word_hashes([text[lo:hi]])[0])
+        lo = hi
+    return np.concatenate(found)
+
+
+def _sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+        words = _long_word_hashes(texts[0])
+        at = np.array([0, len(words)])
+    else:
+        words, at = _word_hashes(texts)
     runs = max(0, len(words) - width + 1)
     shingle = np.zeros(runs, np.uint64)
     for i in range(width):

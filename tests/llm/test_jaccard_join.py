@@ -68,6 +68,7 @@ def test_matches_brute_force(spark, seed):
 def test_small_blocks_and_batches(spark, monkeypatch):
     """With tiny bounds the batches, buckets and blocks are many, and the result is the same."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     monkeypatch.setattr(jaccard_join, "FLUSH_SHINGLES", 500)
     monkeypatch.setattr(jaccard_join, "BUCKET_SHINGLES", 300)
     rows = corpus(7, 200)
