@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import bounded_batches, text_of
+from rookery.llm.common import bounded_batches, release, text_of
 
 #: Bounds and shape of the model.
 MAX_LABELLED = 20_000
@@ -202,17 +202,21 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fits on labelled rows that are not held out: the `max_labelled` with the smallest hashes of their ids, if there are more."""
+    """Fits on labelled rows that are not held out: the `max_labelled` with the smallest hashes of their ids, if there are more.
+
+    Ids that repeat, in `labels` or `docs`, count as rows of their own, so the bound is put on labels and again on the rows that they meet.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~F.coalesce(held_out("_id"), F.lit(True)))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labelled)
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(batch.column(1).cast(pa.binary()))), pa.list_(pa.float64()))], names=["_y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(features(batch.column(2).cast(pa.binary()))), pa.list_(pa.float64()))], names=["_h", "_y", "x"])
 
     # the chosen rows number `max_labelled` at most, so they may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_y", "_text").mapInArrow(run, "_y int, x array<double>").toArrow()
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("_h"), "_y", "_text").mapInArrow(run, "_h long, _y int, x array<double>").orderBy("_h", "_y", "x").limit(max_labelled).toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.array(rows.column("x").to_pylist())
@@ -228,6 +232,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(carried.value.score(features(pa.array(texts, pa.string()).cast(pa.binary()))))
 
     return docs.withColumn(score_col, scored(text_of(text_col)))

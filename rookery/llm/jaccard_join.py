@@ -363,7 +363,7 @@ def _divided(big: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple
     kept = chosen.join(sets.select("node", "hashes"), "node").groupBy("region", "size").agg(F.collect_list(F.struct("node", "label", "hashes")).alias("_pivots"))
     measured = F.expr(f"""transform(transform(_pivots, p -> struct(p.node AS node, p.label AS label, size(hashes) + size(p.hashes) AS both_sizes, size(array_intersect(p.hashes, hashes)) AS both)),
         p -> struct(p.node AS node, p.label AS label, 1 - p.both / (p.both_sizes - p.both) AS d, 100 * p.both >= {percent} * (p.both_sizes - p.both) AS linked))""")
-    members = attach(big.drop("parts").join(sets.select("node", "hashes"), "node"), kept.select("region", F.col("size").alias("_size"), "_pivots"), "region", "_size", "node", big.count())
+    members = attach(big.drop("parts", "main", "main_parts", "other_parts").join(sets.select("node", "hashes"), "node"), kept.select("region", F.col("size").alias("_size"), "_pivots"), "region", "_size", "node", big.count())
     seen = written(members.select("region", "size", "node", "label", "copied", F.col("d").alias("_d"), measured.alias("_seen")), "seen")
     links = seen.select("node", "label", F.explode("_seen").alias("p")).filter("p.linked AND p.label <> label").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
     rest = seen.filter("NOT exists(_seen, p -> p.node = node)").withColumn("_home", F.array_min(F.transform("_seen", lambda p: F.struct(p["d"].alias("d"), p["node"].alias("node")))))
@@ -374,19 +374,33 @@ def _divided(big: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple
     over = over.join(F.broadcast(radius) if radius.count() <= BROADCAST_ROWS else radius, ["region", "q"]).filter(F.col("d") <= F.col("_radius") + reach)
     made = written(own.unionByName(over.select(own.columns)), "made")
     # pairs that could meet, before and after
-    after = made.groupBy("region", "size", "q").agg(F.count(F.lit(1)).cast("double").alias("_n")).groupBy("region", "size").agg(F.sum(F.col("_n") * F.col("_n")).alias("_pairs"))
-    gains = written(after.select("region", F.col("size").alias("_size"), (F.col("_pairs") <= GAIN * F.col("size") * F.col("size")).alias("_gains")), "gains")
+    def pairs(df, *by):
+        some = df.groupBy("region", "size", "label", *by).agg(F.count(F.lit(1)).cast("double").alias("_n")).groupBy("region", "size", *by).agg((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))).alias("_n"))
+        return some.groupBy("region", "size").agg(F.sum("_n").alias("_pairs"))
+
+    before, after = pairs(rest), pairs(made, "q").select("region", F.col("_pairs").alias("_after"))
+    gains = written(before.join(after, "region").select("region", F.col("size").alias("_size"), (F.col("_after") <= GAIN * F.col("_pairs")).alias("_gains")), "gains")
     divided = attach(made, gains, "region", "_size", "node", made.count()).filter("_gains").select(F.xxhash64("region", "q").alias("region"), "node", "label", "d", "copied")
     left = attach(rest.select("region", "size", "node", "label", F.col("_d").alias("d"), "copied"), gains, "region", "_size", "node", rest.count()).filter("NOT _gains").select("region", "node", "label", "d", "copied")
     return divided, left, links
 
 
-def _sized(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of regions of several components, with the region's size and the number of blocks that it takes."""
-    known = regions.join(sets.select("node", "n"), "node")
-    sizes = known.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.sum("n").alias("_n")).filter("_lo <> _hi")
-    sizes = sizes.select("region", "size", F.expr(f"cast(greatest(ceil(size / {BLOCK}.0), ceil(_n / {BLOCK_SHINGLES}.0)) as int)").alias("parts"))
-    return attach(regions, sizes, "region", "size", "node", regions.count()).filter("size > 1")
+def _sized(regions: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """The members of regions that still have someone to meet, with the region's size, its largest component (main) and the blocks it takes.
+
+    At each level a copy meets only those at home, so it goes if they are all of its own component; a region of one component goes whole.
+    """
+    copy = F.col("copied").bitwiseAND(F.lit(1 << (level - 1))) != 0
+    known = regions.join(sets.select("node", "n"), "node").withColumn("_copy", copy)
+    counts = known.groupBy("region", "label", "_copy").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n"))
+    home = counts.groupBy("region").agg(F.sum("_c").alias("_all"), F.min(F.when(~F.col("_copy"), F.col("label"))).alias("_lo"), F.max(F.when(~F.col("_copy"), F.col("label"))).alias("_hi"))
+    stays = ~F.col("_copy") | ((F.col("_lo") != F.col("label")) | (F.col("_hi") != F.col("label")))
+    labels = counts.join(home, "region").filter(stays).groupBy("region", "_all", "_lo", "_hi", "label").agg(F.sum("_c").alias("_c"), F.sum("_n").alias("_n"))
+    sizes = labels.groupBy("region", "_all", "_lo", "_hi").agg(F.count(F.lit(1)).alias("_labels"), F.sum("_c").alias("size"), F.sum("_n").alias("_n"), F.max(F.struct("_c", "label", "_n")).alias("_main")).filter("_labels > 1")
+    blocks = lambda c, n: F.expr(f"cast(greatest(ceil({c} / {BLOCK}.0), ceil({n} / {BLOCK_SHINGLES}.0)) as int)")
+    sizes = sizes.select("region", "_all", "_lo", "_hi", "size", F.col("_main.label").alias("main"), blocks("size", "_n").alias("parts"), blocks("_main._c", "_main._n").alias("main_parts"), blocks("(size - _main._c)", "(_n - _main._n)").alias("other_parts"))
+    placed = attach(regions, sizes, "region", "_all", "node", regions.count()).filter("size IS NOT NULL").withColumn("_copy", copy)
+    return placed.filter(stays).drop("_all", "_lo", "_hi", "_copy")
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
@@ -399,27 +413,28 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     regions, found = _regions(placed, spokes.unionByName(itself), labels, sets, percent)
     links, last = links.unionByName(ab(found)), []
     for level in range(1, LEVELS + 1):
-        sized = written(_sized(written(regions, "regions"), sets), "sized")
+        # what has come together since need not meet again
+        renamed = components(links).select("node", F.col("label").alias("_now"))
+        again = lambda df: df.join(renamed, "node", "left").withColumn("label", F.coalesce("_now", "label")).drop("_now")
+        if level > 1:
+            last.append(_sized(written(again(left), "left"), sets, level - 1))
+        sized = written(_sized(written(again(regions), "regions"), sets, level), "sized")
         big = sized.filter("parts > 1")
-        if not big.limit(1).count():
-            last.append(sized)
-            break
-        if level == LEVELS:
+        if level == LEVELS or not big.limit(1).count():
             last.append(sized)
             break
         last.append(sized.filter("parts = 1"))
         regions, left, more = _divided(big, sets, percent, level)
-        last.append(_sized(written(left, "left"), sets))
         links = links.unionByName(written(more, "more"))
-        # what has come together since need not meet again
-        renamed = components(links).select("node", F.col("label").alias("_now"))
-        regions = regions.join(renamed, "node", "left").withColumn("label", F.coalesce("_now", "label")).drop("_now")
     cut = last[0]
     for more in last[1:]:
         cut = cut.unionByName(more)
-    # blocks of a region that is still large meet in pairs, a task for each
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    meet = cut.join(sets.select("node", "hashes"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # blocks of a region that is still large meet in pairs, a task for each; members of the largest component have blocks of their own, which needn't meet each other
+    few, mine = F.col("parts") == 1, F.col("label") == F.col("main")
+    some = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1)))
+    cut = cut.withColumn("block", F.when(few, 0).when(mine, some("main_parts")).otherwise(F.col("main_parts") + some("other_parts")).cast("int"))
+    others = F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.when(mine, F.col("main_parts")).otherwise(0), F.col("main_parts") + F.col("other_parts") - 1))
+    meet = cut.join(sets.select("node", "hashes"), "node").withColumn("other", F.explode(others))
     meet = meet.select("region", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label", "copied", "d", "hashes")
     late = meet.groupBy("region", "b1", "b2").applyInArrow(_block_links(percent), "a long, b long")
     return links.unionByName(written(late, "late"))

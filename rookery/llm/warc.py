@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import attach, bounded_batches, fresh_path, text_of, written
+from rookery.llm.common import attach, bounded_batches, fresh_path, release, text_of, written
 
 #: Payload bytes of an archive, about; bytes inflated at a time.
 ARCHIVE_BYTES, PIECE = 32 << 20, 1 << 20
@@ -78,6 +78,7 @@ def write_archives(records: DataFrame, folder: str, level: int = 4) -> DataFrame
     bounded_batches(records.sparkSession, 256)
 
     def run(batches):
+        release()
         fs, root = _opened(folder)
         fs.create_dir(root, recursive=True)
         part, n, out, made = TaskContext.get().partitionId(), 0, None, 0
@@ -154,6 +155,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
     """Rewrites whole-stream archives record by record beside a sidecar index; gives (archive, index, records)."""
 
     def run(batches):
+        release()
         fs, root = _opened(folder)
         fs.create_dir(root, recursive=True)
         for batch in batches:
@@ -189,6 +191,7 @@ def read_records(normalised: DataFrame, folder: str, id_type: str = "bigint", wi
     value = lambda urn: (int(x) if integer else x) if (x := urn.removeprefix("<urn:page:").removesuffix(">")) else None
 
     def run(batches):
+        release()
         fs, _ = _opened(folder)
         for batch in batches:
             for path, index in zip(batch.column("archive").to_pylist(), batch.column("index").to_pylist()):
