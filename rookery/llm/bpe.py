@@ -33,9 +33,11 @@ from rookery.llm.common import bounded_batches, kept, text_of
 
 #: Bounds of what a worker keeps until a task of another operator comes: states of the transducer, and encoded pieces in each of two
 #: generations. Pieces longer than PIECE_CHARS are encoded anew each time, so that the pieces' bytes are bounded with their number.
-MAX_STATES = 200_000
+MAX_STATES = 120_000
 MAX_PIECES = 60_000
 PIECE_CHARS = 64
+#: Pieces of a longer text are taken one by one, so that they are never all in memory.
+LONG_CHARS = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,15 +45,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class State:
-    """A set of open guesses (trie node, token before, tokens not yet written); `closed` is the one that a text's end accepts."""
-
-    __slots__ = ("open", "closed", "next")
-
-    def __init__(self, open_: tuple):
-        self.open, self.closed, self.next = open_, open_[-1][2], {}
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -69,12 +62,25 @@ class Transducer:
                 at = self.trie[at][byte]
             self.ends[at] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.borders: dict[tuple[int, int], bool] = {}
+        self.borders: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.start = State(((0, None, ()),))
-        self.states = {self.start.open: self.start}
+        # a state is a number: its open guesses (trie node, token before, tokens not yet written), and the tokens that a text's end accepts
+        self.states: dict[tuple, int] = {}
+        self.open: list[tuple] = []
+        self.closed: list[tuple] = []
+        # state * 256 + byte to the next state, or to (tokens written, next state) where some are
+        self.moves: dict[int, int | tuple] = {}
+        self.start = self._state(((0, None, ()),))
+
+    def _state(self, key: tuple) -> int:
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = len(self.open)
+            self.open.append(key)
+            self.closed.append(key[-1][2])
+        return found
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte, and for a token that merges never reach."""
@@ -99,9 +105,10 @@ class Transducer:
         one first; had any two that stood side by side a merge due before either grew into its parent, the border would have gone.
         Of equal ranks the leftmost merges first, so a tie goes against the border only on the right.
         """
-        found = self.borders.get((left, right))
+        at = left << 32 | right
+        found = self.borders.get(at)
         if found is None:
-            if len(self.borders) > 2 * self.max_states:
+            if len(self.borders) > self.max_states:
                 self.borders.clear()
             a, b, a_until, b_until, found = left, right, None, None, True
             while True:
@@ -116,35 +123,39 @@ class Transducer:
                     a, a_until = self.split(a)[1], a
                 else:
                     b, b_until = self.split(b)[0], b
-            self.borders[left, right] = found
+            self.borders[at] = found
         return found
 
-    def step(self, state: State, byte: int) -> tuple[tuple, State]:
-        """What the transition writes and where it leads; made once, then kept in the state."""
-        opened, closed = [], None
-        trie, ends = self.trie, self.ends
-        for node, before, unwritten in state.open:
+    def step(self, state: int, byte: int) -> int | tuple:
+        """Where the transition leads and what it writes; made once, then kept."""
+        opened, closed, shared = [], None, 1 << 30
+        trie, ends, borders = self.trie, self.ends, self.borders
+        for node, before, unwritten in self.open[state]:
             to = trie[node].get(byte)
             if to is None:
                 continue
             if closed is None:
                 token = ends[to]
-                if token is not None and self.reachable(token) and (before is None or self.border_holds(before, token)):
-                    closed = (0, token, (*unwritten, token))
+                if token is not None and self.reachable(token):
+                    holds = before is None or borders.get(before << 32 | token)
+                    if holds or (holds is None and self.border_holds(before, token)):
+                        closed = (0, token, (*unwritten, token))
             if trie[to]:
                 opened.append((to, before, unwritten))
+                shared = min(shared, len(unwritten))
         opened.append(closed)
-        shared = min(len(x[2]) for x in opened)
-        first = opened[0][2][:shared]
+        # tokens common to all guesses are written now
+        shared = min(shared, len(closed[2]))
+        first = closed[2][:shared]
         while shared and any(x[2][:shared] != first for x in opened):
             shared -= 1
             first = first[:shared]
         key = tuple([(node, before, unwritten[shared:]) for node, before, unwritten in opened] if shared else opened)
-        if key not in self.states:
-            if len(self.states) >= self.max_states:
-                self.clear()
-            self.states[key] = State(key)
-        state.next[byte] = found = (first, self.states[key])
+        if len(self.open) >= self.max_states and key not in self.states:
+            self.clear()
+            return (first, self._state(key))  # the state that this came from is gone
+        to = self._state(key)
+        found = self.moves[state << 8 | byte] = (first, to) if first else to
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -152,10 +163,18 @@ class Transducer:
         if whole is not None:
             return (whole,)
         out, state = [], self.start
+        moves = self.moves.get
         for byte in piece:
-            wrote, state = state.next.get(byte) or self.step(state, byte)
-            out += wrote
-        return (*out, *state.closed)
+            to = moves(state << 8 | byte)
+            if to is None:
+                to = self.step(state, byte)
+                moves = self.moves.get
+            if type(to) is int:
+                state = to
+            else:
+                wrote, state = to
+                out += wrote
+        return (*out, *self.closed[state])
 
 
 class Pieces(dict):
@@ -182,7 +201,8 @@ class Encoder:
         self.pieces, self.pattern = Pieces(Transducer(ranks)), regex.compile(pattern)
 
     def __call__(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
+        found = self.pattern.findall(text) if len(text) <= LONG_CHARS else (m[0] for m in self.pattern.finditer(text))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, found)))
 
 
 class Decoder:

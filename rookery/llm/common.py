@@ -86,14 +86,23 @@ def kept(key, make):
 
 
 def release() -> None:
-    """Gives back what tasks of other operators kept in this worker. Workers outlive their stage, so each operator's tasks begin with this."""
-    if _kept:
-        import ctypes
-        import gc
+    """Gives back what tasks of other operators kept or left in this worker. Workers outlive their stage, so each operator's tasks begin with this."""
+    import gc
 
+    if _kept:
         _kept.clear()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: memory is reused, if not given back
-            pass
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back to the machine."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: memory is reused, if not given back
+        pass

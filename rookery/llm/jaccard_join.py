@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rookery.llm.common import BROADCAST_ROWS, attach, bounded_batches, release, text_of, written
+from rookery.llm.common import BROADCAST_ROWS, attach, bounded_batches, release, text_of, trim, written
 from rookery.llm.exact_dedup import PAGE, filter_size
 from rookery.llm.shingles import mixed, shingle_sets
 
@@ -80,6 +80,7 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             known = [(len(s), _key(len(s), _signature(s)) if len(s) else None) for s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in known], pa.int64()), pa.array([k for _, k in known], pa.binary())], names=["id", "n_shingles", "key"])
+        trim()
 
     kind = docs.schema[0].dataType.simpleString()
     return docs.mapInArrow(run, f"id {kind}, n_shingles long, key binary")
@@ -148,6 +149,7 @@ def _may_link(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFr
                     batch_id, sets, keys, seen, size = batch_id + 1, [], [], set(), 0
         if sets:
             yield from _packed_batches(batch_id, sets, keys, buckets)
+        trim()
 
     def count(table: pa.Table) -> pa.Table:
         owners = [np.frombuffer(x, np.uint16) for x in table.column("owners").to_pylist()]
@@ -165,6 +167,8 @@ def _may_link(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFr
             at += len(mine)
             if len(who) or keys is not None:
                 rows.append({"batch": batch, "owners": who.astype(np.uint16).tobytes(), "counts": n.astype(np.uint32).tobytes(), "known": known, "keys": keys})
+        del owners, prints, owner, order, ordered, same, shared
+        trim()
         return pa.Table.from_pylist(rows, COUNTED)
 
     def total(table: pa.Table) -> pa.Table:
@@ -226,6 +230,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFram
                     if ((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all():
                         found.append({"key": key, "id": id_, "hashes": hashes.view(np.int64)})
             yield pa.RecordBatch.from_pylist(found, pa.schema([("key", pa.binary()), ("id", batch.column(0).type), ("hashes", pa.list_(pa.int64()))]))
+        trim()
 
     kind = docs.schema[0].dataType.simpleString()
     passed = docs.mapInArrow(run, f"key binary, id {kind}, hashes array<long>")
@@ -279,7 +284,6 @@ def _block_links(percent: int):
     reach = (100 - percent) / 100 + SLACK
 
     def run(table: pa.Table) -> pa.Table:
-        release()
         links: list[dict] = []
         node, label, block, copied, d = (table.column(c).to_numpy() for c in ("node", "label", "block", "copied", "d"))
         same_block = len(np.unique(block)) == 1
