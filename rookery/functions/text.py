@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that don't tell companies apart; letters with marks and what they fold to.
+from rookery.functions.urls import bound
+
+# Words that don't tell companies apart.
 GENERIC = "inc|llc|ltd|limited|corp|corporation|co|gmbh|bv|nv|sa|ag|plc|holdings|group|labs|technologies|technology"
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _unmarked() -> dict[str, str]:
+    """Lower-case letters of the Latin blocks whose compatibility decomposition is one plain letter and marks."""
+    found = {}
+    for c in map(chr, [*range(0xAA, 0x250), *range(0x1E00, 0x1F00), *range(0xFF41, 0xFF5B), 0x2071, 0x207F]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain.isascii() and plain.isalnum() and c == c.lower():
+            found[c] = plain
+    return found
+
+
+MARKED, PLAIN = ("".join(x) for x in zip(*sorted(_unmarked().items())))
+#: Marks that stand as characters of their own go.
+LONE_MARKS = r"[\x{0300}-\x{036F}]+"
 MAX_DESCRIPTION = 50_000
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "bull": "•", "amp": "&"}
+#: Entities by name, as HTML 4 has them and apos.
+ENTITIES = {**{name: chr(n) for name, n in name2codepoint.items()}, "apos": "'", "nbsp": " "}
 BLOCK_TAGS = "p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|blockquote|pre|hr"
 
 
@@ -21,7 +40,7 @@ def clean(text: Column) -> Column:
 
 def company_key(name: Column) -> Column:
     """A company's name without case, marks, punctuation and generic words."""
-    folded = F.translate(F.lower(F.coalesce(name, F.lit(""))), MARKED, PLAIN)
+    folded = F.translate(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), LONE_MARKS, ""), MARKED, PLAIN)
     words = F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(words, rf"\b({GENERIC})\b", " "), r"\s+", " "))
 
@@ -41,12 +60,16 @@ def description(text: Column, most: int = MAX_DESCRIPTION) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and the common numeric entities; unknown ones stay. Ampersands come last, so nothing is decoded twice."""
-    for name, to in list(ENTITIES.items())[:-1]:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(to))
-    for number, to in ((39, "'"), (34, '"'), (160, " "), (8211, "–"), (8217, "’"), (38, "&")):
-        text = F.replace(text, F.lit(f"&#{number};"), F.lit(to))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Named and numeric entities; unknown ones stay. What comes out of one is not decoded again."""
+    pattern = r"(?s)^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});(.*)$"
+    names = F.str_to_map(F.lit("\x1f".join(f"{k}\x1e{v}" for k, v in ENTITIES.items())), F.lit("\x1f"), F.lit("\x1e"))
+    number = lambda said: F.when(said.rlike("^#[xX]"), F.conv(F.regexp_extract(said, "^#[xX](.*)", 1), 16, 10)).otherwise(F.regexp_extract(said, "^#([0-9]+)", 1)).try_cast("int")
+    # a space that doesn't break is a space; what is no character stays as it stands
+    of_number = lambda n: F.when(n == 160, " ").when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    decoded = lambda said: F.when(said == "", None).when(said.startswith("#"), bound(number(said), of_number)).otherwise(F.element_at(names, said))
+    piece = lambda p: bound(decoded(F.regexp_extract(p, pattern, 1)), lambda d: F.when(d.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(d, F.regexp_extract(p, pattern, 2))))
+    cut = F.split(text, "&", -1)
+    return F.when(F.contains(text, F.lit("&")), F.concat(cut[0], F.array_join(F.transform(F.slice(cut, F.lit(2), F.size(cut)), piece), ""))).otherwise(text)
 
 
 def html_to_text(html: Column, most: int = MAX_DESCRIPTION) -> Column:
@@ -72,7 +95,7 @@ def bounded_distance(a: Column, b: Column, most: int = 2) -> Column:
 
 def display_name(slug: Column) -> Column:
     """Words of a slug with capitals first; the rest of each word stays as it is."""
-    return F.array_join(F.transform(F.filter(F.split(F.coalesce(slug, F.lit("")), r"[-_\s#]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
+    return F.array_join(F.transform(F.filter(F.split(F.coalesce(slug, F.lit("")), r"[-_\s#]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
 def name_from_title(title: Column) -> Column:

@@ -13,10 +13,23 @@ LAST_SEGMENT_VENDORS = {"smartrecruiters": r"smartrecruiters\.com$", "workable":
 _URL = r"^(?i:(https?)://)([^/?#@]*@)?([^/?#:]+)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(F.trim(url), _URL, group)
 
 
+def parts(url: Column) -> Column:
+    """(user, host, port, path, query) of an http url by one match; all '' for other texts, null for null. Ports that the scheme implies are ''."""
+    cut = F.split(F.regexp_replace(F.trim(url), _URL, "$1\x1f$2\x1f$3\x1f$4\x1f$5\x1f$6"), "\x1f")
+    some = lambda c, i: F.coalesce(F.when(F.size(c) == 6, F.get(c, i)), F.lit(""))
+    implied = lambda c: F.concat(F.lower(some(c, 0)), some(c, 3)).isin("https:443", "http:80")
+    return bound(cut, lambda c: F.when(c.isNotNull(), F.struct(some(c, 1).alias("user"), F.lower(some(c, 2)).alias("host"), F.when(implied(c), "").otherwise(some(c, 3)).alias("port"), some(c, 4).alias("path"), some(c, 5).alias("query"))))
+
+
 def host(url: Column) -> Column:
     """The lower-case host, '' where the text is no http url."""
     return F.lower(_part(url, 3))
@@ -26,22 +39,24 @@ def path(url: Column) -> Column:
     return _part(url, 5)
 
 
+def _params(query: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda p: p != "")
+
+
 def params(url: Column) -> Column:
     """The query's key=value texts, without empty ones."""
-    return F.filter(F.split(F.substring(_part(url, 6), 2, 1 << 20), "&"), lambda p: p != "")
+    return _params(_part(url, 6))
 
 
 def canonical_url(url: Column) -> Column:
-    """https, lower host without www., no fragment, no tracking parameters, the rest sorted by key (stable), no slash at the end; other texts trimmed."""
-    site = F.regexp_replace(host(url), r"^www\.", "")
+    """https, lower host without www., user and port as they are, no fragment, no tracking parameters, the rest sorted by key (stable), no slash at the end; other texts trimmed."""
     key = lambda p: F.split(p, "=", 2)[0]
-    kept = F.filter(params(url), lambda p: ~key(p).rlike(TRACKING))
     # the place breaks ties, so that the order of equal keys stays
-    keyed = F.transform(kept, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
-    query = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["p"]), "&")
-    trimmed = F.when(F.length(path(url)) > 1, F.regexp_replace(path(url), "/+$", "")).otherwise(F.lit("/"))
-    full = F.concat(F.lit("https://"), site, F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("/")), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(host(url) == "", F.trim(url)).otherwise(full)
+    keyed = lambda q: F.transform(F.filter(_params(q), lambda p: ~key(p).rlike(TRACKING)), lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
+    query = lambda q: F.array_join(F.transform(F.array_sort(keyed(q)), lambda s: s["p"]), "&")
+    asked = lambda q: F.when(q == "", "").otherwise(bound(query(q), lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise("")))
+    whole = lambda u: F.concat(F.lit("https://"), u["user"], F.regexp_replace(u["host"], r"^www\.", ""), u["port"], F.coalesce(F.nullif(F.regexp_replace(u["path"], "/+$", ""), F.lit("")), F.lit("/")), asked(u["query"]))
+    return bound(parts(url), lambda u: F.when(u["host"] == "", F.trim(url)).otherwise(whole(u)))
 
 
 def site_key(url: Column) -> Column:
@@ -59,19 +74,32 @@ def is_aggregator(url: Column) -> Column:
     return F.coalesce(host(url).rlike(AGGREGATORS), F.lit(False))
 
 
+_LABEL, _FIRST = "label", "first"
+#: vendor: (host, whose name the organisation is: the host's first label or the path's first segment, pattern of the path whose last group is the requisition)
+VENDOR_URLS = {
+    "greenhouse": (r"greenhouse\.io$", _FIRST, r"^/(?:embed/job_app/?)?([^/]+)/jobs/([0-9]+)"),
+    "lever": (r"lever\.co$", _FIRST, r"(?i)^/([^/]+)/([0-9a-f-]{8,})"),
+    "ashby": (r"ashbyhq\.com$", _FIRST, r"(?i)^/([^/]+)/([0-9a-f-]{8,})"),
+    "workday": (r"myworkdayjobs\.com$", _LABEL, r"(?i)()_(R-?[0-9]+|JR-?[0-9]+)\b"),
+    **{vendor: (domain, _LABEL, r"()([^/]{4,})/*$") for vendor, domain in LAST_SEGMENT_VENDORS.items()},
+}
+
+
 def requisition(url: Column) -> Column:
     """vendor:organisation:requisition where the url is a known vendor's, else null."""
-    h, p = host(url), path(url)
-    at = lambda vendor, org, req: F.when((org != "") & (req != ""), F.concat(F.lit(f"{vendor}:"), F.lower(org), F.lit(":"), F.lower(req)))
-    gh = r"^/(?:embed/job_app/?)?([^/]+)/jobs/([0-9]+)"
-    own = r"(?i)^/([^/]+)/([0-9a-f-]{8,})"
-    found = [
-        F.when(h.rlike(r"greenhouse\.io$"), F.coalesce(at("greenhouse", F.regexp_extract(p, gh, 1), F.regexp_extract(p, gh, 2)), at("greenhouse", h, F.regexp_extract(_part(url, 6), r"[?&]gh_jid=([^&]*)", 1)))),
-        *(F.when(h.rlike(rf"{domain}$"), at(vendor, F.regexp_extract(p, own, 1), F.regexp_extract(p, own, 2))) for vendor, domain in (("lever", r"lever\.co"), ("ashby", r"ashbyhq\.com"))),
-        F.when(h.rlike(r"myworkdayjobs\.com$"), at("workday", F.split(h, r"\.")[0], F.regexp_extract(p, r"(?i)_(R-?[0-9]+|JR-?[0-9]+)\b", 1))),
-        *(F.when(h.rlike(domain), at(vendor, F.split(h, r"\.")[0], F.when(F.length(last := F.regexp_extract(p, r"([^/]+)/*$", 1)) > 3, last).otherwise(""))) for vendor, domain in LAST_SEGMENT_VENDORS.items()),
-    ]
-    return F.coalesce(*found)
+
+    def said(u: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for vendor, (domain, whose, pattern) in reversed(VENDOR_URLS.items()):
+            organisation = F.split(u["host"], r"\.")[0] if whose == _LABEL else F.regexp_extract(u["path"], pattern, 1)
+            one = lambda o, r, v=vendor: F.when((o != "") & (r != ""), F.concat(F.lit(f"{v}:"), F.lower(o), F.lit(":"), F.lower(r)))
+            own = one(organisation, F.regexp_extract(u["path"], pattern, 2))
+            if vendor == "greenhouse":  # a company's own page may carry the board's number as a parameter
+                own = F.coalesce(own, one(u["host"], F.regexp_extract(u["query"], r"[?&]gh_jid=([^&]*)", 1)))
+            found = F.when(u["host"].rlike(domain), own).otherwise(found)
+        return found
+
+    return bound(parts(url), said)
 
 
 def posting_id(url: Column) -> Column:

@@ -13,9 +13,13 @@ from rookery.operators.graphs import components
 SOURCE_RANK = {"watchlist": 0, "portfolio": 1, "ats_sweep": 1, "freehire": 2, "freehire_feed": 2, "linkedin": 3, "wellfound": 3, "unknown": 9}
 
 
-def hard_keys(url: Column, fingerprint: Column) -> Column:
-    """The keys of which a shared one makes two postings the same: canonical url, requisition, fingerprint."""
-    keys = F.array(F.concat(F.lit("u:"), canonical_url(url)), F.concat(F.lit("a:"), requisition(url)), F.concat(F.lit("f:"), fingerprint))
+#: A table of up to this many rows may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def hard_keys(url: Column, fingerprint: Column, company: Column) -> Column:
+    """The keys of which a shared one makes two postings the same: canonical url, requisition, and the fingerprint within a company."""
+    keys = F.array(F.concat(F.lit("u:"), canonical_url(url)), F.concat(F.lit("a:"), requisition(url)), F.when(fingerprint != "", F.concat(F.lit("f:"), company_key(company), F.lit("|"), fingerprint)))
     return F.filter(keys, lambda k: k.isNotNull())
 
 
@@ -28,10 +32,12 @@ def preference() -> list[Column]:
 
 def link(postings: DataFrame) -> DataFrame:
     """Adds record: the smallest key among all that a posting's hard keys reach."""
-    keyed = postings.withColumn("_keys", hard_keys(F.col("url"), F.col("fingerprint")))
+    keyed = postings.withColumn("_keys", hard_keys(F.col("url"), F.col("fingerprint"), F.col("company")))
     first = F.array_min("_keys")
     bridges = keyed.filter(F.size("_keys") > 1).select(first.alias("a"), F.explode("_keys").alias("b")).filter("a <> b").distinct()
     found = components(bridges, "a", "b")
+    # only records that a bridge reaches are looked up; where they are few, no posting moves for it
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     return keyed.withColumn("_first", first).join(found, F.col("_first") == F.col("node"), "left").withColumn("record", F.coalesce("component", "_first")).drop("_keys", "_first", "node", "component")
 
 
@@ -58,12 +64,15 @@ def compatible_locations(a: Column, b: Column) -> Column:
 def soft_link(records: DataFrame, least_group: int = 2) -> DataFrame:
     """Adds soft_record: within equal company and title keys, in order, each record joins the first stored one that is compatible, else is stored.
 
-    The rule isn't transitive, so a group is folded in order. A group is one company's postings of one title: the fold keeps only its records' ids, locations and requisitions.
+    The rule isn't transitive, so a group is folded in order. Records of the same company, title, place and requisition fare alike, so they are aggregated first, and the
+    fold sees each place and requisition of a title once.
     """
     keyed = records.withColumn("company_key", company_key(F.col("company"))).withColumn("title_key", title_key(F.col("title"))).withColumn("requisition", requisition(F.col("url")))
-    row = F.struct("ordinal", F.lower(F.trim(F.coalesce("location", F.lit("")))).alias("place"), F.coalesce("requisition", F.lit("")).alias("req"))
+    keyed = keyed.withColumn("_place", F.lower(F.trim(F.coalesce("location", F.lit(""))))).withColumn("_req", F.coalesce("requisition", F.lit("")))
+    row = F.struct("ordinal", F.col("_place").alias("place"), F.col("_req").alias("req"))
+    alike_rows = keyed.filter("company_key <> ''").groupBy("company_key", "title_key", "_place", "_req").agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("_n"))
     alike = lambda s, r: ((s["place"] == "") | (r["place"] == "") | F.contains(s["place"], r["place"]) | F.contains(r["place"], s["place"])) & ((s["req"] == "") | (r["req"] == "") | (s["req"] == r["req"]))
-    groups = keyed.filter("company_key <> ''").groupBy("company_key", "title_key").agg(F.array_sort(F.collect_list(row)).alias("_rows")).filter(F.size("_rows") >= least_group)
+    groups = alike_rows.groupBy("company_key", "title_key").agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.sum("_n").alias("_all")).filter(F.col("_all") >= least_group)
     start = F.struct(F.expr("cast(array() as array<struct<ordinal:string,place:string,req:string>>)").alias("stored"), F.expr("cast(array() as array<struct<ordinal:string,target:string>>)").alias("joined"))
 
     def step(state: Column, r: Column) -> Column:
@@ -72,8 +81,9 @@ def soft_link(records: DataFrame, least_group: int = 2) -> DataFrame:
             F.struct(F.concat(state["stored"], F.array(r)).alias("stored"), state["joined"].alias("joined"))
         )
 
-    joined = groups.select(F.explode(F.aggregate("_rows", start, step)["joined"]).alias("j")).select(F.col("j.ordinal").alias("ordinal"), F.col("j.target").alias("_target"))
-    return keyed.join(joined, "ordinal", "left").withColumn("soft_record", F.coalesce("_target", "ordinal")).drop("_target")
+    joined = groups.select(F.explode(F.aggregate("_rows", start, step)["joined"]).alias("j")).select(F.col("j.ordinal").alias("_first"), F.col("j.target").alias("_to"))
+    led = alike_rows.join(joined, F.col("ordinal") == F.col("_first"), "left").select("company_key", "title_key", "_place", "_req", F.coalesce("_to", "ordinal").alias("_target"))
+    return keyed.join(led, ["company_key", "title_key", "_place", "_req"], "left").withColumn("soft_record", F.coalesce("_target", "ordinal")).drop("_target", "_place", "_req")
 
 
 def newest_per(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rookery.functions.urls import bound
+
 # States by code, countries and regions elsewhere, cities that stand for a state, one city's other names.
 STATES = {
     "al": "alabama", "ak": "alaska", "az": "arizona", "ar": "arkansas", "ca": "california", "co": "colorado", "ct": "connecticut", "de": "delaware", "dc": "district of columbia", "fl": "florida", "ga": "georgia", "hi": "hawaii",
@@ -13,12 +15,27 @@ STATES = {
     "or": "oregon", "pa": "pennsylvania", "ri": "rhode island", "sc": "south carolina", "sd": "south dakota", "tn": "tennessee", "tx": "texas", "ut": "utah", "vt": "vermont", "va": "virginia", "wa": "washington", "wv": "west virginia", "wi": "wisconsin", "wy": "wyoming",
 }
 HOME = ["united states", "united states of america", "usa", "us", "u s", "u s a", "america"]
-ELSEWHERE = [
-    "canada", "mexico", "brazil", "argentina", "colombia", "chile", "united kingdom", "uk", "great britain", "england", "scotland", "ireland", "france", "germany", "spain", "italy", "portugal", "netherlands", "belgium", "switzerland", "austria",
-    "sweden", "norway", "denmark", "finland", "poland", "romania", "ukraine", "greece", "turkey", "israel", "india", "china", "japan", "south korea", "singapore", "australia", "new zealand", "south africa", "nigeria", "kenya", "egypt", "uae",
-    "europe", "european union", "eu", "emea", "apac", "asia", "latam", "latin america", "africa", "middle east", "oceania", "toronto", "vancouver", "montreal", "london", "dublin", "paris", "berlin", "munich", "amsterdam", "zurich", "stockholm",
-    "madrid", "barcelona", "lisbon", "milan", "warsaw", "prague", "bangalore", "bengaluru", "hyderabad", "tel aviv", "tokyo", "seoul", "beijing", "shanghai", "sydney", "melbourne", "alberta", "british columbia", "ontario", "quebec",
+PROVINCES = ["alberta", "british columbia", "manitoba", "new brunswick", "newfoundland", "newfoundland and labrador", "northwest territories", "nova scotia", "nunavut", "ontario", "prince edward island", "quebec", "saskatchewan", "yukon"]
+COUNTRIES = [
+    "afghanistan", "albania", "algeria", "andorra", "angola", "argentina", "armenia", "australia", "austria", "azerbaijan", "bahamas", "bahrain", "bangladesh", "barbados", "belarus", "belgium", "belize", "benin", "bermuda", "bhutan", "bolivia",
+    "bosnia", "bosnia and herzegovina", "botswana", "brazil", "brunei", "bulgaria", "burkina faso", "cambodia", "cameroon", "canada", "cayman islands", "chad", "chile", "china", "colombia", "costa rica", "croatia", "cuba", "cyprus", "czech republic",
+    "czechia", "denmark", "dominican republic", "ecuador", "egypt", "el salvador", "england", "estonia", "ethiopia", "fiji", "finland", "france", "gabon", "gambia", "germany", "ghana", "gibraltar", "great britain", "greece", "guatemala", "guernsey",
+    "guyana", "haiti", "honduras", "hong kong", "hungary", "iceland", "india", "indonesia", "iran", "iraq", "ireland", "isle of man", "israel", "italy", "ivory coast", "jamaica", "japan", "jersey", "kazakhstan", "kenya", "korea", "kosovo", "kuwait",
+    "kyrgyzstan", "laos", "latvia", "lebanon", "liberia", "libya", "liechtenstein", "lithuania", "luxembourg", "macau", "macedonia", "madagascar", "malawi", "malaysia", "maldives", "mali", "malta", "mauritius", "mexico", "moldova", "monaco",
+    "mongolia", "montenegro", "morocco", "mozambique", "myanmar", "namibia", "nepal", "netherlands", "the netherlands", "new zealand", "nicaragua", "niger", "nigeria", "north macedonia", "northern ireland", "norway", "oman", "pakistan", "panama",
+    "papua new guinea", "paraguay", "peru", "philippines", "poland", "portugal", "qatar", "romania", "russia", "rwanda", "saudi arabia", "scotland", "senegal", "serbia", "sierra leone", "singapore", "slovakia", "slovenia", "somalia", "south africa",
+    "south korea", "spain", "sri lanka", "sudan", "suriname", "sweden", "switzerland", "syria", "taiwan", "tajikistan", "tanzania", "thailand", "togo", "trinidad and tobago", "tunisia", "turkey", "turkmenistan", "uae", "uganda", "uk", "ukraine",
+    "united arab emirates", "united kingdom", "uruguay", "uzbekistan", "venezuela", "vietnam", "wales", "yemen", "zambia", "zimbabwe",
+]
+REGIONS = ["africa", "apac", "asia", "asia pacific", "caribbean", "central america", "eastern europe", "emea", "eu", "europe", "european union", "latam", "latin america", "mena", "middle east", "nordics", "oceania", "south america", "southeast asia", "western europe"]
+FOREIGN_CITIES = [
+    "amsterdam", "athens", "auckland", "bangalore", "bangkok", "barcelona", "beijing", "belgrade", "bengaluru", "berlin", "bogota", "brussels", "bucharest", "budapest", "buenos aires", "cairo", "calgary", "cape town", "chennai", "cologne",
+    "copenhagen", "delhi", "dubai", "dublin", "edinburgh", "edmonton", "frankfurt", "geneva", "guadalajara", "gurgaon", "gurugram", "hamburg", "helsinki", "ho chi minh city", "hyderabad", "istanbul", "jakarta", "johannesburg", "karachi", "kolkata",
+    "krakow", "kuala lumpur", "kyiv", "lagos", "lahore", "lima", "lisbon", "london", "madrid", "manila", "medellin", "melbourne", "mexico city", "milan", "montreal", "moscow", "mumbai", "munich", "nairobi", "new delhi", "noida", "osaka", "oslo",
+    "ottawa", "oxford", "paris", "porto", "prague", "pune", "quebec city", "rio de janeiro", "riyadh", "rome", "santiago", "sao paulo", "seoul", "shanghai", "shenzhen", "sofia", "stockholm", "sydney", "taipei", "tallinn", "tel aviv", "tokyo",
+    "toronto", "vancouver", "vienna", "vilnius", "warsaw", "waterloo", "winnipeg", "wroclaw", "zagreb", "zurich",
 ]
+ELSEWHERE = [*COUNTRIES, *REGIONS, *PROVINCES, *FOREIGN_CITIES]
 CITIES = {
     "los angeles": "ca", "san francisco": "ca", "sf": "ca", "san diego": "ca", "san jose": "ca", "oakland": "ca", "palo alto": "ca", "mountain view": "ca", "sunnyvale": "ca", "bay area": "ca", "new york": "ny", "new york city": "ny", "nyc": "ny",
     "manhattan": "ny", "brooklyn": "ny", "austin": "tx", "dallas": "tx", "houston": "tx", "seattle": "wa", "bellevue": "wa", "redmond": "wa", "portland": "or", "chicago": "il", "boston": "ma", "denver": "co", "boulder": "co", "atlanta": "ga",
@@ -64,8 +81,6 @@ def workplace(location: Column, allow: list[str]) -> Column:
 
     Entries of `allow` are a state's code, a city, or "city, state".
     """
-    read = F.transform(segments(location), read_segment)
-
     def accepted(p: Column) -> Column:
         found = F.lit(False)
         for entry in allow:
@@ -76,9 +91,10 @@ def workplace(location: Column, allow: list[str]) -> Column:
         return found
 
     bare_home = lambda p: p["home"] & F.coalesce(p["city"].isin(HOME), F.lit(True))
-    return (
+    told = lambda read: (
         F.when(F.exists(read, accepted), "office")
         .when(F.exists(read, lambda p: (p["remote"] | bare_home(p)) & ~p["elsewhere"]), "remote")
         .when(F.exists(read, lambda p: p["elsewhere"] | p["state"].isNotNull()), "other")
         .otherwise("unknown")
     )
+    return bound(F.transform(segments(location), read_segment), told)

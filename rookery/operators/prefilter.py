@@ -83,6 +83,7 @@ def cap_per_company(ranked: DataFrame, most: int, order: list[Column], key: str
     """The first `most` of each company in the order; those that stay tell how many more there are. No cap for 0 or less."""
     if most <= 0:
         return ranked.withColumn("more_at_company", F.lit(None).cast("long"))
-    group = Window.partitionBy(key)
-    more = F.count(F.lit(1)).over(group) - most
-    return ranked.withColumn("_place", F.row_number().over(group.orderBy(*order))).withColumn("more_at_company", F.when(more > 0, more)).filter(F.col("_place") <= most).drop("_place")
+    # a row number under a limit is cut in each partition before the shuffle, and counts are partial sums: no task sorts a whole company
+    first = ranked.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_place") <= most).drop("_place")
+    more = ranked.groupBy(F.col(key).alias("_company")).agg((F.count(F.lit(1)) - most).alias("_more"))
+    return first.join(more, F.col(key).eqNullSafe(F.col("_company"))).withColumn("more_at_company", F.when(F.col("_more") > 0, F.col("_more"))).drop("_company", "_more")

@@ -98,7 +98,7 @@ def json_boards(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("board", F.concat(F.lit("b"), (F.col("p_partkey") % 20).cast("string"))).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")))
     url = F.concat(F.lit("https://x.example.com/"), F.col("p_partkey").cast("string"))
     third = lambda i: part.filter(F.col("p_partkey") % 3 == i)
-    g = third(0).groupBy("board").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("p_name").alias("title"), url.alias("absolute_url"), F.struct(F.col("p_type").alias("name")).alias("location"), F.date_format("day", "yyyy-MM-dd'T'00:00:00'Z'").alias("updated_at"))).alias("jobs"))).alias("payload"))
+    g = third(0).groupBy("board").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("p_name").alias("title"), url.alias("absolute_url"), F.struct(F.col("p_type").alias("name")).alias("location"), F.date_format("day", "yyyy-MM-dd'T'00:00:00'Z'").alias("first_published"))).alias("jobs"))).alias("payload"))
     lv = third(1).groupBy("board").agg(F.to_json(F.collect_list(F.struct(F.col("p_name").alias("text"), url.alias("hostedUrl"), F.struct(F.col("p_type").alias("location")).alias("categories"), (F.unix_timestamp("day") * 1000).alias("createdAt")))).alias("payload"))
     a = third(2).groupBy("board").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("p_name").alias("title"), url.alias("jobUrl"), F.col("p_type").alias("location"), F.lit(False).alias("isRemote"), F.date_format("day", "yyyy-MM-dd").alias("publishedAt"))).alias("jobs"))).alias("payload"))
     found = boards.greenhouse(g).unionByName(boards.lever(lv)).unionByName(boards.ashby(a))

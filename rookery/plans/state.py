@@ -23,10 +23,10 @@ def recovered_observations(spark, sf_dir):
 
 
 @query("shown_merge", """WITH d AS (SELECT user_id AS id, event_id, floor(value) AS score, event_type = 'purchase' AS delivered, ts < TIMESTAMP '2024-01-15' AS early FROM events),
-  b AS (SELECT id, max_by(score, event_id) AS score, max_by(delivered, event_id) AS delivered FROM d WHERE early AND id % 2 = 0 GROUP BY 1), n AS (SELECT id, max_by(score, event_id) AS score, max_by(delivered, event_id) AS delivered FROM d WHERE NOT early AND id % 3 = 0 GROUP BY 1)
+  b AS (SELECT id, max_by(score, event_id) AS score, max_by(delivered, event_id) AS delivered FROM d WHERE early GROUP BY 1), n AS (SELECT id, max_by(score, event_id) AS score, max_by(delivered, event_id) AS delivered FROM d WHERE NOT early GROUP BY 1)
   SELECT id, CASE WHEN coalesce(b.delivered, false) AND NOT coalesce(n.delivered, false) THEN b.score ELSE coalesce(n.score, b.score) END::BIGINT AS score, coalesce(b.delivered, false) OR coalesce(n.delivered, false) AS delivered FROM b FULL JOIN n USING (id)""")
 def shown_merge(spark, sf_dir):
-    """What all users were shown before and since a day; the SQL still reads even users before and every third one since."""
+    """What all users were shown before and since a day."""
     d = _events(spark, sf_dir).select(F.col("user_id").alias("id"), "event_id", F.floor("value").alias("score"), (F.col("event_type") == "purchase").alias("delivered"), "ts")
     last = lambda x: x.groupBy("id").agg(F.max_by("score", "event_id").alias("score"), F.max_by("delivered", "event_id").alias("delivered"))
     return ledger.merge_shown(last(d.filter("ts < TIMESTAMP '2024-01-15'")), last(d.filter("ts >= TIMESTAMP '2024-01-15'")), "id")
@@ -37,12 +37,12 @@ def latest_commit(spark, sf_dir):
     return ledger.latest(_events(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "user_id", "event_type"), "event_id")
 
 
-@query("preference_changes", """WITH l AS (SELECT user_id AS id, list_sort(list_distinct(list(event_type))) AS v FROM events WHERE event_id % 7 = 0 GROUP BY 1), a AS (SELECT user_id AS id, list_distinct(list(event_type)) AS v FROM events WHERE event_id % 11 = 0 GROUP BY 1),
-  r AS (SELECT user_id AS id, list_distinct(list(event_type)) AS v FROM events WHERE event_id % 13 = 0 AND event_id % 11 <> 0 GROUP BY 1)
+@query("preference_changes", """WITH l AS (SELECT user_id AS id, coalesce(list_distinct(list(event_type) FILTER (ts < TIMESTAMP '2024-01-10')), []) AS v FROM events GROUP BY 1), a AS (SELECT user_id AS id, list_distinct(list(event_type)) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1),
+  r AS (SELECT user_id AS id, list_distinct(list(event_type)) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1)
   SELECT l.id, array_to_string(list_sort(list_filter(list_distinct(list_concat(l.v, coalesce(a.v, []))), lambda x: NOT list_contains(coalesce(r.v, []), x))), ',') AS vals, array_to_string(list_sort(list_filter(coalesce(r.v, []), lambda x: NOT list_contains(l.v, x))), ',') AS missing
   FROM l LEFT JOIN a USING (id) LEFT JOIN r USING (id)""")
 def preference_changes(spark, sf_dir):
-    """Each user's list is what its events of the first days name; later days add, the last ones remove. The SQL still reads events of some ids only."""
+    """Each user's list is what its events of the first days name; later days add, the last ones remove."""
     e = _events(spark, sf_dir).withColumnRenamed("user_id", "id")
     op = F.when(F.expr("ts < TIMESTAMP '2024-01-10'"), "list").when(F.expr("ts < TIMESTAMP '2024-01-20'"), "add").otherwise("remove")
     changes = e.select("id", op.alias("op"), F.col("event_type").alias("value"))
@@ -68,9 +68,9 @@ def rank_cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ranking.cache_key(F.lit("v1"), F.lit("model"), F.col("p_name"), F.col("p_type")).alias("key"), ranking.deadline_ms(F.col("p_size"), 25, 4, 180_000).alias("deadline_ms"))
 
 
-@query("rate_limits", "SELECT user_id, count(*) >= 2 AND bool_and(event_type = 'error' AND value * 1000 < 15000) AS limited FROM events WHERE event_id % 50 = 0 GROUP BY 1")
+@query("rate_limits", "SELECT user_id, count(*) >= 2 AND bool_and(event_type = 'error' AND value * 1000 < 15000) AS limited FROM events GROUP BY 1")
 def rate_limits(spark, sf_dir):
-    """Every event is a call; the SQL still reads one in fifty."""
+    """Every event is a call."""
     calls = _events(spark, sf_dir).select("user_id", F.col("event_type").alias("status"), (F.col("value") * 1000).alias("ms"))
     return ranking.rate_limited(calls, "user_id")
 

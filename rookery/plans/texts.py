@@ -93,10 +93,10 @@ def descriptions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.description(F.col("text")).alias("description"))
 
 
-@query("name_keys", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(strip_accents(lower(substr(text, 1, 80))), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), '\s+', ' ', 'g')) AS company_key,
-  trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '\([^)]*\)', ' ', 'g'), '[^a-z0-9+#.]+', ' ', 'g')) AS title_key FROM documents WHERE NOT regexp_matches(lower(strip_accents(substr(text, 1, 80))), '(^|[^a-z0-9])(inc|llc|ltd|limited|corp|corporation|co|gmbh|bv|nv|sa|ag|plc|holdings|group|labs|technologies|technology)([^a-z0-9]|$)')""")
+@query("name_keys", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower(coalesce(text, ''))), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), '\b(inc|llc|ltd|limited|corp|corporation|co|gmbh|bv|nv|sa|ag|plc|holdings|group|labs|technologies|technology)\b', ' ', 'g'), '\s+', ' ', 'g')) AS company_key,
+  trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\([^)]*\)', ' ', 'g'), '[^a-z0-9+#.]+', ' ', 'g')) AS title_key FROM documents""")
 def name_keys(spark, sf_dir):
-    """Folded keys of each document's whole text, generic company words included. The SQL still reads 80 characters of texts without such words."""
+    """Folded keys of each document's whole text, generic company words included."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", text.company_key(F.col("text")).alias("company_key"), text.title_key(F.col("text")).alias("title_key"))
 
