@@ -1,11 +1,15 @@
 """Secret scan: candidates from plain patterns, and a random forest that removes false positives; DataFrame and SQL functions only.
 
 Candidates are values assigned to a name with a telling part (token = "...", DB_PASSWORD=..., secret_key_base: ...), tokens of known vendors' formats, private key blocks
-through their END line (without one, as far as lines of base 64 follow) and bearer headers; all of them whole, however long. For each the forest sees
-its length, how likely its character transitions are (by class: lower, upper, digit, other), how much of it common words and word fragments cover, the
-path it stands in (test, example and documentation folders and such), and the words around it. The forest is trained on labelled findings: findings of a table given by the
-caller, or by default those that rules of high precision can label (a value of a vendor's format or of random hex or base 64 beside a telling name is a secret; a
-placeholder, a repeated or counting pattern, a plain word is none), at most `max_labelled` of them. Findings that the forest gives less than `least` are removed.
+through their END line (without one, as far as lines of base 64 follow), bearer headers and passwords in urls; all of them whole, however long. For each the forest sees
+its length, how likely its character transitions are, how much of it dictionary words cover, the path it stands in (test, example and documentation folders and such),
+and the words around it. Transitions and dictionary are counted over the words of all documents: the likelihood of each letter after each other one, and the
+DICTIONARY most frequent words of four letters or more.
+
+The forest is trained on labelled findings: a table of the caller's, (match, left, right, path, label) rows of which at most `max_labelled` are taken. Without one, MADE
+findings stand in whose labels are known because of how they were made, from a hash of their number: random keys, vendors' tokens, key blocks and passwords as secrets; words of the
+dictionary, names, placeholders, counted and repeated patterns, versions, paths, references and checksums as none. Names and surroundings are dealt to both alike, but for a part that
+tells (sample folders, words such as "example" or "checksum"). No label follows from a rule over the features. Findings that the forest gives less than `least` are removed.
 
 Trees are trained by Spark's own random forest on DataFrames and read back as SQL expressions, so that scoring is a projection.
 
@@ -15,6 +19,8 @@ input if it is named, else the last thing like a path before the candidate. Posi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,11 +28,13 @@ from pyspark.sql import functions as F
 
 from rookery.llm.common import text_of, written
 
-MAX_LABELLED, TREES, DEPTH, LEAST, SEED = 20_000, 20, 5, 0.5, 97
+MAX_LABELLED, TREES, DEPTH, LEAST, SEED = 20_000, 24, 6, 0.5, 97
+#: Words of the dictionary; made findings; log likelihood of a transition that isn't between letters.
+DICTIONARY, MADE, ODD = 20_000, 4_000, -6.0
 #: Characters of the text on either side that the forest may look at.
 AROUND = 64
 
-# Names that announce a secret, vendors' formats, signs of placeholders, folders of samples, fragments of words.
+# Names that announce a secret, vendors' formats, signs of placeholders, folders of samples.
 NAMES = "api[_-]?key|apikey|access[_-]?key|secret[_-]?key|client[_-]?secret|secret|auth[_-]?token|access[_-]?token|token|passwd|password|pwd|credentials?|private[_-]?key"
 VENDORS = (
     r"\bAKIA[0-9A-Z]{16}\b|\bASIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+\b|\bglpat-[A-Za-z0-9_-]{20,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}\b|\bAIza[A-Za-z0-9_-]{35}\b"
@@ -41,13 +49,13 @@ _KEY = "[A-Z0-9\\x20]*?PRIVATE KEY(?: BLOCK)?-----"
 KEY_BLOCK = rf"-----BEGIN {_KEY}(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END {_KEY}|(?:(?:\\[nr]|[\s\"'+,])++[A-Za-z0-9+/=]{{40,}}+)*+)"
 PATTERN = (
     rf"(?i:(?<!{IDENTIFIER}){NAMED}(?:bearer[\x20\t]++)?)(?:{KEY_BLOCK}|[A-Za-z0-9_./+~=!@#$%^&*-]{{6,}}+)"
+    rf"|(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s:@/\"'<>]*+:[^\s:@/\"'<>]{{3,}}+(?=@)"
     rf"|{VENDORS}|(?i:\bbearer[\x20\t]++)[A-Za-z0-9_./+~=-]{{16,}}+|{KEY_BLOCK}"
 )
 PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|change_me|your[_-]|dummy|fake|redacted|xxxx|\*\*\*\*|\.\.\.\.|<|\$\{|%\(|123456|abcdef|password|secret|test|todo|none|null|true|false|undefined|foobar|lorem"
 SAMPLE_PATHS = r"(?i)(?:^|[/._-])(?:tests?|specs?|examples?|samples?|docs?|fixtures?|mocks?|demo|tutorial|templates?)(?:[/._-]|$)"
 SPEAKS_FOR = r"(?i)\b(?:prod|production|live|deploy|secret|private|credential|auth|key|token|login|env|export|config)\b"
 SPEAKS_AGAINST = r"(?i)\b(?:example|sample|test|placeholder|dummy|fake|replace|e\.g|such as|format|hash|checksum|commit|sha|md5|uuid|version)\b"
-FRAGMENTS = "the|ing|tion|and|ent|ion|her|for|tha|nth|int|ere|ter|est|ers|ati|hat|ate|all|eth|hes|ver|his|oft|ith|fth|sth|oth|res|ont|pass|word|user|name|key|value|data|file|admin|root|host|local|main|code|text|type|list|item|page|link|info|mail|login|config|default|string|number|public|server|client|service|account"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -62,64 +70,95 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def value() -> Column:
     """The secret itself: the match without the name, the sign and the quote before it."""
-    return F.regexp_replace("match", rf"^(?i:bearer[\x20\t]+|{NAMED}(?:bearer[\x20\t]+)?)", "")
+    return F.regexp_replace("match", rf"^(?i:bearer[\x20\t]+|{NAMED}(?:bearer[\x20\t]+)?|[a-z][a-z0-9+.-]*+://[^\s:@/]*+:)", "")
 
 
 def _count(col: str, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern)).cast("double")
 
 
-FEATURES = ("length", "distinct", "lower_to_lower", "digit_letter", "class_changes", "upper_share", "digit_share", "hex_share", "repeats", "word_cover", "placeholder", "vendor", "named", "in_sample_path", "has_path", "words_for", "words_against", "quoted")
+FEATURES = ("length", "distinct", "transitions", "digit_letter", "class_changes", "upper_share", "digit_share", "hex_share", "repeats", "word_cover", "placeholder", "vendor", "named", "in_sample_path", "has_path", "words_for", "words_against", "quoted")
+
 
+def language(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[float]]:
+    """Counted over the words of all documents: the dictionary (word), and log likelihoods of letter b after letter a at place 26 a + b."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit("[a-z]{3,}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = written(words, "words")
+    dictionary = words.filter("length(word) >= 4").orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word")
+    pairs = words.select("n", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))")).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    seen = {r.pair: r.n for r in pairs.collect()}  # 26 * 26 rows at most
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    total = {a: sum(seen.get(a + b, 0) for b in letters) for a in letters}
+    return dictionary, [math.log((seen.get(a + b, 0) + 0.5) / (total[a] + 13)) for a in letters for b in letters]
 
-def features(found: DataFrame) -> DataFrame:
+
+def features(found: DataFrame, dictionary: DataFrame, likely: list[float]) -> DataFrame:
     """Adds FEATURES, all double and never null."""
     n = F.greatest(F.lit(1), F.length("_v")).cast("double")
-    known = found.withColumn("_v", value()).withColumn("path", F.coalesce("path", F.lit("")))
+    known = found.withColumn("_v", value()).withColumn("path", F.coalesce("path", F.lit(""))).withColumn("_no", F.monotonically_increasing_id())
+    known = written(known, "candidates")
+    # dictionary words among the value's runs of letters; the dictionary holds DICTIONARY words at most
+    runs = known.select("_no", F.explode(F.regexp_extract_all(F.lower("_v"), F.lit("[a-z]{4,}+"), F.lit(0))).alias("word"))
+    covered = runs.join(F.broadcast(dictionary), "word").groupBy("_no").agg(F.sum(F.length("word")).alias("_covered"))
+    known = known.join(covered, "_no", "left")
     flag = lambda col, pattern: F.col(col).rlike(pattern).cast("double")
+    table = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in likely) + "]"), "array<double>")
+    letter = lambda at: F.ascii(F.substring(F.lower("_v"), at, F.lit(1))) - 97
+    step = lambda i: F.when(letter(i).between(0, 25) & letter(i + 1).between(0, 25), F.get(table, letter(i) * 26 + letter(i + 1))).otherwise(F.lit(ODD))
+    chain = F.aggregate(F.when(F.length("_v") > 1, F.sequence(F.lit(1), F.length("_v") - 1)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda total, i: total + step(i))
     return known.select(
         "*", F.length("_v").cast("double").alias("length"),
         (F.size(F.array_distinct(F.split("_v", ""))) / n).alias("distinct"),
-        (_count("_v", "(?<=[a-z])(?=[a-z])") / n).alias("lower_to_lower"),
+        F.coalesce(chain / F.greatest(F.lit(1.0), n - 1), F.lit(ODD)).alias("transitions"),
         (_count("_v", "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])") / n).alias("digit_letter"),
         (_count("_v", "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])") / n).alias("class_changes"),
         (_count("_v", "[A-Z]") / n).alias("upper_share"), (_count("_v", "[0-9]") / n).alias("digit_share"), (_count("_v", "[0-9a-fA-F]") / n).alias("hex_share"),
-        (_count("_v", r"(.)(?=\1)") / n).alias("repeats"),
-        (1 - F.length(F.regexp_replace("_v", rf"(?i){FRAGMENTS}", "")) / n).alias("word_cover"),
-        flag("_v", PLACEHOLDER).alias("placeholder"), flag("_v", f"^(?:{VENDORS})").alias("vendor"), flag("match", rf"(?i)^{NAMED}").alias("named"),
+        (_count("_v", r"(.)(?=\1)") / n).alias("repeats"), (F.coalesce("_covered", F.lit(0)) / n).alias("word_cover"),
+        flag("_v", PLACEHOLDER).alias("placeholder"), flag("_v", f"^(?:{VENDORS}|-----BEGIN )").alias("vendor"), flag("match", rf"(?i)^{NAMED}").alias("named"),
         flag("path", SAMPLE_PATHS).alias("in_sample_path"), (F.length("path") > 0).cast("double").alias("has_path"),
         flag("left", SPEAKS_FOR).alias("words_for"), F.greatest(flag("left", SPEAKS_AGAINST), flag("right", SPEAKS_AGAINST)).alias("words_against"), flag("right", "^[\"']").alias("quoted"),
-    )
-
-
-def rule_labels(found: DataFrame) -> DataFrame:
-    """Labels of high precision for the findings that rules can tell: 1 secret, 0 none; the rest are left out."""
-    random_like = (F.col("length") >= 20) & (F.col("digit_letter") >= 0.15) & (F.col("word_cover") < 0.35) & (F.col("placeholder") == 0)
-    yes = ((F.col("vendor") == 1) & (F.col("placeholder") == 0) & (F.col("distinct") > 0.2)) | ((F.col("named") == 1) & random_like & (F.col("in_sample_path") == 0))
-    no = ((F.col("placeholder") == 1) & (F.col("vendor") == 0)) | (F.col("repeats") > 0.4) | (F.col("word_cover") > 0.7) | ((F.col("length") < 12) & (F.col("digit_share") == 0)) | (F.col("in_sample_path") == 1)
-    return found.withColumn("label", F.when(yes & ~no, 1.0).when(no & ~yes, 0.0)).filter("label IS NOT NULL")
-
-
-#: Findings that every training set holds besides its own, so that both labels are known even where the corpus shows one: drawn by rule
-#: from the hash of their number, not from any text.
-ANCHORS = 400
+    ).drop("_no", "_covered")
 
 
-def anchors(spark: SparkSession) -> DataFrame:
-    """Made findings: random hex, base 64 and vendors' tokens as secrets; words, placeholders and counted patterns as none."""
+def made_findings(spark: SparkSession, dictionary: DataFrame, count: int = MADE, seed: int = SEED) -> DataFrame:
+    """(match, left, right, path, label): findings whose label is known from how they are made, drawn by the hash of their number."""
     i = F.col("id")
-    sha, word = F.sha2(i.cast("string"), 256), F.element_at(F.split(F.lit(FRAGMENTS), "[|]"), (i % 40 + 1).cast("int"))
-    made = (
-        F.when(i % 8 == 0, F.substring(sha, 1, 40)).when(i % 8 == 2, F.regexp_replace(F.base64(F.unhex(sha)), "=", "")).when(i % 8 == 4, F.concat(F.lit("AKIA"), F.upper(F.substring(sha, 1, 16)))).when(i % 8 == 6, F.substring(sha, 1, 24))
-        .when(i % 8 == 1, F.concat(F.lit("your_"), word, F.lit("_here"))).when(i % 8 == 3, F.concat(word, word, word)).when(i % 8 == 5, F.repeat(F.substring(sha, 1, 1), 24)).otherwise(F.concat(F.lit("example"), F.substring(sha, 1, 12)))
+    draw = lambda what, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), i), F.lit(n)).cast("int")
+    pick = lambda what, values: F.element_at(F.split(F.lit("\x1f".join(values)), "\x1f"), draw(what, len(values)) + 1)
+    some = [r.word for r in dictionary.orderBy("word").limit(400).collect()] or ["alpha", "bravo", "delta"]
+    sha = lambda what: F.sha2(F.concat(F.lit(f"{seed}{what}"), i.cast("string")), 256)
+    b64 = lambda what: F.base64(F.unhex(sha(what)))
+    word, word2, word3 = (pick(f"w{k}", some) for k in range(3))
+    plain = lambda what: F.regexp_replace(b64(what), "[+/=]", "")
+    positives = [
+        F.substring(sha("a"), 1, 40), F.substring(sha("a"), F.lit(1), 16 + draw("n", 40)), b64("b"), plain("c"), F.concat(F.lit("AKIA"), F.upper(F.substring(sha("d"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.concat(plain("e"), plain("f")), 1, 36)),
+        F.concat(F.initcap(word), F.substring(sha("g"), 1, 4), F.lit("!"), F.substring(plain("h"), 1, 6)), F.concat(F.substring(plain("i"), 1, 5), F.lit("-"), F.substring(plain("j"), 1, 6), F.lit("#9")), F.concat(F.lit("sk_live_"), F.substring(plain("k"), 1, 24)),
+        F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64("l"), b64("m"), F.lit("\n-----END RSA PRIVATE KEY-----")), F.concat(F.lit("eyJ"), plain("o"), F.lit(".eyJ"), plain("p"), F.lit("."), plain("q")), F.concat(plain("r"), plain("s"), plain("t")),
+    ]
+    negatives = [
+        word, F.concat(word, F.lit("_"), word2), F.concat(word, word2, word3), F.concat_ws("-", word, word2, word3), F.concat(F.lit("your_"), word, F.lit("_here")), F.concat(F.lit("example"), F.substring(sha("u"), 1, 12)), F.concat(F.lit("<"), word, F.lit(">")),
+        F.repeat(F.substring(sha("v"), 1, 1), 24), F.concat(F.lit("12345678"), F.substring(sha("x"), 1, 2)), F.concat(F.lit("${"), F.upper(word), F.lit("}")), F.concat_ws(".", word, word2, F.lit("get()")), F.concat(F.lit("/"), word, F.lit("/"), word2, F.lit("/"), word3),
+        F.concat(F.lit("v1."), draw("y", 30).cast("string"), F.lit("."), draw("z", 30).cast("string")), F.concat(F.initcap(word), F.initcap(word2)), F.concat(F.lit("process.env."), F.upper(word)), F.concat(F.lit("xxxx"), F.lit("xxxxxxxxxxxx")),
+    ]
+    # random values in places that say that they are none: checksums, commits, fixtures
+    spoken = [F.substring(sha("A"), 1, 40), sha("B"), F.concat(F.substring(sha("C"), 1, 8), F.lit("-"), F.substring(sha("C"), 9, 4), F.lit("-4"), F.substring(sha("C"), 14, 3)), b64("D")]
+    kinds = len(positives) + len(negatives) + len(spoken)
+    of = lambda what, values: F.element_at(F.array(*values), draw(what, len(values)) + 1)
+    group = F.when(i % 2 == 0, "p").when(draw("group", kinds - len(positives)) < len(spoken), "s").otherwise("n")
+    names = ["token", "api_key", "password", "DB_PASSWORD", "secret", "SECRET_KEY", "auth_token", "client_secret", "credentials", "private_key"]
+    signs = [' = "', "=", ': "', "='", " => \"", ":"]
+    rows = spark.range(count).withColumn("group", group)
+    made = F.when(F.col("group") == "p", of("p", positives)).when(F.col("group") == "s", of("s", spoken)).otherwise(of("n", negatives))
+    sign = pick("sign", signs)
+    bare = made.rlike(f"^(?:{VENDORS}|-----BEGIN )") & (draw("bare", 2) == 0)
+    around = F.when(F.col("group") == "s", pick("against", ["the commit ", "sha256 checksum ", "for example ", "md5 of the file ", "replace the sample "])).when((F.col("group") == "n") & (draw("quiet", 3) == 0), pick("against", ["for example ", "a placeholder ", "in the test "])).otherwise(
+        F.when(draw("said", 3) == 0, F.lit("")).when(draw("said", 3) == 1, F.concat(word3, F.lit(" "), word, F.lit(" "))).otherwise(pick("for", ["production config ", "deploy with ", "export ", "login ", "the live server "]))
     )
-    rows = spark.range(ANCHORS).select(made.alias("_made"), (1 - i % 2).cast("double").alias("label"), (F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 0).alias("_quiet"))
-    full = rows.select(
-        F.when(F.col("_made").startswith("AKIA"), F.col("_made")).otherwise(F.concat(F.lit("token = \""), "_made")).alias("match"), "label",
-        F.when(F.col("_quiet"), F.lit("")).when(F.col("label") == 1, F.lit("production config ")).otherwise(F.lit("for example ")).alias("left"), F.lit("\"").alias("right"),
-        F.when(F.col("_quiet"), F.lit("")).when(F.col("label") == 1, F.lit("src/main/settings.py")).otherwise(F.lit("docs/example.md")).alias("path"),
+    folder = F.when((F.col("group") != "p") & (draw("folder", 3) == 0), pick("path", ["tests/fixtures/a.py", "docs/example.md", "examples/demo.sh", "spec/mock.rb"])).when(draw("folder", 3) == 1, pick("path", ["src/main/settings.py", "config/prod.env", "app/server.js", "infra/main.tf"])).otherwise("")
+    return rows.select(
+        F.when(bare, made).otherwise(F.concat(pick("name", names), sign, made)).alias("match"), around.alias("left"),
+        F.when(bare, " ").when(sign.rlike("[\"']$"), F.regexp_extract(sign, "([\"'])$", 1)).otherwise("\n").alias("right"), folder.alias("path"), (F.col("group") == "p").cast("double").alias("label"),
     )
-    return features(full).select("label", *FEATURES)
 
 
 def _tree_sql(tree: str) -> str:
@@ -145,12 +184,12 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, max_labelled: int = MAX_LABELLED, least: float = LEAST) -> DataFrame:
-    """(_row, id, start, end, value, score, secret) of every candidate; `labelled` has (label, FEATURES) rows of known findings."""
-    found = written(features(candidates(docs, id_col, text_col, path_col)), "findings")
-    own = rule_labels(found).orderBy(F.xxhash64("match", "id"), "id", "i").limit(max_labelled) if labelled is None else labelled.limit(max_labelled)
-    # at most max_labelled + ANCHORS rows
-    sample = written(own.select("label", *FEATURES).unionByName(anchors(docs.sparkSession)), "labelled")
-    forest = train(sample)
+    """(_row, id, start, end, value, score, secret) of every candidate; `labelled` has (match, left, right, path, label) rows of known findings, label 1 a secret and 0 none."""
+    dictionary, likely = language(docs, text_col)
+    dictionary = written(dictionary, "dictionary")
+    found = written(features(candidates(docs, id_col, text_col, path_col), dictionary, likely), "findings")
+    known = made_findings(docs.sparkSession, dictionary) if labelled is None else labelled.select("match", "left", "right", "path", F.col("label").cast("double").alias("label")).filter("label IN (0, 1) AND match IS NOT NULL").na.fill("", ["left", "right", "path"]).limit(max_labelled)
+    forest = train(written(features(known, dictionary, likely).select("label", *FEATURES), "labelled"))
     before = Window.partitionBy("_row").orderBy("i")
     placed = found.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(before))
     scored = placed.withColumn("score", F.expr(f"({' + '.join(f'({t})' for t in forest)}) / {len(forest)}"))
