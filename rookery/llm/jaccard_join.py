@@ -10,12 +10,11 @@ same set are one class and join once. Then:
    n - ceil(similarity * n) + 1 shingles of x in the common order (rarest first). Of the sets with such a shingle in common the one of
    the lowest rank is a pivot, and the others are measured against it; those within r link to it. To any other pivot a set is too far to link, so it need
    not be measured.
-3. Voronoi regions: the home of a set is the nearest pivot it was measured against. Sets that are connected by links already need
-   not meet; for others, x is copied to the region of a pivot q if a set y at home there shares a shingle's pivot p with x,
-   |d(x, p) - d(y, p)| <= r, and d(x, q) <= d(y, q) + r (triangle inequality); the largest such d(y, q) is the region's radius. Each pair meets once, in the later
-   one of its two homes, so copies go only to later regions than home.
+3. A pivot's region holds the sets measured against it: those for which it is the nearest, and copies of those nearer to another
+   pivot. Sets that link share one of their first shingles, so they share that shingle's pivot and meet in its region. Sets that are connected by links already
+   need not meet, and a region of one component is done.
 4. A region that fits a task is joined there: pairs of different components whose distances to the pivot are within r of each
-   other. Any other region is divided by pivots of its own, taken from its components in turn. All its members are measured against
+   other (triangle inequality). Any other region is divided by pivots of its own, taken from its components in turn. All its members are measured against
    all of them, which settles the pivots themselves; the others go to the nearest pivot q, and as copies to those with
    d(x, q') <= d(x, q) + 2r and d(x, q') <= radius(q') + r. Regions are divided again until each fits a task. Where pivots
    don't divide (all members are about as far from all of them), blocks of the region meet in pairs, a task for each.
@@ -335,25 +334,10 @@ def _shingle_pivots(sets: DataFrame, percent: int) -> DataFrame:
     return written(attach(firsts, heads, "h", "members", "node", firsts.count()).filter("pivot IS NOT NULL"), "placed")
 
 
-def _regions(placed: DataFrame, distances: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The Voronoi regions of the pivots, as (region, node, label, d, copied) of members that may have partners of another component, and what was measured."""
-    reach = (100 - percent) / 100 + SLACK
-    homes = distances.groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("_home")).select("node", F.col("_home.pivot").alias("home"), F.col("_home.d").alias("home_d"))
-    nodes = written(homes.join(labels, "node", "left").select("node", "home", "home_d", F.coalesce("label", "node").alias("label")), "homes")
-    told = written(placed.join(nodes, "node").join(distances.select("node", "pivot", "d"), ["node", "pivot"]), "told")
-    split = told.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_members")).filter("_lo <> _hi")
-    apart = attach(told.drop("pivot"), split.select("h", "_members"), "h", "_members", "node", told.count()).filter("_members IS NOT NULL")
-    # a shingle of many members is dealt over salts, and the homes of its members go to each
-    apart = written(apart.withColumn("_salts", F.expr(f"cast(ceil(_members / {BLOCK * 16}.0) as int)")).withColumn("_salt", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int")), "apart")
-    there = apart.groupBy("h", "_salts", F.col("home").alias("q")).agg(*(f(c).alias(f"{n}_{c}") for c in ("label", "d") for n, f in (("lo", F.min), ("hi", F.max))), F.max("home_d").alias("radius"))
-    there = there.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    asked = apart.join(there, ["h", "_salt"]).filter((F.col("q") > F.col("home")) & ((F.col("lo_label") != F.col("label")) | (F.col("hi_label") != F.col("label"))) & F.col("d").between(F.col("lo_d") - reach, F.col("hi_d") + reach))
-    asked = written(asked.groupBy("node", F.col("q").alias("pivot")).agg(F.max("radius").alias("radius")), "asked")
-    found = written(_measured(asked.select("node", "pivot"), sets, percent), "found")
-    near = found.join(asked, ["node", "pivot"]).filter(F.col("d") <= F.col("radius") + reach)
-    copies = near.join(nodes.select("node", "label"), "node").select(F.col("pivot").alias("region"), "node", "label", "d", F.lit(1).cast("long").alias("copied"))
-    own = apart.select(F.col("home").alias("region"), "node", "label", F.col("home_d").alias("d"), F.lit(0).cast("long").alias("copied")).distinct()
-    return own.unionByName(copies), found
+def _regions(distances: DataFrame, labels: DataFrame) -> DataFrame:
+    """The regions of the pivots, as (region, node, label, d, copied): each set at home and, as a copy, with every other pivot that it was measured against."""
+    told = distances.select(F.col("pivot").alias("region"), "node", "d").join(labels, "node", "left")
+    return told.select("region", "node", F.coalesce("label", "node").alias("label"), "d", F.lit(0).cast("long").alias("copied"))
 
 
 def _divided(big: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -414,11 +398,11 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     itself = placed.select("pivot").distinct().select(F.col("pivot").alias("node"), "pivot", F.lit(0.0).alias("d"), F.lit(False).alias("linked"))
     ab = lambda df: df.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     links, labels = ab(spokes), components(ab(spokes))
-    regions, found = _regions(placed, spokes.unionByName(itself), labels, sets, percent)
-    links, last = links.unionByName(ab(found)), []
+    regions, last = _regions(spokes.unionByName(itself), labels), []
     for level in range(1, LEVELS + 1):
-        # what has come together since need not meet again
-        renamed = components(links).select("node", F.col("label").alias("_now"))
+        if level > 1:  # what has come together since need not meet again
+            labels = components(links)
+        renamed = labels.select("node", F.col("label").alias("_now"))
         again = lambda df: df.join(renamed, "node", "left").withColumn("label", F.coalesce("_now", "label")).drop("_now")
         if level > 1:
             last.append(_sized(written(again(left), "left"), sets, level - 1))
