@@ -44,6 +44,8 @@ from rookery.llm.shingles import mixed, shingle_sets
 WIDTH, PERCENT = 5, 75
 #: A batch of the first step is sent when it has so many shingles or texts; a bucket gets about so many fingerprints.
 FLUSH_SHINGLES, FLUSH_TEXTS, BUCKET_SHINGLES, LEAST_BUCKETS = 1_000_000, 60_000, 1_000_000, 64
+#: Sets of a batch whose shingles' frequencies are looked up together, as bits of the node's number; sets of more shingles than LONG_SET are batches of their own.
+BATCH_BITS, LONG_SET = 11, 2_048
 #: Members, and their shingles, of a region that one task joins.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 #: Pivots of a region in the first division; twice as many in each further one, up to the limit. Copies are noted as a bit for each level.
@@ -212,9 +214,9 @@ def hash_of(value: str | None) -> int:
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFrame:
-    """(node, key, n, hashes) of the chosen classes, from one of their documents; other texts stay where they are.
+    """(node, key, n, hashes, batch) of the chosen classes, from one of their documents; other texts stay where they are.
 
-    Nodes are numbers given as the table is written, so no two classes share one.
+    Nodes are numbers given as the table is written, so no two classes share one. Sets written one after another share a batch.
     """
     cells, bits = _sieve(chosen, rows)
 
@@ -235,7 +237,9 @@ def _sets(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFram
     passed = docs.mapInArrow(run, f"key binary, id {kind}, hashes array<long>")
     exact = passed.join(chosen.select(F.col("key").alias("_key"), F.col("id").alias("_id")), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     one = exact.groupBy("key").agg(F.first("hashes").alias("hashes"))
-    return written(one.select(F.monotonically_increasing_id().alias("node"), "key", F.size("hashes").alias("n"), "hashes"), "sets")
+    numbered = one.select(F.monotonically_increasing_id().alias("node"), "key", F.size("hashes").alias("n"), "hashes")
+    batch = F.when(F.col("n") > LONG_SET, -1 - F.col("node")).otherwise(F.shiftright("node", BATCH_BITS))
+    return written(numbered.withColumn("batch", batch), "sets")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -316,16 +320,83 @@ def _block_links(percent: int):
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32-bit print of each hash, as one number. Two hashes of one code count as one shingle in the order, which stays the same for all sets."""
+    hashes = hashes.view(np.uint64)
+    return (hashes % np.uint64(buckets)) << np.uint64(32) | hashes >> np.uint64(32)
+
+
+def _first_shingles(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(node, h): the shingles of each set up to n - ceil(similarity * n) + 1 in the common order, rarest first, without those that no other set has.
+
+    Each print goes once for a batch to its bucket, where batches' counts are added, and comes back with the sum, so a shingle in a
+    third of all sets is one entry a batch. The order only has to be the same everywhere, so prints of 32 bits a bucket do.
+    """
+
+    def pack(batches):
+        release()
+        held, at = [], None
+
+        def sent():
+            codes, times = np.unique(_codes(np.concatenate(held), buckets), return_counts=True)
+            held.clear()
+            bucket = (codes >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            prints, times, ends = codes.astype(np.uint32), times.astype(np.uint32), [*starts[1:], len(codes)]
+            for lo in range(0, len(starts), PACKED_ROWS):
+                cuts = list(zip(starts[lo : lo + PACKED_ROWS], ends[lo : lo + PACKED_ROWS]))
+                yield pa.RecordBatch.from_pydict(
+                    {"batch": [at] * len(cuts), "bucket": [int(bucket[i]) for i, _ in cuts], "prints": [prints[i:j].tobytes() for i, j in cuts], "times": [times[i:j].tobytes() for i, j in cuts]}, FREQUENT
+                )
+
+        for some in batches:
+            for batch, hashes in zip(some.column(0).to_pylist(), some.column(1)):
+                if held and batch != at:
+                    yield from sent()
+                at = batch
+                held.append(hashes.values.to_numpy())
+        if held:
+            yield from sent()
+        trim()
+
+    def count(table: pa.Table) -> pa.Table:
+        prints = [np.frombuffer(x, np.uint32) for x in table.column("prints").to_pylist()]
+        times = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("times").to_pylist()])
+        _, which = np.unique(np.concatenate(prints), return_inverse=True)
+        times = np.bincount(which, weights=times).clip(max=0xFFFFFFFF).astype(np.uint32)[which]
+        cuts = np.cumsum([len(x) for x in prints])[:-1]
+        sums = [x.tobytes() for x in np.split(times, cuts)]
+        return table.select(["batch", "bucket", "prints"]).append_column("times", pa.array(sums, pa.binary()))
+
+    def first(mine: pa.Table, counts: pa.Table) -> pa.Table:
+        node, n = mine.column("node").to_numpy(), mine.column("n").to_numpy().astype(np.int64)
+        if not len(node):
+            return FIRSTS.empty_table()
+        hashes, owner = np.concatenate([x.values.to_numpy() for x in mine.column("hashes")]), np.repeat(np.arange(len(node)), n)
+        prints = [np.frombuffer(x, np.uint32) for x in counts.column("prints").to_pylist()]
+        known = np.concatenate(prints).astype(np.uint64) | np.repeat(counts.column("bucket").to_numpy().astype(np.uint64), [len(x) for x in prints]) << np.uint64(32)
+        times = np.concatenate([np.frombuffer(x, np.uint32) for x in counts.column("times").to_pylist()])
+        order = np.argsort(known)
+        times = times[order][np.searchsorted(known[order], _codes(hashes, buckets))]
+        order = np.lexsort((hashes, times, owner))
+        hashes, times = hashes[order], times[order]
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)  # of each shingle in its set's order
+        take = (place < (n + percent * n // -100 + 1)[owner]) & (times > 1)
+        return pa.table({"node": node[owner[take]], "h": hashes[take]}, FIRSTS)
+
+    packed = sets.select("batch", "hashes").mapInArrow(pack, "batch long, bucket long, prints binary, times binary")
+    counted = packed.groupBy("bucket").applyInArrow(count, "batch long, bucket long, prints binary, times binary")
+    return sets.select("batch", "node", "n", "hashes").groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(first, "node long, h long")
+
+
+FREQUENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("prints", pa.binary()), ("times", pa.binary())])
+FIRSTS = pa.schema([("node", pa.int64()), ("h", pa.int64())])
+
+
 def _shingle_pivots(sets: DataFrame, percent: int) -> DataFrame:
     """(h, members, node, pivot): the sets that share one of their first shingles, and the pivot of each such shingle."""
-    shingles = sets.select("node", "n", F.explode("hashes").alias("h"))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = attach(shingles, counted, "h", "df", "node", total)
-    # the first shingles of each node in the common order, rarest first; those that no other node has come first of all and have no pivot
-    ordered = common.groupBy("node", "n").agg(F.sum(F.when(F.col("df").isNull(), 1).otherwise(0)).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "h")))).alias("_order"))
-    keep = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1 - alone")
-    firsts = written(ordered.filter(keep > 0).select("node", F.explode(F.slice("_order", F.lit(1), keep.cast("int"))).alias("s")).select("node", F.col("s.h").alias("h")), "firsts")
+    firsts = written(_first_shingles(sets, percent, max(LEAST_BUCKETS, -(-total // BUCKET_SHINGLES))), "firsts")
     ranked = F.struct(F.xxhash64("node").alias("rank"), F.col("node"))
     heads = firsts.groupBy("h").agg(F.min(ranked).alias("head"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node", F.lit(7)) % (1 << 40)).alias("mark"), F.sum(F.xxhash64("node", F.lit(8)) % (1 << 40)).alias("mark2")).filter("members > 1")
     # shingles of the same members are one
