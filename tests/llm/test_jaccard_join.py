@@ -110,3 +110,25 @@ def test_keep_one_of_every_component(spark):
     want = [rows[min(ks, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))] for ks in parts.values()]
     got = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs_of(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("long_set", [2_048, 6])
+def test_first_shingles(spark, monkeypatch, long_set):
+    """The exchange by bucket and batch against counts made here; sets of more than `long_set` shingles travel alone."""
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(-60, 60), rng.randint(1, 12))) for _ in range(80)] + [[7]] * 3
+    spread = lambda x: x * 0x9E3779B97F4A7C1 % (1 << 64) - (1 << 63)
+    sets = [sorted(spread(x) for x in s) for s in sets]
+    rows = [(i, len(s), s, -1 - i if len(s) > long_set else i // 16) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, n int, hashes array<long>, batch long").repartition(3)
+    found = sorted(tuple(r) for r in jaccard_join._first_shingles(df, 75, 4).collect())
+    times = {}
+    for s in sets:
+        for h in s:
+            times[h] = times.get(h, 0) + 1
+    expected = []
+    for i, s in enumerate(sets):
+        order = sorted(s, key=lambda h: (times[h], h))[: len(s) + -75 * len(s) // 100 + 1]
+        expected += [(i, h) for h in order if times[h] > 1]
+    assert found == sorted(expected)
+    assert jaccard_join._first_shingles(df.limit(0), 75, 4).count() == 0
