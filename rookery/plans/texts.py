@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rookery.functions import dates, jsons, pages, text, urls
+from rookery.functions import dates, jsons, text, urls
+from rookery.operators import sites
 from rookery.plans.registry import query, table
 
 _SITE = r"regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '')"
@@ -42,18 +43,37 @@ def page_links(spark, sf_dir):
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("link").alias("distinct_links"))
 
 
-@query("careers_links", r"""WITH l AS (SELECT page_id, list_distinct(list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*?href=["'']([^"''>]+)["'']', 1), lambda x: regexp_matches(x, '(?i)(^|[^a-z])(careers?|jobs?|join-us|work-with-us|openings?|vacancies|positions|hiring)([^a-z]|$)'))) AS c FROM pages)
-  SELECT page_id, len(c)::INT AS n FROM l""")
-def careers(spark, sf_dir):
-    """Careers links of each page's own site. The SQL still tests the hrefs' text only."""
-    return table(spark, sf_dir, "pages").select("page_id", F.size(pages.careers_links(F.col("html"), F.col("url"))).alias("n"))
+_PAGES = """SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN NULL ELSE html || '<a href="/jobs/' || page_id || '">open</a><a class="x" href="team"><b>Join</b> us</a><a href="https://careers.' || regexp_extract(url, '://(?:www\\.)?([^/]+)', 1) || '/">all</a><a href="https://other.example/jobs">jobs</a><a href="/jobs/' || page_id || '/">again</a>' END AS html FROM pages"""
 
 
-@query("page_boards")
+@query("careers_links", rf"""WITH p AS ({_PAGES}), o AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS origin, regexp_extract(url, '://(?:www\.)?([^/]+)', 1) AS site, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[^/]*$', '') AS folder,
+    len(regexp_extract_all(html, '<a ')) AS n, html FROM p WHERE html IS NOT NULL)
+  SELECT page_id, (n - 5)::INT AS place, origin || '/jobs/' || page_id AS url FROM o UNION ALL SELECT page_id, (n - 4)::INT, origin || CASE WHEN folder = '' THEN '/' ELSE folder END || 'team' FROM o UNION ALL SELECT page_id, (n - 3)::INT, 'https://careers.' || site || '/' FROM o""")
+def careers(spark, sf_dir):
+    """Careers links of each page's own site, told by path, host or text; six pages of seven get some besides their own links."""
+    site = F.regexp_extract("url", r"://(?:www\.)?([^/]+)", 1)
+    more = F.concat(F.lit('<a href="/jobs/'), F.col("page_id").cast("string"), F.lit('">open</a><a class="x" href="team"><b>Join</b> us</a><a href="https://careers.'), site, F.lit('/">all</a><a href="https://other.example/jobs">jobs</a><a href="/jobs/'), F.col("page_id").cast("string"), F.lit('/">again</a>'))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 7 != 0, F.concat("html", more)))
+    return sites.careers_in_pages(pages, "page_id", "html", "url")
+
+
+@query("page_boards", """WITH s AS (SELECT page_id, page_id % 5 AS k, 'b' || (page_id % 97) AS slug FROM pages WHERE page_id % 6 <> 0)
+  SELECT page_id, CASE k WHEN 0 THEN 'lever' WHEN 1 THEN 'greenhouse' WHEN 2 THEN 'breezy' WHEN 3 THEN 'workday' ELSE 'ashby' END AS vendor,
+    CASE k WHEN 3 THEN slug || '|wd5|Site' WHEN 4 THEN slug || ' co' ELSE slug END AS slug,
+    CASE k WHEN 0 THEN 'https://jobs.lever.co/' || slug WHEN 1 THEN 'https://job-boards.greenhouse.io/' || slug WHEN 2 THEN 'https://' || slug || '.breezy.hr' WHEN 3 THEN 'https://' || slug || '.wd5.myworkdayjobs.com/Site' ELSE 'https://jobs.ashbyhq.com/' || slug || '%20co' END AS careers_url,
+    CASE k WHEN 0 THEN 2 ELSE 1 END::BIGINT AS n FROM s""")
 def page_boards(spark, sf_dir):
-    """Every board that a page names, and how often."""
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(pages.extract_boards(F.col("html"))).alias("b"))
-    return found.select("page_id", "b.vendor", "b.slug", "b.careers_url", F.col("b.count").alias("n"))
+    """Every board that a page names, and how often: pages get links, escaped scripts and embeds of five vendors, and some that name none."""
+    slug = F.concat(F.lit("b"), (F.col("page_id") % 97).cast("string"))
+    forms = F.array(
+        F.concat(F.lit('<a href="https://jobs.lever.co/'), slug, F.lit('">x</a><script>"https:\\/\\/jobs.lever.co\\/'), slug, F.lit('\\/1"</script>')),
+        F.concat(F.lit('<iframe src="//boards.greenhouse.io/embed/job_board?for='), slug, F.lit('&amp;b=1"></iframe><a href="https://boards.greenhouse.io/embed">e</a>')),
+        F.concat(F.lit('<a href="https://'), slug, F.lit('.breezy.hr/p/1">x</a><a href="https://www.breezy.hr">b</a>')),
+        F.concat(F.lit('<a href="https://'), slug, F.lit('.wd5.myworkdayjobs.com/en-US/Site/job/2">x</a>')),
+        F.concat(F.lit('https://jobs.ashbyhq.com/'), slug, F.lit('%20co?utm=1 https://jobs.ashbyhq.com/login')),
+    )
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 6 == 0, F.col("html")).otherwise(F.concat("html", F.get(forms, (F.col("page_id") % 5).cast("int")))))
+    return sites.boards_in_pages(pages, "page_id", "html").withColumnRenamed("count", "n")
 
 
 def _decoded(sql: str) -> str:
