@@ -79,12 +79,11 @@ def pack_sources(spark, sf_dir):
     return packing.pack_sources(counts, "p_brand", "n", 300)
 
 
-@query("rotated_pages", "SELECT n_nationkey, r_regionkey, ((n_nationkey * 5 + r_regionkey - 17) % 125 + 125) % 125 AS place FROM nation, region")
+@query("rotated_pages", "SELECT o_orderkey, o_orderpriority, ((o_orderkey - 17) % (count(*) OVER ()) + count(*) OVER ()) % count(*) OVER () AS place FROM orders")
 def rotated_pages(spark, sf_dir):
-    """Every pair of two small lists, in an order that begins elsewhere each day; the lists are a config's, so their product is small."""
-    regions = table(spark, sf_dir, "region").agg(F.collect_list("r_regionkey").alias("r"))
-    pairs = table(spark, sf_dir, "nation").join(F.broadcast(regions)).select("n_nationkey", F.explode("r").alias("r_regionkey"))
-    return pairs.select("n_nationkey", "r_regionkey", packing.rotated(F.col("n_nationkey") * 5 + F.col("r_regionkey"), F.lit(17), F.lit(125)).alias("place"))
+    """Places of a list that begins elsewhere each day; its length is counted first."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", "o_orderpriority", packing.rotated(F.col("o_orderkey"), F.lit(17), F.lit(orders.count())).alias("place"))
 
 
 @query("unit_keys", "SELECT page_id, 'page:' || regexp_replace(lower(url), '/+$', '') AS key FROM pages")
@@ -92,10 +91,10 @@ def unit_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", unit_key(F.lit("page"), F.col("url")).alias("key"))
 
 
-@query("json_boards", """SELECT 'b' || (p_partkey % 20) AS board, p_name AS title, 'https://x.example.com/' || p_partkey AS url, p_type AS location, DATE '2024-01-01' + (p_size::INT) AS posted_at FROM part""")
+@query("json_boards", """SELECT 'b' || (p_partkey // 50) AS board, p_name AS title, 'https://x.example.com/' || p_partkey AS url, p_type AS location, DATE '2024-01-01' + (p_size::INT) AS posted_at FROM part""")
 def json_boards(spark, sf_dir):
-    """Parts as the payloads of JSON boards, a payload a board and shape, parsed by the adapters of three vendors."""
-    part = table(spark, sf_dir, "part").withColumn("board", F.concat(F.lit("b"), (F.col("p_partkey") % 20).cast("string"))).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")))
+    """Parts as the payloads of JSON boards, a payload a board and shape, parsed by the adapters of three vendors. Boards hold 50 parts, so their number grows with the table."""
+    part = table(spark, sf_dir, "part").withColumn("board", F.concat(F.lit("b"), F.floor(F.col("p_partkey") / 50).cast("string"))).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")))
     url = F.concat(F.lit("https://x.example.com/"), F.col("p_partkey").cast("string"))
     third = lambda i: part.filter(F.col("p_partkey") % 3 == i)
     g = third(0).groupBy("board").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("p_name").alias("title"), url.alias("absolute_url"), F.struct(F.col("p_type").alias("name")).alias("location"), F.date_format("day", "yyyy-MM-dd'T'00:00:00'Z'").alias("first_published"))).alias("jobs"))).alias("payload"))
@@ -105,23 +104,9 @@ def json_boards(spark, sf_dir):
     return found.select("board", "title", "url", "location", "posted_at")
 
 
-@query("flat_boards", "SELECT 'b' || (p_partkey % 20) AS board, p_name AS title, 'https://x.example.com/' || p_partkey AS url, p_type AS location FROM part")
-def flat_boards(spark, sf_dir):
-    """The same parts in the shape of each board of plain JSON in turn."""
-    part = table(spark, sf_dir, "part").withColumn("board", F.concat(F.lit("b"), (F.col("p_partkey") % 20).cast("string")))
-    out = None
-    for i, (path, names) in enumerate(boards.FLAT_BOARDS.values()):
-        mine = part.filter(F.col("p_partkey") % len(boards.FLAT_BOARDS) == i)
-        rows = F.collect_list(F.struct(F.col("p_name").alias(names["title"]), F.concat(F.lit("https://x.example.com/"), F.col("p_partkey").cast("string")).alias(names["url"]), F.col("p_type").alias(names["location"])))
-        payload = mine.groupBy("board").agg(F.to_json(F.struct(rows.alias(path)) if path else rows).alias("payload"))
-        found = boards.flat(payload, path, names).select("board", "title", "url", "location")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-@query("xml_boards", "SELECT 'b' || (s_suppkey % 5) AS board, s_name AS title, 'https://x.example.com/' || s_suppkey AS url, 'n' || s_nationkey AS location FROM supplier")
+@query("xml_boards", "SELECT 'b' || (s_suppkey // 50) AS board, s_name AS title, 'https://x.example.com/' || s_suppkey AS url, 'n' || s_nationkey AS location FROM supplier")
 def xml_boards(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").withColumn("board", F.concat(F.lit("b"), (F.col("s_suppkey") % 5).cast("string")))
+    s = table(spark, sf_dir, "supplier").withColumn("board", F.concat(F.lit("b"), F.floor(F.col("s_suppkey") / 50).cast("string")))
     out = None
     for i, (item, f) in enumerate(boards.XML_BOARDS.values()):
         tag = lambda n, v: F.concat(F.lit(f"<{n}>"), v, F.lit(f"</{n}>"))
@@ -139,10 +124,10 @@ def comment_headers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", h["company"].alias("company"), h["role"].alias("role"), h["url"].alias("url")).filter("company IS NOT NULL")
 
 
-@query("card_boards", "SELECT 'b' || (s_suppkey % 5) AS board, s_name AS title, 'https://x.example.com/' || s_suppkey AS url, 'n' || s_nationkey AS location FROM supplier")
+@query("card_boards", "SELECT 'b' || (s_suppkey // 50) AS board, s_name AS title, 'https://x.example.com/' || s_suppkey AS url, 'n' || s_nationkey AS location FROM supplier")
 def card_boards(spark, sf_dir):
     card = F.format_string('<li class="card"><a href="https://x.example.com/%d"><b>%s</b></a><i>n%d</i></li>', "s_suppkey", "s_name", "s_nationkey")
-    pages = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("b"), (F.col("s_suppkey") % 5).cast("string")).alias("board")).agg(F.concat_ws("", F.collect_list(card)).alias("payload"))
+    pages = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("b"), F.floor(F.col("s_suppkey") / 50).cast("string")).alias("board")).agg(F.concat_ws("", F.collect_list(card)).alias("payload"))
     return boards.html_cards(pages, r'(?s)<li class="card">(.*?)</li>', r"<b>(.*?)</b>", r'href="([^"]+)"', r"<i>(.*?)</i>").select("board", "title", "url", "location")
 
 

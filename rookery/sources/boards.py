@@ -20,13 +20,6 @@ def day(text: Column) -> Column:
     return F.coalesce(number.cast("date"), F.try_to_date(start, "yyyy-MM-dd"), F.try_to_date(mail, "d MMM yyyy"), F.try_to_date(iso_date(text), "yyyy-MM-dd"))
 
 
-def place(text: Column) -> Column:
-    """A location as it stands; of one that is an object, its name or else its city, region and country; of several, each."""
-    said = lambda x: F.coalesce(*(F.nullif(F.get_json_object(x, f"$.{k}"), F.lit("")) for k in ("name", "fullLocation", "location_str")), F.concat_ws(", ", *(F.nullif(F.coalesce(*(F.get_json_object(x, f"$.{k}") for k in ks)), F.lit("")) for ks in (("city",), ("region", "state"), ("country", "countryCode")))))
-    many = F.from_json(text, "array<string>")
-    return F.when(text.startswith("{"), said(text)).when(text.startswith("["), F.array_join(F.transform(many, lambda x: F.when(x.startswith("{"), said(x)).otherwise(x)), "; ")).otherwise(text)
-
-
 def _postings(df: DataFrame, title: Column, url: Column, location: Column, description: Column, posted_at: Column) -> DataFrame:
     """Rows without a title or an http url are no postings."""
     out = df.select("board", clean(title).alias("title"), F.trim(url).alias("url"), F.coalesce(clean(location), F.lit("")).alias("location"), description.alias("description"), day(posted_at).alias("posted_at"))
@@ -57,31 +50,6 @@ def ashby(payloads: DataFrame) -> DataFrame:
     return _postings(j, F.col("j.title"), F.col("j.jobUrl"), F.array_join(places, " · "), F.col("j.descriptionPlain"), F.col("j.publishedAt"))
 
 
-def flat(payloads: DataFrame, path: str, fields: dict[str, str]) -> DataFrame:
-    """Boards of plain JSON: an array at `path` ('' for the whole payload) of objects, with the names of the posting's fields."""
-    names = [fields.get(x, x) for x in ("title", "url", "location", "description", "posted_at")]
-    rows = F.col("payload") if not path else F.get_json_object("payload", f"$.{path}")
-    j = payloads.select("board", F.explode(F.from_json(rows, "array<map<string,string>>")).alias("j"))
-    return _postings(j, F.col("j")[names[0]], F.col("j")[names[1]], place(F.col("j")[names[2]]), html_to_text(F.col("j")[names[3]]), F.col("j")[names[4]])
-
-
-#: Boards of plain JSON: where the rows are and what their fields are called.
-FLAT_BOARDS = {
-    "bamboohr": ("result", {"title": "jobOpeningName", "url": "jobUrl", "location": "location", "posted_at": "datePosted"}),
-    "recruitee": ("offers", {"title": "title", "url": "careers_url", "location": "location", "description": "description", "posted_at": "published_at"}),
-    "pinpoint": ("data", {"title": "title", "url": "url", "location": "location_name", "description": "description"}),
-    "breezy": ("", {"title": "name", "url": "url", "location": "location_name", "posted_at": "published_date"}),
-    "rippling": ("", {"title": "name", "url": "url", "location": "workLocation", "posted_at": "createdOn"}),
-    "workable": ("jobs", {"title": "title", "url": "url", "location": "location", "description": "description", "posted_at": "published_on"}),
-    "smartrecruiters": ("content", {"title": "name", "url": "ref", "location": "location", "posted_at": "releasedDate"}),
-    "oraclecloud": ("items", {"title": "Title", "url": "url", "location": "PrimaryLocation", "posted_at": "PostedDate"}),
-    "phenom": ("jobs", {"title": "title", "url": "applyUrl", "location": "location", "description": "descriptionTeaser", "posted_at": "postedDate"}),
-    "getro": ("jobs", {"title": "title", "url": "url", "location": "location", "posted_at": "created_at"}),
-    "consider": ("jobs", {"title": "title", "url": "url", "location": "location", "posted_at": "timeStamp"}),
-    "gem": ("jobPosts", {"title": "title", "url": "url", "location": "location", "posted_at": "publishedAt"}),
-}
-
-
 def xml_items(payloads: DataFrame, item: str, fields: dict[str, str]) -> DataFrame:
     """Feeds of XML items (RSS, positions): one element a posting, its fields as simple child elements, CDATA or text."""
     cut = payloads.select("board", F.explode(F.regexp_extract_all("payload", F.lit(rf"(?s)<{item}(?:\s[^>]*)?>(.*?)</{item}>"), F.lit(1))).alias("x"))

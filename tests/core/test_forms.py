@@ -1,7 +1,5 @@
 """Forms of urls, names, entities, days and places that the driver's tables do not hold."""
 
-import json
-
 from pyspark.sql import functions as F
 
 from rookery.functions import text, urls
@@ -41,18 +39,6 @@ def test_days(spark):
     assert [str(d) if d else None for d in told(spark, boards.day, given)] == ["2024-05-01"] * 6 + [None] * 4
 
 
-def test_nested_places_and_odd_rows_of_flat_boards(spark):
-    rows = [
-        {"name": "A", "ref": "https://x.com/1", "location": {"city": "Berlin", "region": "BE", "country": "de"}, "releasedDate": "2024-05-01T00:00:00.000Z"},
-        {"name": "B", "ref": "https://x.com/2", "location": {"name": "Remote"}, "releasedDate": 1714521600},
-        {"name": "C", "ref": "https://x.com/3", "location": ["Paris", "Rome"], "releasedDate": None},
-        {"name": "D", "ref": "ftp://x.com/4"}, {"name": "", "ref": "https://x.com/5"}, {"ref": None},
-    ]
-    payloads = spark.createDataFrame([("b", json.dumps({"content": rows})), ("none", None), ("odd", "[1"), ("empty", '{"content": []}')], "board string, payload string")
-    got = boards.flat(payloads, *boards.FLAT_BOARDS["smartrecruiters"]).orderBy("title").collect()
-    assert [(r.title, r.location, str(r.posted_at)) for r in got] == [("A", "Berlin, BE, de", "2024-05-01"), ("B", "Remote", "2024-05-01"), ("C", "Paris; Rome", "None")]
-
-
 def test_fingerprints_count_within_a_company(spark):
     keys = spark.createDataFrame([("https://x.com/1", "f", "Acme Inc"), ("https://x.com/2", "f", "ACME"), ("https://x.com/3", "f", "Other"), ("https://x.com/4", "", "Acme")], "url string, fingerprint string, company string")
     found = [r.k[-1] for r in keys.select("url", linkage.hard_keys(F.col("url"), F.col("fingerprint"), F.col("company")).alias("k")).orderBy("url").collect()]
