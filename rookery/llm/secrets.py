@@ -8,8 +8,10 @@ DICTIONARY most frequent words of four letters or more.
 
 The forest is trained on labelled findings: a table of the caller's, (match, left, right, path, label) rows of which at most `max_labelled` are taken. Without one, MADE
 findings stand in whose labels are known because of how they were made, from a hash of their number: random keys, vendors' tokens, key blocks and passwords as secrets; words of the
-dictionary, names, placeholders, counted and repeated patterns, versions, paths, references and checksums as none. Names and surroundings are dealt to both alike, but for a part that
-tells (sample folders, words such as "example" or "checksum"). No label follows from a rule over the features. Findings that the forest gives less than `least` are removed.
+dictionary, names, placeholders, counted and repeated patterns, versions, paths, references and checksums as none. They stand in WINDOWS places of real documents, dealt to both
+labels alike; some speak of what they are besides: secrets by words or none, at times by one that rather means the contrary, checksums by several words or by their name.
+What a neighbouring word or a part of the name means is learnt: the log odds of the labels of the findings that it stands beside. Words within addresses, hosts and paths don't count.
+No label follows from a rule over the features. Findings that the forest gives less than `least` are removed.
 
 Trees are trained by Spark's own random forest on DataFrames and read back as SQL expressions, so that scoring is a projection.
 
@@ -53,9 +55,13 @@ PATTERN = (
     rf"|{VENDORS}|(?i:\bbearer[\x20\t]++)[A-Za-z0-9_./+~=-]{{16,}}+|{KEY_BLOCK}"
 )
 PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|change_me|your[_-]|dummy|fake|redacted|xxxx|\*\*\*\*|\.\.\.\.|<|\$\{|%\(|123456|abcdef|password|secret|test|todo|none|null|true|false|undefined|foobar|lorem"
+#: What a path of a url begins with; it is no folder.
+HOST = r"^(?:[A-Za-z]+:)?/*[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+(?::[0-9]+)?/"
 SAMPLE_PATHS = r"(?i)(?:^|[/._-])(?:tests?|specs?|examples?|samples?|docs?|fixtures?|mocks?|demo|tutorial|templates?)(?:[/._-]|$)"
-SPEAKS_FOR = r"(?i)\b(?:prod|production|live|deploy|secret|private|credential|auth|key|token|login|env|export|config)\b"
-SPEAKS_AGAINST = r"(?i)\b(?:example|sample|test|placeholder|dummy|fake|replace|e\.g|such as|format|hash|checksum|commit|sha|md5|uuid|version)\b"
+#: Words that stand alone: no part of an address, a host, a path or a longer name.
+ALONE = r"(?<![\w.@/:+-])[a-z][a-z0-9]++(?![@/]|[.:-]\w)"
+#: Characters next to a finding whose words count; findings that a word needs to mean anything, and how far its odds must lean; the places in documents where made findings stand.
+BESIDE, LEAST_SEEN, MEANT, WINDOWS = 28, 20, 1.5, 2_000
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -77,7 +83,7 @@ def _count(col: str, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern)).cast("double")
 
 
-FEATURES = ("length", "distinct", "transitions", "digit_letter", "class_changes", "upper_share", "digit_share", "hex_share", "repeats", "word_cover", "placeholder", "vendor", "named", "in_sample_path", "has_path", "words_for", "words_against", "quoted")
+FEATURES = ("length", "distinct", "transitions", "digit_letter", "class_changes", "upper_share", "digit_share", "hex_share", "repeats", "word_cover", "placeholder", "vendor", "named", "in_sample_path", "has_path", "near_odds", "name_odds", "quoted")
 
 
 def language(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[float]]:
@@ -92,11 +98,34 @@ def language(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[f
     return dictionary, [math.log((seen.get(a + b, 0) + 0.5) / (total[a] + 13)) for a in letters for b in letters]
 
 
-def features(found: DataFrame, dictionary: DataFrame, likely: list[float]) -> DataFrame:
+def _words(found: DataFrame) -> DataFrame:
+    """(_no, named, word): the words that stand alone beside each finding, and the parts of its name; each once."""
+    beside = F.concat(F.expr(f"right(left, {BESIDE})"), F.lit(" \n "), F.expr(f"substring(right, 1, {BESIDE})"))
+    alone = F.regexp_extract_all(F.lower(beside), F.lit(ALONE), F.lit(0))
+    name = F.lower(F.regexp_replace(F.regexp_extract("match", rf"^(?i)({IDENTIFIER}++)(?={SIGN})", 1), "(?<=[a-z0-9])(?=[A-Z])", "_"))
+    each = F.concat(F.transform(F.array_distinct(alone), lambda w: F.struct(F.lit(False).alias("named"), w.alias("word"))), F.transform(F.filter(F.array_distinct(F.split(name, "[_-]+")), lambda w: w != ""), lambda w: F.struct(F.lit(True).alias("named"), w.alias("word"))))
+    return found.select("_no", F.explode(each).alias("_w")).select("_no", "_w.named", "_w.word")
+
+
+def learn_words(labelled: DataFrame) -> DataFrame:
+    """(named, word, odds): the log odds of label 1 beside each word, against those of all findings. `labelled` has match, left, right, label; its size bounds the table."""
+    known = written(labelled.withColumn("_no", F.monotonically_increasing_id()), "labelled")
+    total = known.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).first()
+    p, n = (total.p or 0.0) + 4, (total.n or 0.0) + 4
+    counted = _words(known).join(known.select("_no", "label"), "_no").groupBy("named", "word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    odds = F.log((F.col("p") + 4 * p / (p + n)) / p) - F.log((F.col("n") + 4 * n / (p + n)) / n)
+    told = counted.filter(F.col("p") + F.col("n") >= LEAST_SEEN).select("named", "word", odds.alias("odds"))
+    return told.filter(F.abs("odds") >= MEANT)  # less than that is chance
+
+
+def features(found: DataFrame, dictionary: DataFrame, likely: list[float], odds: DataFrame) -> DataFrame:
     """Adds FEATURES, all double and never null."""
     n = F.greatest(F.lit(1), F.length("_v")).cast("double")
     known = found.withColumn("_v", value()).withColumn("path", F.coalesce("path", F.lit(""))).withColumn("_no", F.monotonically_increasing_id())
     known = written(known, "candidates")
+    # a word is one row of the labelled findings' at least LEAST_SEEN, so there are fewer than those findings have words
+    spoken = _words(known).join(F.broadcast(odds), ["named", "word"]).groupBy("_no").agg(F.sum(F.when(F.col("named"), F.col("odds"))).alias("_name"), F.sum(F.when(~F.col("named"), F.col("odds"))).alias("_near"))
+    known = known.join(spoken, "_no", "left")
     # dictionary words among the value's runs of letters; the dictionary holds DICTIONARY words at most
     runs = known.select("_no", F.explode(F.regexp_extract_all(F.lower("_v"), F.lit("[a-z]{4,}+"), F.lit(0))).alias("word"))
     covered = runs.join(F.broadcast(dictionary), "word").groupBy("_no").agg(F.sum(F.length("word")).alias("_covered"))
@@ -115,13 +144,25 @@ def features(found: DataFrame, dictionary: DataFrame, likely: list[float]) -> Da
         (_count("_v", "[A-Z]") / n).alias("upper_share"), (_count("_v", "[0-9]") / n).alias("digit_share"), (_count("_v", "[0-9a-fA-F]") / n).alias("hex_share"),
         (_count("_v", r"(.)(?=\1)") / n).alias("repeats"), (F.coalesce("_covered", F.lit(0)) / n).alias("word_cover"),
         flag("_v", PLACEHOLDER).alias("placeholder"), flag("_v", f"^(?:{VENDORS}|-----BEGIN )").alias("vendor"), flag("match", rf"(?i)^{NAMED}").alias("named"),
-        flag("path", SAMPLE_PATHS).alias("in_sample_path"), (F.length("path") > 0).cast("double").alias("has_path"),
-        flag("left", SPEAKS_FOR).alias("words_for"), F.greatest(flag("left", SPEAKS_AGAINST), flag("right", SPEAKS_AGAINST)).alias("words_against"), flag("right", "^[\"']").alias("quoted"),
-    ).drop("_no", "_covered")
+        F.regexp_replace("path", HOST, "/").rlike(SAMPLE_PATHS).cast("double").alias("in_sample_path"), (F.length("path") > 0).cast("double").alias("has_path"),
+        F.coalesce("_near", F.lit(0.0)).alias("near_odds"), F.coalesce("_name", F.lit(0.0)).alias("name_odds"), flag("right", "^[\"']").alias("quoted"),
+    ).drop("_no", "_covered", "_near", "_name")
+
+
+def windows(docs: DataFrame, text_col: str = "text", most: int = WINDOWS) -> DataFrame:
+    """(_w, before, after): a place in each of `most` documents, those with the smallest hashes of their texts; the characters on either side. At least one row."""
+    text = text_of(text_col)
+    at = F.pmod(F.xxhash64(text, F.lit(SEED)), F.length(text) + 1).cast("int")
+    around = F.struct(F.xxhash64(text).alias("h"), F.substring(text, F.greatest(F.lit(1), at - AROUND + 1), F.least(at, F.lit(AROUND))).alias("before"), F.substring(text, at + 1, F.lit(AROUND)).alias("after"))
+    chosen = docs.select(around.alias("x")).select("x.*").orderBy("h", "before", "after").limit(most).unionByName(docs.sparkSession.sql("SELECT 0L AS h, '' AS before, '' AS after"))
+    # numbered in one task, as there are `most` rows and one
+    return chosen.select((F.row_number().over(Window.orderBy("h", "before", "after")) - 1).alias("_w"), "before", "after")
 
 
-def made_findings(spark: SparkSession, dictionary: DataFrame, count: int = MADE, seed: int = SEED) -> DataFrame:
-    """(match, left, right, path, label): findings whose label is known from how they are made, drawn by the hash of their number."""
+def made_findings(spark: SparkSession, dictionary: DataFrame, count: int = MADE, seed: int = SEED, places: DataFrame | None = None) -> DataFrame:
+    """(match, left, right, path, label): findings whose label is known from how they are made, drawn by the hash of their number, in the given places of documents."""
+    places = written(places if places is not None else windows(spark.createDataFrame([], "text string")), "windows")
+    n_places = places.count()
     i = F.col("id")
     draw = lambda what, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), i), F.lit(n)).cast("int")
     pick = lambda what, values: F.element_at(F.split(F.lit("\x1f".join(values)), "\x1f"), draw(what, len(values)) + 1)
@@ -144,20 +185,32 @@ def made_findings(spark: SparkSession, dictionary: DataFrame, count: int = MADE,
     spoken = [F.substring(sha("A"), 1, 40), sha("B"), F.concat(F.substring(sha("C"), 1, 8), F.lit("-"), F.substring(sha("C"), 9, 4), F.lit("-4"), F.substring(sha("C"), 14, 3)), b64("D")]
     kinds = len(positives) + len(negatives) + len(spoken)
     of = lambda what, values: F.element_at(F.array(*values), draw(what, len(values)) + 1)
-    group = F.when(i % 2 == 0, "p").when(draw("group", kinds - len(positives)) < len(spoken), "s").otherwise("n")
+    group = F.when(i % 2 == 0, "p").when(draw("group", kinds - len(positives)) < 2 * len(spoken), "s").otherwise("n")
     names = ["token", "api_key", "password", "DB_PASSWORD", "secret", "SECRET_KEY", "auth_token", "client_secret", "credentials", "private_key"]
+    told = ["token_sha256", "key_checksum", "password_hash", "secret-version", "tokenDigest", "api_key_commit"]
     signs = [' = "', "=", ': "', "='", " => \"", ":"]
     rows = spark.range(count).withColumn("group", group)
     made = F.when(F.col("group") == "p", of("p", positives)).when(F.col("group") == "s", of("s", spoken)).otherwise(of("n", negatives))
     sign = pick("sign", signs)
     bare = made.rlike(f"^(?:{VENDORS}|-----BEGIN )") & (draw("bare", 2) == 0)
-    around = F.when(F.col("group") == "s", pick("against", ["the commit ", "sha256 checksum ", "for example ", "md5 of the file ", "replace the sample "])).when((F.col("group") == "n") & (draw("quiet", 3) == 0), pick("against", ["for example ", "a placeholder ", "in the test "])).otherwise(
-        F.when(draw("said", 3) == 0, F.lit("")).when(draw("said", 3) == 1, F.concat(word3, F.lit(" "), word, F.lit(" "))).otherwise(pick("for", ["production config ", "deploy with ", "export ", "login ", "the live server "]))
+    contrary = ["for example ", "in the test ", "of version ", "the commit "]
+    # a checksum says what it is by several words, or by its name
+    by_name = (F.col("group") == "s") & (draw("told", 2) == 0)
+    quiet = F.when(draw("said", 3) == 0, F.lit("")).when(draw("said", 3) == 1, F.concat(word3, F.lit(" "), word, F.lit(" "))).otherwise(pick("for", ["production config ", "deploy with ", "export ", "login ", "the live server "]))
+    around = (
+        F.when(by_name, quiet).when(F.col("group") == "s", pick("against", ["the commit hash is ", "sha256 checksum of a file ", "md5 digest of version ", "replace the sample value ", "the test expects checksum "]))
+        .when((F.col("group") == "n") & (draw("quiet", 3) == 0), pick("against", ["for example ", "a placeholder ", "in the test ", "a sample "]))
+        .when((F.col("group") == "p") & (draw("quiet", 4) == 0), pick("against", contrary)).otherwise(quiet)
     )
-    folder = F.when((F.col("group") != "p") & (draw("folder", 3) == 0), pick("path", ["tests/fixtures/a.py", "docs/example.md", "examples/demo.sh", "spec/mock.rb"])).when(draw("folder", 3) == 1, pick("path", ["src/main/settings.py", "config/prod.env", "app/server.js", "infra/main.tf"])).otherwise("")
-    return rows.select(
-        F.when(bare, made).otherwise(F.concat(pick("name", names), sign, made)).alias("match"), around.alias("left"),
-        F.when(bare, " ").when(sign.rlike("[\"']$"), F.regexp_extract(sign, "([\"'])$", 1)).otherwise("\n").alias("right"), folder.alias("path"), (F.col("group") == "p").cast("double").alias("label"),
+    behind = F.when((F.col("group") == "p") & (draw("behind", 4) == 0), F.concat(pick("contrary", contrary), F.lit(" "))).when((F.col("group") == "n") & (draw("behind", 6) == 0), F.concat(pick("contrary", contrary), F.lit(" "))).otherwise("")
+    # secrets lie about in sample folders too, if less often
+    folder = F.when(draw("folder", 3) == F.when(F.col("group") != "p", 0).otherwise(F.when(draw("astray", 2) == 0, 0).otherwise(-1)), pick("path", ["tests/fixtures/a.py", "docs/example.md", "examples/demo.sh", "spec/mock.rb"])).when(draw("folder", 3) == 1, pick("path", ["src/main/settings.py", "config/prod.env", "app/server.js", "infra/main.tf"])).otherwise("")
+    name = F.when(by_name, pick("toldname", told)).otherwise(pick("name", names))
+    close = F.when(bare & ~by_name, " ").when(sign.rlike("[\"']$"), F.regexp_extract(sign, "([\"'])$", 1)).otherwise("\n")
+    placed = rows.withColumn("_w", draw("place", n_places)).join(F.broadcast(places), "_w", "left")  # WINDOWS rows and one
+    return placed.select(
+        F.when(bare & ~by_name, made).otherwise(F.concat(name, sign, made)).alias("match"), F.substring(F.concat("before", F.lit(" "), around), -AROUND, AROUND).alias("left"),
+        F.substring(F.concat(close, F.lit(" "), behind, "after"), 1, AROUND).alias("right"), folder.alias("path"), (F.col("group") == "p").cast("double").alias("label"),
     )
 
 
@@ -179,6 +232,8 @@ def _tree_sql(tree: str) -> str:
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[str]:
     """A random forest on (label, FEATURES) rows, as one SQL expression a tree."""
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(labelled.select("label", *FEATURES))
+    # the labelled rows, MAX_LABELLED at most, lie in one partition in one order, so the trees don't depend on how they were dealt
+    assembled = assembled.repartition(1).sortWithinPartitions("label", *FEATURES)
     model = RandomForestClassifier(labelCol="label", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed).fit(assembled)
     return [_tree_sql(t.toDebugString) for t in model.trees]
 
@@ -187,9 +242,11 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     """(_row, id, start, end, value, score, secret) of every candidate; `labelled` has (match, left, right, path, label) rows of known findings, label 1 a secret and 0 none."""
     dictionary, likely = language(docs, text_col)
     dictionary = written(dictionary, "dictionary")
-    found = written(features(candidates(docs, id_col, text_col, path_col), dictionary, likely), "findings")
-    known = made_findings(docs.sparkSession, dictionary) if labelled is None else labelled.select("match", "left", "right", "path", F.col("label").cast("double").alias("label")).filter("label IN (0, 1) AND match IS NOT NULL").na.fill("", ["left", "right", "path"]).limit(max_labelled)
-    forest = train(written(features(known, dictionary, likely).select("label", *FEATURES), "labelled"))
+    known = made_findings(docs.sparkSession, dictionary, places=windows(docs, text_col)) if labelled is None else labelled.select("match", "left", "right", "path", F.col("label").cast("double").alias("label")).filter("label IN (0, 1) AND match IS NOT NULL").na.fill("", ["left", "right", "path"]).limit(max_labelled)
+    known = written(known, "known")
+    odds = written(learn_words(known), "odds")
+    forest = train(written(features(known, dictionary, likely, odds).select("label", *FEATURES), "labelled"))
+    found = written(features(candidates(docs, id_col, text_col, path_col), dictionary, likely, odds), "findings")
     before = Window.partitionBy("_row").orderBy("i")
     placed = found.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(before))
     scored = placed.withColumn("score", F.expr(f"({' + '.join(f'({t})' for t in forest)}) / {len(forest)}"))

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import pytest
 
@@ -51,16 +52,58 @@ def test_labels_of_the_caller(spark):
 
 def test_forest_removes_false_positives(spark):
     """On made findings that it was not trained on: nearly all secrets stay, and nearly all that is none goes."""
-    docs = docs_of(spark, [(i, "the quick brown fox jumps over lazy dogs and other animals that live within the forest " * 3) for i in range(5)])
+    docs = docs_of(spark, [(i, f"the quick brown fox {i} jumps over lazy dogs and other animals that live within the forest, write to 26@mail{i}.example.com " * 3) for i in range(40)])
     dictionary, likely = secrets.language(docs)
-    read = lambda seed, n: secrets.features(secrets.made_findings(spark, dictionary, n, seed), dictionary, likely)
-    forest = secrets.train(read(secrets.SEED, 3_000).select("label", *secrets.FEATURES))
-    scored = read(5, 1_500).withColumn("score", secrets.F.expr(f"({' + '.join(f'({t})' for t in forest)}) / {len(forest)}")).select("label", "score").collect()
+    places = secrets.windows(docs)
+    known = secrets.made_findings(spark, dictionary, 3_000, secrets.SEED, places)
+    odds = secrets.learn_words(known)
+    read = lambda rows: secrets.features(rows, dictionary, likely, odds)
+    forest = secrets.train(read(known).select("label", *secrets.FEATURES))
+    scored = read(secrets.made_findings(spark, dictionary, 1_500, 5, places)).withColumn("score", secrets.F.expr(f"({' + '.join(f'({t})' for t in forest)}) / {len(forest)}")).select("label", "score").collect()
     kept = [r for r in scored if r.score >= secrets.LEAST]
     before, precision = sum(r.label for r in scored) / len(scored), sum(r.label for r in kept) / len(kept)
     recall = sum(r.label for r in kept) / sum(r.label for r in scored)
     print(f"precision {before:.3f} before, {precision:.3f} after the forest; recall {recall:.3f}")
     assert before < 0.55 and precision > 0.93 and recall > 0.93
+    told = {(r.named, r.word): r.odds for r in odds.collect()}
+    assert told[False, "checksum"] < -1 and told[True, "checksum"] < -1 and abs(told.get((False, "fox"), 0)) < 0.7 and (False, "com") not in told
+
+
+def test_words_that_stand_alone(spark):
+    text = "For example, a SHA256 of mail6.example.com or x@test.org/sample at /docs/version: e.g. it"
+    found = spark.createDataFrame([(1, "dbTokenHash-v2 = \"x\"", text, "")], "_no long, match string, left string, right string")
+    near = {(r.named, r.word) for r in secrets._words(found.withColumn("left", secrets.F.lit("see mail6.example.com or a test"))).collect()}
+    assert near == {(False, w) for w in ("or", "test")} | {(True, w) for w in ("db", "token", "hash", "v2")}
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="needs the driver's tables")
+def test_planted_findings_in_real_documents(spark):
+    """Every token that the documents hold stays; of findings put into them, secrets stay and checksums and placeholders go, whatever stands around them."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    good = ['token = "{}"', "write to 26@mail6.example.com token: {} and", "API_KEY={} for the test run", 'see docs.example.org/x password = "{}"']
+    bad = ['sha256 checksum of the file: token_sha256 = "{}"', 'the commit hash is token_checksum: "{}"', 'api_key = "your_api_key_here"', "password: changeme123 for example", "secret = ${{SECRET_TOKEN}}", 'token = "xxxxxxxxxxxxxxxx"', "the md5 digest of version two: key_checksum, password_hash={}"]
+    rows = docs.orderBy("doc_id").limit(220).collect()
+    planted = {}
+    for i, r in enumerate(rows):
+        at = len(r.text) // 2
+        form = (good + bad)[i % 11]
+        planted[10_000_000 + i] = (f"{r.text[:at]} {form.format(key(i))} {r.text[at:]}", i % 11 < len(good), at)
+    more = spark.createDataFrame([(k, t) for k, (t, _, _) in planted.items()], "doc_id long, text string")
+    got = secrets.scan(docs.unionByName(more)).collect()
+    own = [r for r in got if r.id < 10_000_000 and len(r.value) == 40 and set(r.value) <= set("0123456789abcdef")]
+    assert len(own) > 10 and all(r.secret for r in own)
+    truth = [(planted[r.id][1], r.secret) for r in got if r.id >= 10_000_000 and planted[r.id][2] <= r.start <= planted[r.id][2] + 80]
+    before = sum(t for t, _ in truth) / len(truth)
+    recall = sum(t and s for t, s in truth) / sum(t for t, _ in truth)
+    precision = sum(t and s for t, s in truth) / sum(s for _, s in truth)
+    lost = [(planted[r.id][0][r.start - 60 : r.end + 30], r.score) for r in got if r.id >= 10_000_000 and planted[r.id][2] <= r.start <= planted[r.id][2] + 80 and planted[r.id][1] != r.secret]
+    print(*lost, sep="\n")
+    print(f"{len(truth)} planted: precision {before:.3f} before, {precision:.3f} after; recall {recall:.3f}")
+    assert len(truth) >= 200 and recall == 1.0 and precision > 0.95
 
 
 def test_language_counts_all_words(spark):
