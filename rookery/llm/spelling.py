@@ -35,7 +35,7 @@ LEAST_LETTERS, LEAST_COUNT, TIMES = 6, 5, 5
 #: One run in so many loses a letter.
 DELETE_ONE_IN = 199
 #: Coarse and fine groups of letters; words of a shard and of a leaf.
-LEVELS, FINE, SHARD_WORDS, LEAF = 12, 32, 20_000, 64
+LEVELS, FINE, SHARD_WORDS, LEAF = 12, 32, 5_000, 64
 MOST = 127
 
 # letters by how often European texts hold them, dealt to the groups there and back so that each group is about as frequent
