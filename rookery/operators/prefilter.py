@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.text import GENERIC, company_key
+from rookery.operators.graphs import cut
 from rookery.operators.places import workplace
 from rookery.operators.titles import has_term, match_title
 
@@ -51,30 +52,47 @@ def company_blocked(company: Column, blocked: list[str]) -> Column:
     return found
 
 
+def _judged_once(rows: DataFrame, by: str, **columns: Column) -> DataFrame:
+    """Adds columns that depend on `by` alone: made for each distinct value, and joined back.
+
+    The values are one row each, so Spark sends them to every task where they are few, by the sizes that it has measured, and splits the hot ones' rows where they aren't.
+    """
+    once = rows.select(by).distinct().select(F.col(by).alias("_value"), *(c.alias(n) for n, c in columns.items()))
+    return rows.join(once, F.col(by).eqNullSafe(F.col("_value")), "left").drop("_value")
+
+
 def classify(postings: DataFrame, p: Preferences) -> DataFrame:
-    """Adds match, workplace and reason: the first rule that rejects a posting, null if none does."""
-    df = postings.withColumn("match", match_title(F.col("title"), p.roles, p.keywords, p.exclude, p.exceptions)).withColumn("workplace", workplace(F.col("location"), p.allow))
+    """Adds match, workplace, company_key and reason: the first rule that rejects a posting, null if none does.
+
+    Titles, locations and companies repeat massively, so each is judged once. The postings are written first, as their columns are read several times.
+    """
+    df = cut(postings, "postings")
+    match = match_title(F.col("title"), p.roles, p.keywords, p.exclude, p.exceptions)
+    fields = [match[c].alias(c) for c in ("excluded", "roles", "keywords", "score")] + [has_term(F.col("title"), terms).alias(c) for c, terms in (("senior", p.seniority), ("level", p.levels), ("deprioritised", p.deprioritise))]
+    df = _judged_once(df, "title", match=F.struct(*fields))
+    df = _judged_once(df, "location", workplace=workplace(F.col("location"), p.allow))
+    df = _judged_once(df, "company", company_key=company_key(F.col("company")), _blocked=company_blocked(F.col("company"), p.block_companies))
     rules = [
-        F.when(company_blocked(F.col("company"), p.block_companies), "company"),
+        F.when(F.col("_blocked"), "company"),
         F.when(F.size("match.excluded") > 0, "title excluded"),
         F.when(F.col("workplace") == "other", "location"),
         F.when((F.col("workplace") == "remote") & F.lit(p.remote == "exclude"), "remote"),
         F.when(F.lit(bool(p.roles)) & (F.size("match.roles") == 0), "no role"),
         F.when(F.col("match.score") < p.least_keywords, "keywords"),
-        F.when(has_term(F.col("title"), p.seniority), "seniority"),
-        F.when(F.coalesce(F.col("description"), F.lit("")).isin("") == F.lit(False), F.when(has_term(F.concat_ws(" ", "title", "description"), p.block_content), "content")),
+        F.when(F.col("match.senior"), "seniority"),
+        F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.when(has_term(F.concat_ws(" ", "title", "description"), p.block_content), "content")),
     ]
-    return df.withColumn("reason", F.coalesce(*rules))
+    return df.withColumn("reason", F.coalesce(*rules)).drop("_blocked")
 
 
 def heuristic(p: Preferences, today: Column) -> Column:
-    """0 to 100, to order what the ranking budget can't hold."""
+    """0 to 100, to order what the ranking budget can't hold; of rows that `classify` has judged."""
     age = F.greatest(F.lit(0), F.datediff(today, F.col("posted_at")))
     total = (
-        F.lit(40) + F.when(F.col("watchlist"), 30).otherwise(0) + F.least(F.lit(30), 10 * F.col("match.score")) + F.when(has_term(F.col("title"), p.levels), 8).otherwise(0)
+        F.lit(40) + F.when(F.col("watchlist"), 30).otherwise(0) + F.least(F.lit(30), 10 * F.col("match.score")) + F.when(F.col("match.level"), 8).otherwise(0)
         + F.when(F.col("workplace") == "office", 8).otherwise(0) - F.when((F.col("workplace") == "remote") & F.lit(p.remote == "rank_lower"), 10).otherwise(0)
         + F.when(age <= 1, 10).when(age <= 3, 6).when(age <= 7, 3).otherwise(0) + F.when(F.coalesce("description", F.lit("")) != "", 3).otherwise(0)
-        - F.when(has_term(F.col("title"), p.deprioritise), 15).otherwise(0)
+        - F.when(F.col("match.deprioritised"), 15).otherwise(0)
     )
     return F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
 
@@ -83,7 +101,8 @@ def cap_per_company(ranked: DataFrame, most: int, order: list[Column], key: str
     """The first `most` of each company in the order; those that stay tell how many more there are. No cap for 0 or less."""
     if most <= 0:
         return ranked.withColumn("more_at_company", F.lit(None).cast("long"))
-    # a row number under a limit is cut in each partition before the shuffle, and counts are partial sums: no task sorts a whole company
+    # the rows are read twice, so they are written once; a row number under a limit is cut in each partition before the shuffle, and counts are partial sums: no task sorts a whole company
+    ranked = cut(ranked, "ranked")
     first = ranked.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_place") <= most).drop("_place")
     more = ranked.groupBy(F.col(key).alias("_company")).agg((F.count(F.lit(1)) - most).alias("_more"))
     return first.join(more, F.col(key).eqNullSafe(F.col("_company"))).withColumn("more_at_company", F.when(F.col("_more") > 0, F.col("_more"))).drop("_company", "_more")

@@ -58,10 +58,10 @@ def _board(mention: Column) -> Column:
             taken = (*RESERVED, *RESERVED_OF.get(vendor, ()))
             if vendor == "workday":
                 site = F.regexp_extract(path, rf"(?i)^{before}(?![a-z]{{2}}(?:-[a-z]{{2}})?(?:[/?#]|$))([a-z0-9_-]{{1,80}})(?=[/?#]|$)", 1)
-                slug = F.concat_ws("|", F.split(host, r"\.")[0], F.split(host, r"\.")[1], site)
+                slug = F.concat_ws("|", F.split(host, r"\.")[0], F.get(F.split(host, r"\."), 1), site)
                 board, full = F.when(site != "", slug), F.format_string(url.replace("{}", "%s"), host, site)
             else:
-                named = F.element_at(F.split(host, r"\."), -3 if vendor != "personio" else -4) if before is None else F.try_url_decode(F.regexp_extract(path, rf"(?i)^{before}{_SLUG}", 1))
+                named = F.try_element_at(F.split(host, r"\."), F.lit(-3 if vendor != "personio" else -4)) if before is None else F.try_url_decode(F.regexp_extract(path, rf"(?i)^{before}{_SLUG}", 1))
                 slug = F.regexp_replace(F.regexp_replace(named, "(?s)[?#&=].*$", ""), "[._-]+$", "")
                 board = F.when(slug != "", slug)
                 full = F.format_string(url.replace("{}", "%s"), slug if before is None else F.replace(F.url_encode(slug), F.lit("+"), F.lit("%20")))

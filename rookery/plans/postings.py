@@ -71,7 +71,7 @@ c AS (SELECT *, CASE WHEN company_key = 'supplier 000000003' THEN 'company' WHEN
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prefilter.classify(postings(spark, sf_dir), PREFERENCES)
-    return df.withColumn("heuristic", prefilter.heuristic(PREFERENCES, F.lit(TODAY).cast("date"))).withColumn("company_key", company_key(F.col("company")))
+    return df.withColumn("heuristic", prefilter.heuristic(PREFERENCES, F.lit(TODAY).cast("date")))
 
 
 @query("posting_identity", f"WITH {POSTINGS} SELECT ordinal, canonical AS canonical_url, substr(sha256('url:' || canonical), 1, 16) AS id, company_key, title AS title_key FROM postings")
@@ -93,7 +93,7 @@ def prefilter_postings(spark, sf_dir):
 @query("cap_per_company", f"""WITH {CLASSIFIED}, k AS (SELECT ordinal, company_key, heuristic, row_number() OVER w AS place, count(*) OVER (PARTITION BY company_key) - 3 AS more FROM c WHERE reason IS NULL
   WINDOW w AS (PARTITION BY company_key ORDER BY heuristic DESC, ordinal)) SELECT ordinal, company_key, heuristic, CASE WHEN more > 0 THEN more END AS more_at_company FROM k WHERE place <= 3""")
 def cap(spark, sf_dir):
-    kept = classified(spark, sf_dir).filter("reason IS NULL")
+    kept = classified(spark, sf_dir).filter("reason IS NULL").select("ordinal", "company_key", "heuristic")
     return prefilter.cap_per_company(kept, 3, [F.desc("heuristic"), F.asc("ordinal")]).select("ordinal", "company_key", "heuristic", "more_at_company")
 
 

@@ -225,13 +225,13 @@ def builtin(pages: DataFrame, today: Column) -> DataFrame:
     band = r"(?i)^([0-9]+(?:\.[0-9]+)?)K(?:-([0-9]+(?:\.[0-9]+)?)K)?\s+Annually$"
     tooltip = F.regexp_replace(F.regexp_extract("p.card", r'aria-label="Job locations"[^>]*data-bs-title="([^"]*)"', 1), "&lt;", "<")
     several = F.filter(F.transform(F.split(F.replace(tooltip, F.lit("&gt;"), F.lit(">")), r"(?i)</div>|<br\s*/?>"), lambda x: clean(html_to_text(x))), lambda x: x != "")
-    known = F.element_at(F.filter(F.array(*map(F.lit, MODES)), lambda m: F.lower(m) == F.lower(mode)), 1)
+    known = F.get(F.filter(F.array(*map(F.lit, MODES)), lambda m: F.lower(m) == F.lower(mode)), 0)
     spots = F.when((where != "") & ~where.rlike(r"(?i)^[0-9]+\s+locations?$"), F.array(where)).otherwise(several)
     location = F.when(F.size(spots) > 0, F.concat_ws(" · ", known, F.array_join(spots, " · "))).otherwise(F.when(known.rlike("(?i)remote"), known))
     k = lambda i: F.regexp_extract(pay, band, i).try_cast("double") * 1000
     cards = cut.select(
         F.col("board").alias("_board"), "_at", F.regexp_extract("p.card", r'data-builtin-track-job-id="([0-9]+)"', 1).alias("_id"),
-        F.struct(clean(html_to_text(F.element_at(companies, -1))).alias("company"), location.alias("location"), k(1).alias("low"), F.coalesce(k(2), k(1)).alias("high"), relative_day(F.regexp_replace(F.regexp_replace(after("fa-clock"), r"(?i)^reposted |\+", ""), "(?i)minute", "hour"), today).alias("day")).alias("c"),
+        F.struct(clean(html_to_text(F.try_element_at(companies, F.lit(-1)))).alias("company"), location.alias("location"), k(1).alias("low"), F.coalesce(k(2), k(1)).alias("high"), relative_day(F.regexp_replace(F.regexp_replace(after("fa-clock"), r"(?i)^reposted |\+", ""), "(?i)minute", "hour"), today).alias("day")).alias("c"),
     ).filter("_id <> ''").groupBy("_board", "_id").agg(F.max_by("c", "_at").alias("c"))
     number = F.regexp_extract("j.url", r"/([0-9]+)(?:[/?#]|$)", 1)
     both = items.withColumn("_number", number).join(cards, (F.col("board") == F.col("_board")) & (F.col("_number") == F.col("_id")), "left")

@@ -47,5 +47,24 @@ def test_fingerprints_count_within_a_company(spark):
 
 def test_places(spark):
     given = ["Vienna, Austria", "Lagos", "Ottawa, Ontario", "Atlanta, Georgia", "Austin, TX", "Remote - US", "Nowhere at all", None]
-    assert told(spark, lambda c: places.workplace(c, ["tx"]), given) == ["other", "other", "other", "other", "office", "remote", "unknown", "unknown"]
+    assert told(spark, lambda c: places.workplace(c, ["tx"]), given) == ["other", "other", "other", "other", "office", "remote", "other", "unknown"]
     assert told(spark, lambda c: places.workplace(c, ["ga"]), ["Atlanta, Georgia", "Tbilisi, Georgia"])[0] == "office"
+
+
+def test_places_of_a_location(spark):
+    """Own strings for each rule of reading: accepted are California, New York City, Austin and Portland, Oregon."""
+    allow = ["California", "New York, NY", "NYC", "Austin, TX", "Portland, OR"]
+    cases = {
+        "office": ["Fresno, CA", "Oakland", "Menlo Park", "Greater Los Angeles Area", "San Diego, California, USA", "Queens, New York", "Berlin; Austin, TX", "Oslo & San Jose", "Denver (hybrid), Pasadena", "Seattle, WA, USA, Portland, OR, USA", "100 Main St, Irvine, CA 92612", "US-CA-San Francisco", "Roving California"],
+        "remote": ["Remote", "Anywhere", "Remote - United States", "USA (Remote)", "United States", "Denver, CO or Remote", "America · Mexico", "Remote, New Mexico"],
+        "other": ["Buffalo, New York, United States", "West New York, NJ", "Portland, ME", "Dublin, OH", "Vancouver, WA", "Edmonton, AB, CA", "Montreal, CA", "Halifax, NS", "Paris", "Paris, TX", "Lisbon, Portugal", "New Mexico", "Remote, Ireland", "France · Europe · Remote", "Remote (APAC)", "Remote - Canada", "United States, Utah, USA", "Atlantis", "Denver, CO, USA, Boston, MA, USA"],
+        "unknown": ["", " ", "N/A", "tbd", "--", None],
+    }
+    for want, given in cases.items():
+        got = told(spark, lambda c: places.workplace(c, allow), given)
+        assert dict(zip(given, got)) == dict.fromkeys(given, want)
+    assert told(spark, lambda c: places.workplace(c, ["ca"]), ["Dublin, CA", "Vancouver, CA", "Ontario, CA"]) == ["office", "other", "other"]
+    assert told(spark, lambda c: places.workplace(c, []), ["Dublin, OH", "Dublin", "Ohio", "Remote"]) == ["office", "other", "office", "remote"]
+    two = spark.createDataFrame([("san francisco, ca, usa, new york, ny",)], "l string").select(places.read_segment(F.col("l"))["places"].alias("p")).first().p
+    assert [(x.city, x.state) for x in two] == [("san francisco", "ca"), ("new york", "ny")]
+    assert [places.allowed(e) for e in ("California", "ca", "NYC", "Seattle, Washington", "Lisbon, Portugal", " ", "New York")] == [(None, "ca"), (None, "ca"), ("nyc", "ny"), ("seattle", "wa"), ("lisbon", None), (None, None), ("new york", "ny")]

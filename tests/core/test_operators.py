@@ -8,7 +8,7 @@ from rookery.sources import packing
 def test_places(spark):
     cases = {
         "Austin, TX": "office", "NYC": "office", "Brooklyn, NY": "office", "Remote - US": "remote", "Remote": "remote", "United States": "remote", "Toronto, Canada": "other", "Remote, UK": "other", "London": "other",
-        "Denver, CO": "other", "Berlin; Austin, TX": "office", "": "unknown", "Somewhere": "unknown", "Seattle, WA or Remote": "remote",
+        "Denver, CO": "other", "Berlin; Austin, TX": "office", "": "unknown", "Somewhere": "other", "Seattle, WA or Remote": "remote",
     }
     df = spark.createDataFrame([(k,) for k in cases], "l string").select("l", places.workplace(F.col("l"), ["tx", "New York, NY"]).alias("w"))
     assert {r.l: r.w for r in df.collect()} == cases
