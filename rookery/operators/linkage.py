@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions.text import company_key, title_key
 from rookery.functions.urls import canonical_url, is_aggregator, requisition
-from rookery.operators.graphs import components
+from rookery.operators.graphs import components, cut
 
 # How good a source is as the place to apply; others rank last.
 SOURCE_RANK = {"watchlist": 0, "portfolio": 1, "ats_sweep": 1, "freehire": 2, "freehire_feed": 2, "linkedin": 3, "wellfound": 3, "unknown": 9}
@@ -61,29 +61,35 @@ def compatible_locations(a: Column, b: Column) -> Column:
     return (x == "") | (y == "") | F.contains(x, y) | F.contains(y, x)
 
 
-def soft_link(records: DataFrame, least_group: int = 2) -> DataFrame:
-    """Adds soft_record: within equal company and title keys, in order, each record joins the first stored one that is compatible, else is stored.
+#: Records of a group that are folded in one row at a time.
+BATCH = 64
 
-    The rule isn't transitive, so a group is folded in order. Records of the same company, title, place and requisition fare alike, so they are aggregated first, and the
-    fold sees each place and requisition of a title once.
+
+def soft_link(records: DataFrame, batch: int = BATCH) -> DataFrame:
+    """Adds soft_record: within equal company and title keys, in the order of their ordinals, each record joins the first stored one that is compatible, else is stored.
+
+    The rule isn't transitive, so order decides. It is kept in rounds: the first `batch` open records of every group are folded in order, and whoever of the group is compatible with one that was stored joins the first such. All
+    others are later than that batch and met none of its stored records, so they are the group's open ones of the next round. A row holds `batch` records at most; a group of any size is rows. Records of the same company, title, place and
+    requisition fare alike and count once.
     """
-    keyed = records.withColumn("company_key", company_key(F.col("company"))).withColumn("title_key", title_key(F.col("title"))).withColumn("requisition", requisition(F.col("url")))
-    keyed = keyed.withColumn("_place", F.lower(F.trim(F.coalesce("location", F.lit(""))))).withColumn("_req", F.coalesce("requisition", F.lit("")))
-    row = F.struct("ordinal", F.col("_place").alias("place"), F.col("_req").alias("req"))
-    alike_rows = keyed.filter("company_key <> ''").groupBy("company_key", "title_key", "_place", "_req").agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("_n"))
+    keyed = cut(records.withColumn("company_key", company_key(F.col("company"))).withColumn("title_key", title_key(F.col("title"))).withColumn("requisition", requisition(F.col("url"))).withColumn("_place", F.lower(F.trim(F.coalesce("location", F.lit(""))))).withColumn("_req", F.coalesce("requisition", F.lit(""))), "keyed")
+    group, kind = ["company_key", "title_key"], ["company_key", "title_key", "_place", "_req"]
     alike = lambda s, r: ((s["place"] == "") | (r["place"] == "") | F.contains(s["place"], r["place"]) | F.contains(r["place"], s["place"])) & ((s["req"] == "") | (r["req"] == "") | (s["req"] == r["req"]))
-    groups = alike_rows.groupBy("company_key", "title_key").agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.sum("_n").alias("_all")).filter(F.col("_all") >= least_group)
-    start = F.struct(F.expr("cast(array() as array<struct<ordinal:string,place:string,req:string>>)").alias("stored"), F.expr("cast(array() as array<struct<ordinal:string,target:string>>)").alias("joined"))
-
-    def step(state: Column, r: Column) -> Column:
-        hit = F.filter(state["stored"], lambda s: alike(s, r))
-        return F.when(F.size(hit) > 0, F.struct(state["stored"].alias("stored"), F.concat(state["joined"], F.array(F.struct(r["ordinal"].alias("ordinal"), hit[0]["ordinal"].alias("target")))).alias("joined"))).otherwise(
-            F.struct(F.concat(state["stored"], F.array(r)).alias("stored"), state["joined"].alias("joined"))
-        )
-
-    joined = groups.select(F.explode(F.aggregate("_rows", start, step)["joined"]).alias("j")).select(F.col("j.ordinal").alias("_first"), F.col("j.target").alias("_to"))
-    led = alike_rows.join(joined, F.col("ordinal") == F.col("_first"), "left").select("company_key", "title_key", "_place", "_req", F.coalesce("_to", "ordinal").alias("_target"))
-    return keyed.join(led, ["company_key", "title_key", "_place", "_req"], "left").withColumn("soft_record", F.coalesce("_target", "ordinal")).drop("_target", "_place", "_req")
+    row = F.struct("ordinal", F.col("_place").alias("place"), F.col("_req").alias("req"))
+    start = F.array().cast("array<struct<ordinal:string,place:string,req:string>>")
+    step = lambda stored, r: F.when(F.exists(stored, lambda s: alike(s, r)), stored).otherwise(F.concat(stored, F.array(r)))
+    open_ = cut(keyed.filter("company_key <> ''").groupBy(*kind).agg(F.min("ordinal").cast("string").alias("ordinal")), "open")
+    settled = None
+    while True:
+        first = open_.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("ordinal"))).filter(F.col("_n") <= batch)
+        stored = first.groupBy(*group).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step).alias("_stored"))
+        told = cut(open_.join(stored, group).withColumn("_target", F.get(F.filter("_stored", lambda s: alike(s, F.struct(F.col("_place").alias("place"), F.col("_req").alias("req")))), 0)["ordinal"]).drop("_stored"), "told")
+        done = told.filter("_target IS NOT NULL").select(*kind, "_target")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = told.filter("_target IS NULL").drop("_target")
+        if open_.isEmpty():
+            break
+    return keyed.join(settled, kind, "left").withColumn("soft_record", F.coalesce("_target", "ordinal")).drop("_target", "_place", "_req")
 
 
 def newest_per(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
