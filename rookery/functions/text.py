@@ -104,14 +104,60 @@ def name_from_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(head, r"(?i)\s*\b(careers?|jobs?( board)?|job openings?|current openings?|hiring)\b\s*$", ""))
 
 
-SECTION = r"^(?:#{1,6}\s+\S|\*\*[^*]{2,60}\*\*:?$|[A-Z][^.!?]{1,58}:$)"
+#: A line that looks like a heading, from its first letter on.
+SECTION = r"(?:#{1,6}[^\S\n]+[^\s]|\*\*[^*\n]{2,60}\*\*:?(?=\n|\z)|[A-Z][^.!?\n]{1,58}:(?=\n|\z))"
 
 
 def sections(text: Column) -> Column:
-    """[(heading, body)]: a text cut at lines that look like headings; what comes before the first has an empty one."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    start = F.array(F.struct(F.lit("").alias("heading"), F.lit("").alias("body")))
-    add = lambda all_, line: F.when(
-        line.rlike(SECTION), F.concat(all_, F.array(F.struct(F.trim(F.regexp_replace(line, r"^#+\s+|\*\*|:$", "")).alias("heading"), F.lit("").alias("body"))))
-    ).otherwise(F.concat(F.slice(all_, 1, F.size(all_) - 1), F.array(F.struct(F.element_at(all_, -1)["heading"].alias("heading"), F.concat_ws("\n", F.nullif(F.element_at(all_, -1)["body"], F.lit("")), line).alias("body")))))
-    return F.aggregate(lines, start, add)
+    """[(heading, body)]: a text cut at lines that look like headings; what comes before the first has an empty one. One pass over the text, however many lines it has."""
+    pieces = F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), rf"\n(?={SECTION})")
+    heading = lambda p: F.trim(F.regexp_replace(F.regexp_extract(p, r"^[^\n]*", 0), r"^#+\s+|\*\*|:$", ""))
+    body = lambda p: F.regexp_replace(p, r"^\n+", "")
+    return F.transform(pieces, lambda p, i: F.struct(F.when(i == 0, "").otherwise(heading(p)).alias("heading"), F.when(i == 0, body(p)).otherwise(body(F.regexp_replace(p, r"^[^\n]*", ""))).alias("body")))
+
+
+# What the sections of a description are called, the words that may stand before, and how long an excerpt is.
+SECTION_NAMES = {
+    "responsibilities": "responsibilities|what you.?ll do|what you will do|the role|about the role|in this role|your impact",
+    "qualifications": "qualifications|requirements|what we.?re looking for|what we look for|you have|you.?ll have|must have|minimum qualifications|preferred qualifications",
+    "experience": "experience|background|skills",
+    "compensation": "compensation|salary|pay|benefits|perks|total rewards",
+}
+QUALIFIERS = "required|minimum|preferred|basic|additional|other|key|core"
+EXCERPT = 4_000
+
+
+def _section_line(names: str) -> str:
+    """A whole line of up to six words and sixty letters, without digits and ends of sentences, that begins with a name, or with qualifiers before it, and says little after it."""
+    short = r"(?=[^\n0-9.!?;]{1,60}[:#*\-]*[^\S\n]*(?:\n|\z))(?=\S+(?:[^\S\n]+\S+){0,5}[^\S\n]*(?:\n|\z))"
+    return rf"(?i)(?<=\n)[^\S\n]*{short}(?:(?:{QUALIFIERS}),?[^\S\n]+)*(?:{names})\b(?:[:#*\-,\s&&[^\n]]*[^:#*\-,\s]){{0,32}}[:#*\-,\s&&[^\n]]*(?=\n|\z)"
+
+
+def named_sections(text: Column) -> Column:
+    """{name: text} of a description: responsibilities, qualifications, experience and compensation, and as `body` what stands under none of them. Sections that come again are put together; white space is one space."""
+    marked = F.concat(F.lit("\n"), F.trim(F.replace(F.translate(F.coalesce(text, F.lit("")), "\x1e\x1f", "  "), F.lit("\r\n"), F.lit("\n"))))
+    for name, names in SECTION_NAMES.items():
+        marked = F.regexp_replace(marked, _section_line(names), f"\x1e{name}\x1f")
+    pieces = F.transform(F.split(marked, "\x1e"), lambda p: F.struct(F.when(F.contains(p, F.lit("\x1f")), F.substring_index(p, "\x1f", 1)).otherwise("body").alias("name"), clean(F.substring_index(p, "\x1f", -1)).alias("text")))
+    # five names at most
+    of = lambda cut, name: F.nullif(F.array_join(F.filter(F.transform(F.filter(cut, lambda s: s["name"] == name), lambda s: s["text"]), lambda t: t != ""), " "), F.lit(""))
+    keys = [*SECTION_NAMES, "body"]
+    return bound(pieces, lambda cut: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), of(cut, k).alias("value")) for k in keys)), lambda e: e["value"].isNotNull())))
+
+
+def excerpt(text: Column, most: int = EXCERPT) -> Column:
+    """A description that is longer than `most`, cut to it: section by section in the order of their use, the last one with an ellipsis; a shorter one whole."""
+    plain = clean(text)
+
+    def cut(sections_: Column) -> Column:
+        chunk = lambda k: F.concat(F.lit("" if k == "body" else f"{k}: "), F.try_element_at(sections_, F.lit(k)))
+        chunks = F.filter(F.array(*map(chunk, [*SECTION_NAMES, "body"])), lambda c: c.isNotNull())
+
+        def step(out: Column, c: Column) -> Column:
+            room = most - F.length(out) - F.when(out != "", 1).otherwise(0)
+            taken = F.when(F.length(c) <= room, c).otherwise(F.concat(F.rtrim(F.substring(c, F.lit(1), F.greatest(F.lit(0), room - 1))), F.lit("…")))
+            return F.when(room <= 0, out).otherwise(F.concat(out, F.when(out != "", " ").otherwise(""), taken))
+
+        return F.coalesce(F.nullif(F.trim(F.aggregate(chunks, F.lit(""), step)), F.lit("")), F.substring(plain, 1, most))
+
+    return F.when(F.length(plain) <= most, plain).otherwise(bound(named_sections(text), cut))

@@ -152,13 +152,27 @@ def board_titles(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.name_from_title(title).alias("name"))
 
 
-@query("document_sections")
+@query("document_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+  h AS (SELECT *, regexp_matches(line, '^(?:#{1,6}\s+\S|\*\*[^*]{2,60}\*\*:?$|[A-Z][^.!?]{1,58}:$)') AS head FROM l), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY n) AS i FROM h),
+  s AS (SELECT doc_id, i, max(CASE WHEN head THEN trim(regexp_replace(line, '^#+\s+|\*\*|:$', '', 'g')) ELSE '' END) AS heading, string_agg(line, chr(10) ORDER BY n) FILTER (NOT head) AS body FROM g GROUP BY 1, 2),
+  b AS (SELECT doc_id, 0 AS i, '' AS heading, NULL AS body FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE i = 0))
+  SELECT doc_id, i::INT AS i, heading, length(regexp_replace(coalesce(body, ''), '^\n+', ''))::INT AS body_chars FROM (SELECT * FROM s UNION ALL SELECT * FROM b)""")
 def document_sections(spark, sf_dir):
     """The headings of every document and how much stands below each."""
     cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sections(F.col("text"))).alias("i", "s"))
     return cut.select("doc_id", "i", F.col("s.heading").alias("heading"), F.length("s.body").alias("body_chars"))
 
 
+@query("description_excerpts", """WITH e AS (SELECT event_id, event_id % 40 AS k FROM events), p AS (SELECT *, CASE WHEN k > 0 THEN 'responsibilities: ' || rtrim(repeat('do ', k::INT)) ELSE '' END AS r, CASE WHEN k > 0 THEN 'qualifications: ' || rtrim(repeat('know ', k::INT)) ELSE '' END AS q, rtrim(repeat('we are nice ', 20)) AS b FROM e),
+  a AS (SELECT *, r || CASE WHEN q = '' THEN '' WHEN length(q) <= 199 - length(r) THEN ' ' || q ELSE ' ' || rtrim(substr(q, 1, (198 - length(r))::INT)) || '…' END AS rq FROM p)
+  SELECT event_id, rq || CASE WHEN length(rq) + CASE WHEN rq = '' THEN 0 ELSE 1 END >= 200 THEN '' ELSE CASE WHEN rq = '' THEN '' ELSE ' ' END || rtrim(substr(b, 1, (199 - length(rq) - CASE WHEN rq = '' THEN 0 ELSE 1 END)::INT)) || '…' END AS excerpt FROM a""")
+def description_excerpts(spark, sf_dir):
+    """Excerpts of two hundred characters: what is to be done and known goes before what a company says of itself."""
+    k = (F.col("event_id") % 40).cast("int")
+    said = F.concat(F.lit("we are nice " * 20 + "\nRequired Qualifications:\n"), F.repeat(F.lit("know "), k), F.lit("\n\nWhat you'll do\r\n"), F.repeat(F.lit("do\n"), k))
+    return table(spark, sf_dir, "events").select("event_id", text.excerpt(said, 200).alias("excerpt"))
+
+
 @query("sheet_dates", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
 def sheet_dates(spark, sf_dir):
     """Days written in the forms of spreadsheets read back; day first only where it can't be a month."""
