@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rookery.functions.text import company_key, title_key
 from rookery.functions.urls import canonical_url, posting_id
 from rookery.operators import linkage, prefilter
-from rookery.operators.identity import company_identity
+from rookery.operators.identity import company_identity, resolved_companies
 from rookery.operators.titles import hits, match_title, weaker_filter
 from rookery.plans.registry import query, table
 
@@ -155,6 +155,20 @@ def identity(spark, sf_dir):
     return company_identity(rows)
 
 
+@query("resolved_companies", """SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 10 = 0 THEN 'supplier ' || lpad(l_suppkey::VARCHAR, 9, '0') ELSE 'c' || l_suppkey END AS company_key, CASE WHEN l_suppkey % 10 = 0 THEN 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') ELSE 'c' || l_suppkey END AS company FROM lineitem""")
+def resolved(spark, sf_dir):
+    """Every line as a posting of its supplier, under three names, most of them on the supplier's board; some suppliers are watched, some boards say what they are called, a path that all share is nobody's alias."""
+    k, line = F.col("l_suppkey").cast("string"), F.col("l_linenumber")
+    padded = F.concat(F.lit("Supplier#"), F.lpad(k, 9, "0"))
+    board = F.concat(F.lit("https://jobs.lever.co/C"), k, F.lit("/"))
+    company = F.when(line % 3 == 0, padded).when(line % 3 == 1, F.concat(F.lit("c"), k)).otherwise(F.concat(F.lit("Fund "), k, F.lit(" Holdings")))
+    jobs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", company.alias("company"), F.when(line != 4, board).alias("board"), F.array(F.lit("ext"), F.concat(F.lit("alias "), k)).alias("aliases"))
+    s = table(spark, sf_dir, "supplier").withColumn("l_suppkey", F.col("s_suppkey"))
+    watch = s.filter("s_suppkey % 10 = 0").select(padded.alias("name"), board.alias("careers_url"))
+    declared = s.filter("s_suppkey % 10 = 1").select(board.alias("careers_url"), F.concat(F.lit("Real "), k).alias("name"), F.array(F.lit("ext")).alias("aliases"))
+    return resolved_companies(jobs, watch, declared).select("l_orderkey", "l_linenumber", "company_key", "company")
+
+
 @query("run_arithmetic", f"""WITH {CLASSIFIED}, k AS (SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY heuristic DESC, ordinal) AS place FROM c)
   SELECT source, count(*) AS raw, count(DISTINCT canonical) AS collapsed, count(*) FILTER (reason IS NOT NULL) AS filtered, count(*) FILTER (description IS NOT NULL) AS described, round(count(*) FILTER (description IS NOT NULL) * 1.0 / count(*), 4)::DOUBLE AS described_share FROM k GROUP BY 1""")
 def run_arithmetic(spark, sf_dir):
