@@ -49,10 +49,12 @@ def params(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """https, lower host without www., user and port as they are, no fragment, no tracking parameters, the rest sorted by key (stable), no slash at the end; other texts trimmed."""
-    key = lambda p: F.split(p, "=", 2)[0]
+    """https, lower host without www., user and port as they are, no fragment, no tracking parameters, the rest decoded, sorted by key (stable) and encoded anew, no slash at the end; other texts trimmed."""
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    key = lambda p: plain(F.split(p, "=", 2)[0])
+    pair = lambda p: F.concat(F.url_encode(key(p)), F.lit("="), F.url_encode(plain(F.coalesce(F.get(F.split(p, "=", 2), 1), F.lit("")))))
     # the place breaks ties, so that the order of equal keys stays
-    keyed = lambda q: F.transform(F.filter(_params(q), lambda p: ~key(p).rlike(TRACKING)), lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
+    keyed = lambda q: F.transform(F.filter(_params(q), lambda p: ~key(p).rlike(TRACKING)), lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), pair(p).alias("p")))
     query = lambda q: F.array_join(F.transform(F.array_sort(keyed(q)), lambda s: s["p"]), "&")
     asked = lambda q: F.when(q == "", "").otherwise(bound(query(q), lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise("")))
     whole = lambda u: F.concat(F.lit("https://"), u["user"], F.regexp_replace(u["host"], r"^www\.", ""), u["port"], F.coalesce(F.nullif(F.regexp_replace(u["path"], "/+$", ""), F.lit("")), F.lit("/")), asked(u["query"]))

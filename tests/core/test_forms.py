@@ -12,6 +12,12 @@ def told(spark, f, values):
     return [r.out for r in rows.select("i", f(F.col("v")).alias("out")).orderBy("i").collect()]
 
 
+def test_query_values_are_encoded_anew(spark):
+    given = ["https://x.example/?q=a b", "https://x.example/?q=a%20b", "https://x.example?q=a+b", "https://x.example/?b=%zz&a", "https://x.example/?%71=a%2Bb~*", "https://x.example/?utm%5Fsource=x&q=1", "https://x.example/?q=%C3%A9&a=1=2"]
+    want = ["https://x.example/?q=a+b"] * 3 + ["https://x.example/?a=&b=%25zz", "https://x.example/?q=a%2Bb%7E*", "https://x.example/?q=1", "https://x.example/?a=1%3D2&q=%C3%A9"]
+    assert told(spark, urls.canonical_url, given) == want
+
+
 def test_canonical_urls(spark):
     given = ["https://h.com:8443/x/", "http://www.H.com:80/x", "https://h.com:443", "https://me:pw@h.com/a?b=2&a=1&utm_source=x#f", "http://h.com/?b&a", "not a url ", "", None]
     want = ["https://h.com:8443/x", "https://h.com/x", "https://h.com/", "https://me:pw@h.com/a?a=1&b=2", "https://h.com/?a=&b=", "not a url", "", None]
