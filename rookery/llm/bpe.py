@@ -33,8 +33,8 @@ from rookery.llm.common import bounded_batches, kept, text_of
 
 #: Bounds of what a worker keeps until a task of another operator comes: states of the transducer, and encoded pieces in each of two
 #: generations. Pieces longer than PIECE_CHARS are encoded anew each time, so that the pieces' bytes are bounded with their number.
-MAX_STATES = 250_000
-MAX_PIECES = 200_000
+MAX_STATES = 200_000
+MAX_PIECES = 150_000
 PIECE_CHARS = 64
 #: Pieces of a longer text are taken one by one, so that they are never all in memory.
 LONG_CHARS = 1 << 17
