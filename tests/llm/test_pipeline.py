@@ -46,4 +46,4 @@ def test_stages_one_after_another(spark, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sorted({int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))}) == list(range(1, 11))
+    assert "pipeline" in names and sorted({int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))}) == list(range(1, 14))
