@@ -6,7 +6,8 @@ row's paths, scaled by what a random tree of that size would need, is its anomal
 document is turned down is calibrated: of all places between the scores of labelled rows it is the one that judges fewest of them wrongly, the higher one
 if several do. Rows whose id has the check-sum remainder 1 by 3 take part in neither, so they can show how well it works.
 
-Forest and threshold are learnt from at most MAX_LABELLED labelled rows, those with the smallest hashes of their ids; the labels themselves only set the threshold.
+The threshold is calibrated on every labelled row that isn't held out: scores are steps of 1 / STEPS, so Spark counts the rows of each step and the driver gets STEPS + 1 counts at most. A tree is by its
+nature grown from few rows; the rows of all trees are dealt from the TREES * SUBSAMPLE ones of those labelled rows with the smallest hashes of their ids. The labels themselves only set the threshold.
 Without labels of both kinds nothing is turned down by score. The rules of the base (fewer than 20 words; over 30 % of words in repeated windows) always hold.
 
 Statistics are exact: words, lines and windows of a batch are numbered, not hashed, by numpy and Arrow over its bytes. Null text is empty text: all counts are zero and the
@@ -23,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import bounded_batches, release, text_of
+from rookery.llm.common import bounded_batches, release, text_of, written
 from rookery.llm.gam import held_out
 
-MAX_LABELLED = 20_000
 TREES, SUBSAMPLE, SEED = 128, 256, 7
+#: Scores are rounded to steps of one by this.
+STEPS = 1 << 16
 #: The base rules: words at least, and percent of words in repeated windows at most.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
@@ -187,68 +189,95 @@ class Model:
 
 def calibrated(scores: np.ndarray, good: np.ndarray) -> float:
     """The score from which rows are turned down: the one with fewest labelled rows on its wrong side, the highest of several."""
-    if not len(good) or good.all() or not good.any():
+    found, at = np.unique(scores, return_inverse=True)
+    return threshold(found, np.bincount(at[good], minlength=len(found)), np.bincount(at[~good], minlength=len(found)))
+
+
+def threshold(scores: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The same from rising distinct scores and how many good and bad rows have each."""
+    if not good.any() or not bad.any():
         return float("inf")
-    order = np.argsort(scores, kind="stable")
-    scores, good = scores[order], good[order]
-    # turned down from row i on: good rows from there and bad rows before are wrong
-    wrong = np.concatenate([np.cumsum(good[::-1])[::-1], [0]]) + np.concatenate([[0], np.cumsum(~good)])
-    wrong[1:-1][scores[1:] == scores[:-1]] = len(good) + 1
+    # turned down from score i on: good rows from there and bad rows before are wrong
+    wrong = np.concatenate([np.cumsum(good[::-1])[::-1], [0]]) + np.concatenate([[0], np.cumsum(bad)])
     best = len(wrong) - 1 - int(np.argmin(wrong[::-1]))
     if best == len(scores):
         return float("inf")
     return float(scores[best] if best == 0 else (scores[best - 1] + scores[best]) / 2)
 
 
-def fit(x: np.ndarray, good: np.ndarray) -> Model:
-    forest = fit_forest(x)
-    return Model(forest, calibrated(forest.score(x), good))
+def stepped(scores: np.ndarray) -> np.ndarray:
+    return np.round(scores * STEPS) / STEPS
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
-    """Learns from at most `max_labelled` labelled rows that aren't held out."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~F.coalesce(held_out("_id"), F.lit(True)))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labelled)
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each document its id, the counts BASE and the shares FEATURES."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         release()
         for batch in batches:
-            shares = statistics(batch.column(2))[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(shares), pa.list_(pa.float64()))], names=["_h", "_y", "x"])
+            base, shares = statistics(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in (*base.T, *shares.T))], names=[id_col, *BASE, *FEATURES])
+
+    schema = ", ".join([f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", *(f"{c} long" for c in BASE), *(f"{c} double" for c in FEATURES)])
+    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, schema)
+
+
+def _features(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy() for c in FEATURES]).reshape(batch.num_rows, len(FEATURES))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_for_trees: int = TREES * SUBSAMPLE) -> Model:
+    """A forest of trees that are grown from `most_for_trees` labelled rows that aren't held out, and the threshold that fits all of them."""
+    return learnt(written(measured(docs, id_col, text_col), "measured"), labels, id_col, label_col, most_for_trees)
+
+
+def learnt(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most_for_trees: int = TREES * SUBSAMPLE) -> Model:
+    """The model of `measured` rows, which are read twice. No text moves to meet its label."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~F.coalesce(held_out("_id"), F.lit(True)))
+    told = known.groupBy("_id").agg(F.count_if(F.col("_y") == 1).alias("_good"), F.count_if(F.col("_y") == 0).alias("_bad"))
+    met = rows.select(F.col(id_col).alias("_id"), *FEATURES).join(told, "_id").select(F.xxhash64("_id").alias("_h"), "_good", "_bad", *FEATURES)
+    chosen = met.orderBy("_h", *FEATURES, "_good", "_bad").limit(most_for_trees).toArrow()
+    x, good = _features(chosen), chosen.column("_good").to_numpy() > 0
+    forest = fit_forest(x[np.lexsort((*x.T, good))])  # the order in which tasks end doesn't show in the subsamples
+    carried = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches):
+        release()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(stepped(carried.value.score(_features(batch)))), batch.column("_good"), batch.column("_bad")], names=["score", "good", "bad"])
 
-    # the chosen rows number `max_labelled` at most, so they may be broadcast
-    met = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("_h"), "_y", "_text")
-    rows = met.mapInArrow(run, "_h long, _y int, x array<double>").orderBy("_h", "_y", "x").limit(max_labelled).toArrow()
-    x = np.array(rows.column("x").to_pylist()).reshape(rows.num_rows, len(FEATURES))
-    good = rows.column("_y").to_numpy() == 1
-    order = np.lexsort((*x.T, good))  # the order in which tasks end doesn't show in the subsamples
-    return fit(x[order], good[order])
+    scored = met.drop("_h").mapInArrow(score, "score double, good long, bad long")
+    counts = scored.groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("score").toArrow()  # STEPS + 1 rows at most
+    return Model(forest, threshold(*(counts.column(c).to_numpy() for c in ("score", "good", "bad"))))
 
 
 def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document its id, the counts BASE, the shares FEATURES, anomaly (score), base_failed and kept."""
-    bounded_batches(docs.sparkSession)
-    carried = docs.sparkSession.sparkContext.broadcast(model)  # trees of fixed size
-    names = [id_col, *BASE, *FEATURES, "anomaly", "base_failed", "kept"]
+    return judged_rows(measured(docs, id_col, text_col), model)
+
+
+def judged_rows(rows: DataFrame, model: Model) -> DataFrame:
+    """`measured` rows with anomaly, base_failed and kept."""
+    carried = rows.sparkSession.sparkContext.broadcast(model)  # trees of fixed size
 
     def run(batches):
         release()
         for batch in batches:
-            base, shares = statistics(batch.column(1))
-            scores = carried.value.forest.score(shares)
-            failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > MOST_REPEATED * base[:, 0])
-            columns = [*base.T, *shares.T, scores, failed, ~failed & (scores < carried.value.threshold)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], names=names)
+            scores = stepped(carried.value.forest.score(_features(batch)))
+            words, repeats = (batch.column(c).to_numpy() for c in ("n_words", "n_repeat_words"))
+            failed = (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * words)
+            columns = [*batch.columns, pa.array(scores), pa.array(failed), pa.array(~failed & (scores < carried.value.threshold))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "anomaly", "base_failed", "kept"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"`{id_col}` {kind}", *(f"{c} long" for c in BASE), *(f"{c} double" for c in (*FEATURES, "anomaly")), "base_failed boolean", "kept boolean"])
-    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "anomaly double", "base_failed boolean", "kept boolean"])
+    return rows.mapInArrow(run, schema)
 
 
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return judged(docs, learn(docs, labels)).select("doc_id", *BASE, "base_failed", "kept", "anomaly")
+    rows = written(measured(docs), "measured")  # fifteen numbers a document, so that texts are read once
+    return judged_rows(rows, learnt(rows, labels)).select("doc_id", *BASE, "base_failed", "kept", "anomaly")
 
 
 QUERIES = {"op13_quality_rules": op13_quality_rules}

@@ -74,6 +74,19 @@ def test_odd_rows(spark):
     assert rules.judged(docs_of(spark, []), rules.learn(docs, labels.limit(0))).count() == 0
 
 
+def test_threshold_is_counted_over_all_labelled_rows(spark):
+    rng = np.random.default_rng(3)
+    # the last tenth is unlike the rest, by more or less
+    texts = [" ".join("".join(rng.choice(list("abcde"), rng.integers(2, 7))) + "!#9"[: rng.integers(0, 4)] * (i > 540 and rng.random() < i / 600) for _ in range(40)) for i in range(600)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, int(i <= 540)) for i in range(600)] + [(5, 0)], "doc_id long, quality int")
+    model = rules.learn(docs, labels, most_for_trees=64)
+    told = labels.filter(~rules.held_out()).collect()
+    scores = {r.doc_id: r.anomaly for r in rules.judged(docs, model).collect()}
+    assert len(told) > 300 and model.threshold == rules.calibrated(np.array([scores[t.doc_id] for t in told]), np.array([t.quality == 1 for t in told])) != np.inf
+    assert {r.kept for r in rules.judged(docs, model).collect() if r.anomaly >= model.threshold} == {False}
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="needs the driver's tables")
 def test_query_against_plain_counts_and_held_out_labels(spark):
     found = {r.doc_id: r for r in rules.op13_quality_rules(spark, DATA).collect()}
