@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.operators.graphs import fresh_folder
+from rookery.operators.graphs import cut, fresh_folder
 
 # What a slug looks like, and where the boards of swept vendors live.
 SLUG = "^[A-Za-z0-9._-]+$"
@@ -82,9 +82,14 @@ def swept(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema("position long, vendor string, name string, careers_url string, batch int").parquet(out)
 
 
+#: A whole sweep takes so many batches at most: each has a cost of its own, however few lines it holds.
+MOST_BATCHES = 16
+
+
 def whole_sweep(spark: SparkSession, lines: DataFrame, dead: DataFrame, chunk: int) -> DataFrame:
-    """A directory stored, swept from start to end and read back."""
+    """A directory stored, swept from start to end and read back. Batches grow with the directory, and what is dead is found out once for all of them."""
     root = fresh_folder(spark, "sweep")
     stored_directory(lines, f"{root}/directory", chunk)
-    sweep(spark, f"{root}/directory", dead, f"{root}/boards", f"{root}/checkpoint", chunks_at_once=4)
+    chunks = lines.select(F.floor(F.col("position") / chunk)).distinct().count()
+    sweep(spark, f"{root}/directory", cut(dead, "dead"), f"{root}/boards", f"{root}/checkpoint", chunks_at_once=max(4, -(-chunks // MOST_BATCHES)))
     return swept(spark, f"{root}/boards")

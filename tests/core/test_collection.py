@@ -91,6 +91,13 @@ def test_a_sweep_goes_on_where_it_stopped(spark, tmp_path, stops):
     assert sweep.swept(spark, f"{root}/out").count() == len(got)
 
 
+def test_a_whole_sweep_has_few_batches_however_long_the_directory(spark):
+    lines = spark.range(2_000).selectExpr("id AS position", "'lever' AS vendor", "concat('s', id) AS line")
+    dead = spark.createDataFrame([("lever", "https://jobs.lever.co/S2", 3)], "vendor string, board string, misses int")
+    got = sweep.whole_sweep(spark, lines, dead, 20).collect()
+    assert sorted(r.position for r in got) == [i for i in range(2_000) if i != 2] and len({r.batch for r in got}) <= sweep.MOST_BATCHES
+
+
 def chunk(path, *lines):
     with gzip.open(path, "wt") as f:
         f.write("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
