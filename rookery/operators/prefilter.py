@@ -52,13 +52,17 @@ def company_blocked(company: Column, blocked: list[str]) -> Column:
     return found
 
 
-def _judged_once(rows: DataFrame, by: str, **columns: Column) -> DataFrame:
-    """Adds columns that depend on `by` alone: made for each distinct value, and joined back.
+#: So many judged values may be broadcast; where there are more, each row is judged.
+BROADCAST_ROWS = 100_000
 
-    The values are one row each, so Spark sends them to every task where they are few, by the sizes that it has measured, and splits the hot ones' rows where they aren't.
-    """
-    once = rows.select(by).distinct().select(F.col(by).alias("_value"), *(c.alias(n) for n, c in columns.items()))
-    return rows.join(once, F.col(by).eqNullSafe(F.col("_value")), "left").drop("_value")
+
+def _judged_once(rows: DataFrame, by: str, **columns: Column) -> DataFrame:
+    """Adds columns that depend on `by` alone: made for each distinct value and sent to every task where the values are few, which is counted first; else made row by row. The rows never move for it."""
+    values = cut(rows.select(by).distinct(), "values")
+    if values.count() > BROADCAST_ROWS:
+        return rows.withColumns(columns)
+    once = values.select(F.col(by).alias("_value"), *(c.alias(n) for n, c in columns.items()))
+    return rows.join(F.broadcast(once), F.col(by).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def classify(postings: DataFrame, p: Preferences) -> DataFrame:

@@ -96,3 +96,19 @@ def test_pack_sources(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 4), ("c", 3), ("d", 20), ("e", 1)], "name string, n long")
     got = {r.name: r.group for r in packing.pack_sources(counts, "name", "n", 10).collect()}
     assert got == {"d": 0, "a": 1, "b": 1, "c": 2, "e": 2}
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_postings_do_not_move_to_be_judged(spark, monkeypatch, most):
+    monkeypatch.setattr(prefilter, "BROADCAST_ROWS", most, raising=False)
+    rows = [("Gear fitter", "Austin, TX", "Acme Inc."), (None, "Remote", None), ("old rod", "", "Bad Co")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "title string, location string, company string, description string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = prefilter.classify(df, prefilter.Preferences(roles=["gear"], exclude=["old"], allow=["tx"], block_companies=["bad co"]))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.title, r.company_key): r.reason for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {("Gear fitter", "acme"): None, (None, ""): "no role", ("old rod", "bad"): got["old rod", "bad"]} and "SortMergeJoin" not in plan
