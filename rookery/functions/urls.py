@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Parameters that only track, hosts that copy postings, vendors of boards.
 TRACKING = r"(?i)^(utm_|ref$|source$|src$|gh_src$|lever-|trackingid$|refid$|trk$|trkinfo$|position$|pagenum$|originalsubdomain$|eblid$)"
 AGGREGATORS = r"(?i)(^|\.)(linkedin\.com|indeed\.com|glassdoor\.com|wellfound\.com|angel\.co|ziprecruiter\.com|simplyhired\.com|jobs\.google\.com|freehire\.me)$"
+AGGREGATOR_NAMES = ["linkedin.com", "indeed.com", "glassdoor.com", "wellfound.com", "angel.co", "ziprecruiter.com", "simplyhired.com", "jobs.google.com", "freehire.me"]
 LAST_SEGMENT_VENDORS = {"smartrecruiters": r"smartrecruiters\.com$", "workable": r"workable\.com$", "recruitee": r"recruitee\.com$", "breezy": r"breezy\.hr$", "jobvite": r"jobvite\.com$", "bamboohr": r"bamboohr\.com$"}
 
 _URL = r"^(?i:(https?)://)([^/?#@]*@)?([^/?#:]+)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -48,8 +49,28 @@ def params(url: Column) -> Column:
     return _params(_part(url, 6))
 
 
+#: A url that decoding and encoding leave as it is: a lower-case host without user or port, a path of printable characters, every parameter a plain key and a plain value.
+_PLAIN = r"^(?i:https?)://(?:www\.)?+([a-z0-9.-]++)((?:/++[\x21\x22\x24-\x2E\x30-\x3E\x40-\x7E]++)++)/*+(?:\?((?:[A-Za-z0-9._*-]++=[A-Za-z0-9._*-]*+&?+)++(?<!&)))?+(?:#[!-~]*+)?\z"
+_TRACKED = r"(?i)^(utm_|lever-|(ref|source|src|gh_src|trackingid|refid|trk|trkinfo|position|pagenum|originalsubdomain|eblid)\x01)"
+
+
 def canonical_url(url: Column) -> Column:
-    """https, lower host without www., user and port as they are, no fragment, no tracking parameters, the rest decoded, sorted by key (stable) and encoded anew, no slash at the end; other texts trimmed."""
+    """https, lower host without www., user and port as they are, no fragment, no tracking parameters, the rest decoded, sorted by key (stable) and encoded anew, no slash at the end; other texts trimmed.
+
+    Most urls are plain: one match takes them apart, and their parameters are sorted as they stand. Plain ones that repeat a key go the long way too, as their values' order has to stay.
+    """
+    text = F.trim(url)
+    # \x01 for = sorts below all that a key may hold, so that the order of parameters is that of their keys
+    params_ = lambda c: F.array_join(F.sort_array(F.filter(F.split(F.replace(F.get(c, 1), F.lit("="), F.lit("\x01")), "&"), lambda p: ~p.rlike(_TRACKED))), "&")
+    again = lambda q: F.contains(q, F.lit("&")) & q.rlike("(?:^|&)([^\x01&]++)\x01[^&]*+&\\1\x01")
+    asked = lambda c: bound(params_(c), lambda q: F.when(q == "", F.get(c, 0)).when(~again(q), F.concat(F.get(c, 0), F.lit("?"), F.replace(q, F.lit("\x01"), F.lit("=")))))
+    short = lambda c: F.when(F.size(c) == 2, F.when(F.get(c, 1) == "", F.get(c, 0)).otherwise(asked(c)))
+    cut = F.when(~F.contains(text, F.lit("\x1f")), F.split(F.regexp_replace(text, _PLAIN, "https://$1$2\x1f$3"), "\x1f"))
+    return bound(bound(cut, short), lambda x: F.coalesce(x, _canonical_any(url)))
+
+
+def _canonical_any(url: Column) -> Column:
+    """The canonical form of any url, parameter by parameter."""
     plain = lambda x: F.coalesce(F.try_url_decode(x), x)
     key = lambda p: plain(F.split(p, "=", 2)[0])
     pair = lambda p: F.concat(F.url_encode(key(p)), F.lit("="), F.url_encode(plain(F.coalesce(F.get(F.split(p, "=", 2), 1), F.lit("")))))
@@ -72,8 +93,20 @@ def same_site(a: Column, b: Column) -> Column:
     return F.coalesce((x == y) | F.endswith(x, F.concat(F.lit("."), y)) | F.endswith(y, F.concat(F.lit("."), x)), F.lit(False))
 
 
+def _names(url: Column, names: list[str]) -> Column:
+    """Whether any of the names stands anywhere in the url: a cheap test before patterns."""
+
+    def any_of(lower: Column) -> Column:
+        found = F.contains(lower, F.lit(names[0]))
+        for name in names[1:]:
+            found = found | F.contains(lower, F.lit(name))
+        return found
+
+    return bound(F.lower(url), any_of)
+
+
 def is_aggregator(url: Column) -> Column:
-    return F.coalesce(host(url).rlike(AGGREGATORS), F.lit(False))
+    return F.coalesce(_names(url, AGGREGATOR_NAMES) & host(url).rlike(AGGREGATORS), F.lit(False))
 
 
 _LABEL, _FIRST = "label", "first"
@@ -101,7 +134,8 @@ def requisition(url: Column) -> Column:
             found = F.when(u["host"].rlike(domain), own).otherwise(found)
         return found
 
-    return bound(parts(url), said)
+    names = [domain.rstrip("$").replace("\\", "") for domain, _, _ in VENDOR_URLS.values()]
+    return F.when(_names(url, names), bound(parts(url), said))
 
 
 def posting_id(url: Column) -> Column:

@@ -32,9 +32,11 @@ def preference() -> list[Column]:
 
 def link(postings: DataFrame) -> DataFrame:
     """Adds record: the smallest key among all that a posting's hard keys reach."""
-    keyed = postings.withColumn("_keys", hard_keys(F.col("url"), F.col("fingerprint"), F.col("company")))
-    first = F.array_min("_keys")
-    bridges = keyed.filter(F.size("_keys") > 1).select(first.alias("a"), F.explode("_keys").alias("b")).filter("a <> b").distinct()
+    with_keys = lambda df: df.withColumn("_keys", hard_keys(F.col("url"), F.col("fingerprint"), F.col("company")))
+    keyed, first = with_keys(postings), F.array_min("_keys")
+    # two keys take a requisition or a fingerprint; other postings' urls are not read for bridges
+    several = F.coalesce(F.col("fingerprint") != "", F.lit(False)) | requisition(F.col("url")).isNotNull()
+    bridges = with_keys(postings.select("url", "fingerprint", "company").filter(several)).filter(F.size("_keys") > 1).select(first.alias("a"), F.explode("_keys").alias("b")).filter("a <> b").distinct()
     found = components(bridges, "a", "b")
     # only records that a bridge reaches are looked up; where they are few, no posting moves for it
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
@@ -47,13 +49,13 @@ def merge(linked: DataFrame) -> DataFrame:
     Copies are aggregated as structs led by their preference, so a record of any number of copies is merged with partial sums and no sort.
     """
     sign = [F.when(is_aggregator(F.col("url")), 1).otherwise(0), F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SOURCE_RANK.items() for x in kv)), F.col("source")), F.lit(9)), -(F.when(F.coalesce("description", F.lit("")) != "", 2).otherwise(0) + F.when(F.col("posted_at").isNotNull(), 1).otherwise(0)), F.col("ordinal")]
-    led = F.struct(*(c.alias(f"p{i}") for i, c in enumerate(sign)))
-    best = lambda c: F.min_by(F.col(c), led)
-    known = lambda c: F.min_by(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)), F.when(F.coalesce(F.col(c), F.lit("")) != "", led))
-    return linked.groupBy("record").agg(
-        best("url").alias("url"), best("title").alias("title"), best("company").alias("company"), best("source").alias("source"), known("description").alias("description"), known("location").alias("location"),
+    led = [f"_p{i}" for i in range(len(sign))]
+    known = lambda c: F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(*led, c)))[c].alias(c)
+    merged = linked.withColumns(dict(zip(led, sign))).groupBy("record").agg(
+        F.min(F.struct(*led, "url", "title", "company", "source")).alias("_best"), known("description"), known("location"),
         F.min("posted_at").alias("posted_at"), F.max("watchlist").alias("watchlist"), F.array_sort(F.collect_set("source")).alias("merged_from"), F.count(F.lit(1)).alias("copies"), F.min("ordinal").alias("ordinal"),
     )
+    return merged.select("record", "_best.url", "_best.title", "_best.company", "_best.source", "description", "location", "posted_at", "watchlist", "merged_from", "copies", "ordinal")
 
 
 def compatible_locations(a: Column, b: Column) -> Column:

@@ -21,6 +21,13 @@ def test_canonical_url(spark):
         assert one(spark, urls.canonical_url(F.col("u")), u=raw) == want, raw
 
 
+def test_plain_urls_come_out_as_parameter_by_parameter(spark):
+    cases = ["http://www.x.com/a/b/?utm_source=f&b=2&a=1#top", "https://x.com/p?z=1&a=2&a=1", "https://x.com/p?a-b=1&a=2&a0=3&A=4", "https://x.com/p?ref=1", "https://x.com/p?refs=1&src=", "https://x.com//a//", "https://www./a", "http://X.com/a?b=1", "https://x.com/a?b=1&&c=2", "https://x.com/a?b=%20", "https://x.com/a\x1fb", None]
+    df = spark.createDataFrame([(c,) for c in cases], "u string")
+    rows = df.select("u", urls.canonical_url(F.col("u")).alias("a"), urls._canonical_any(F.col("u")).alias("b"), F.trim("u").rlike(urls._PLAIN).alias("plain")).collect()
+    assert all(r.a == r.b for r in rows) and [r.u for r in rows if r.plain] == cases[:6]
+
+
 def test_requisitions(spark):
     cases = {
         "https://boards.greenhouse.io/Acme/jobs/123?x=1": "greenhouse:acme:123", "https://jobs.lever.co/acme/0a1b2c3d-4e5f": "lever:acme:0a1b2c3d-4e5f", "https://acme.wd5.myworkdayjobs.com/s/job/x/Title_R-123": "workday:acme:r-123",
