@@ -28,13 +28,16 @@ def references(node: Column) -> Column:
 
 def reached(nodes_: DataFrame, roots: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(page, key, depth): every node that the roots (page, key) lead to, and by how many steps at least. Names without a node are left out."""
-    links = cut(nodes_.select("page", "key", F.explode(references(F.col("node"))).alias("to")), "links")
-    known = nodes_.select("page", "key")
+    # what a node names is read once; a round never goes back to the pages
+    own = cut(nodes_.select("page", "key", references(F.col("node")).alias("to")), "own")
+    known = own.select("page", "key")
+    links = own.select("page", "key", F.explode("to").alias("to"))
+    links = cut(links.join(known.select("page", F.col("key").alias("to")), ["page", "to"], "left_semi").select("page", "key", "to"), "links")
     found = cut(roots.select("page", "key").distinct().join(known, ["page", "key"], "left_semi").withColumn("depth", F.lit(0)), "reached")
     last, depth = found, 0
     while most_rounds is None or depth < most_rounds:
         depth += 1
-        onward = last.join(links, ["page", "key"]).select("page", F.col("to").alias("key")).distinct().join(known, ["page", "key"], "left_semi")
+        onward = last.join(links, ["page", "key"]).select("page", F.col("to").alias("key")).distinct()
         last = cut(onward.join(found, ["page", "key"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if last.isEmpty():
             break

@@ -106,6 +106,16 @@ def test_references(spark):
     assert {(r.page, r.key, r.depth) for r in got} == {(1, "a", 0), (1, "b", 1), (1, "c", 2), (1, 'q"\u00e9', 2), (2, "a", 0)}
 
 
+def test_rounds_do_not_read_pages_again(spark, monkeypatch):
+    cut, plans = references.cut, []
+    monkeypatch.setattr(references, "cut", lambda df, name: (plans.append(df._jdf.queryExecution().analyzed().toString()), cut(df, name))[1])
+    state = {str(i): {"x": {"__ref": str(i + 1)}} for i in range(6)}
+    own = references.nodes(spark.createDataFrame([(1, graph(state))], "page long, html string"), "page", "html")
+    got = references.reached(own, spark.createDataFrame([(1, "0")], "page long, key string")).collect()
+    assert {(r.key, r.depth) for r in got} == {(str(i), i) for i in range(6)}
+    assert sum("__NEXT_DATA__" in p for p in plans) == 1
+
+
 def test_role_pages(spark):
     ref = lambda k: {"__ref": k}
     found = {"seoLandingPageJobSearchResults:{1}": {"totalJobCount": 40, "startups": [ref("s1"), ref("s2"), ref("none"), ref("s1")]}, "seoLandingPageRoleAndLocation:{2}": {}}
