@@ -41,12 +41,15 @@ def resolved_companies(jobs: DataFrame, watchlist: DataFrame, declared: DataFram
     A job goes by its board where that is known, else by its name; jobs without either stay as they are.
     """
     own = jobs.withColumn("_key", company_key(F.col("company"))).withColumn("_board", _board(F.col("board")))
-    named = own.filter("_key <> ''")
+    # postings of one company on one board are one row for all that is learnt of names
+    raw = jobs.groupBy("company", "board").agg(F.count(F.lit(1)).alias("count"))
+    named = cut(raw.select("company", "count", company_key(F.col("company")).alias("_key"), _board(F.col("board")).alias("_board")).filter("_key <> ''"), "named")
     watched = watchlist.select(company_key(F.col("name")).alias("key"), F.col("name").alias("display"), _board(F.col("careers_url")).alias("board")).filter("key <> ''")
     links = cut(named.select(F.col("_key").alias("key"), F.col("_board").alias("board")).unionByName(watched.select("key", "board")).filter("board IS NOT NULL").distinct(), "links")
     said = declared.select(_board(F.col("careers_url")).alias("board"), company_key(F.col("name")).alias("key"), "aliases").filter("key <> ''").join(links.select("board").distinct(), "board", "left_semi")
     primary = cut(links.unionByName(said.select("key", "board")).distinct(), "links")
-    other = named.select(F.col("_board").alias("board"), F.explode("aliases").alias("a")).unionByName(said.select("board", F.explode("aliases").alias("a"))).select(company_key(F.col("a")).alias("key"), "board").filter("key <> '' AND board IS NOT NULL").distinct()
+    aliases = jobs.select("company", "board", F.explode("aliases").alias("a")).distinct().filter(company_key(F.col("company")) != "").select(_board(F.col("board")).alias("board"), "a")
+    other = aliases.unionByName(said.select("board", F.explode("aliases").alias("a"))).select(company_key(F.col("a")).alias("key"), "board").filter("key <> '' AND board IS NOT NULL").distinct()
     single = other.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("board").alias("board")).filter("n = 1").join(primary.select("key").distinct(), "key", "left_anti")
     all_links = cut(primary.unionByName(single.select("key", "board")), "links")
     bridging = all_links.groupBy("board").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_names).select("board")
@@ -55,7 +58,7 @@ def resolved_companies(jobs: DataFrame, watchlist: DataFrame, declared: DataFram
     member = found.filter(F.col("node").startswith("name:")).select(F.substring("node", 6, 1 << 20).alias("key"), "component")
     slug = company_key(F.coalesce(F.try_url_decode(F.regexp_extract("board", r"^https?://[^/]+/([^/?#]+)", 1)), F.lit("")))
     vouched = all_links.filter(F.col("key") == slug).select("key").unionByName(said.select("key")).distinct().withColumn("_vouched", F.lit(True))
-    spelled = named.select(F.col("_key").alias("key"), F.col("company").alias("display")).unionByName(watched.select("key", "display")).groupBy("key", "display").agg(F.count(F.lit(1)).alias("count"))
+    spelled = named.select(F.col("_key").alias("key"), F.col("company").alias("display"), "count").unionByName(watched.select("key", "display", F.lit(1).cast("long").alias("count"))).groupBy("key", "display").agg(F.sum("count").alias("count"))
     total = spelled.groupBy("key").agg(F.sum("count").alias("_rows"))
     told = member.join(watched.select("key").distinct().withColumn("_watched", F.lit(True)), "key", "left").join(vouched, "key", "left").join(total, "key", "left")
     told = cut(told.select("key", "component", F.coalesce("_watched", F.lit(False)).alias("watched"), F.coalesce("_vouched", F.lit(False)).alias("vouched"), F.coalesce("_rows", F.lit(0)).alias("rows")), "names")
@@ -68,5 +71,8 @@ def resolved_companies(jobs: DataFrame, watchlist: DataFrame, declared: DataFram
     called = cut(canonical.join(best, "component", "left").select("component", "canonical", F.coalesce("_display", "canonical").alias("display")), "called")
     by_name = member.join(called, "component").select(F.col("key").alias("_nkey"), F.struct(F.col("canonical").alias("key"), "display").alias("_by_name"))
     by_board = found.filter(F.col("node").startswith("board:")).select(F.substring("node", 7, 1 << 20).alias("_bboard"), "component").join(called, "component").select("_bboard", F.struct(F.col("canonical").alias("key"), "display").alias("_by_board"))
-    met = own.join(by_board, F.col("_board") == F.col("_bboard"), "left").join(by_name, F.col("_key") == F.col("_nkey"), "left").withColumn("_is", F.coalesce("_by_board", "_by_name"))
+    # jobs without a board meet none, and are dealt evenly instead of all to one task
+    dealt = own.withColumn("_at", F.coalesce("_board", F.concat(F.lit("\x1f"), (F.monotonically_increasing_id() % 4_096).cast("string"))))
+    on_board = dealt.join(by_board, F.col("_at") == F.col("_bboard"), "left").withColumn("_by_board", F.when(F.col("_board").isNotNull(), F.col("_by_board"))).drop("_at")
+    met = on_board.join(by_name, F.col("_key") == F.col("_nkey"), "left").withColumn("_is", F.coalesce("_by_board", "_by_name"))
     return met.withColumns({"company_key": F.coalesce("_is.key", "_key"), "company": F.coalesce("_is.display", "company")}).drop("_key", "_board", "_bboard", "_nkey", "_by_board", "_by_name", "_is")
