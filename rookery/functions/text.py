@@ -35,12 +35,16 @@ BLOCK_TAGS = "p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|bl
 
 def clean(text: Column) -> Column:
     """One space for each run of white space of any kind, none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+", " "))
+    wide = r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+    # runs that are one space already, which are nearly all, are no match
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\t-\r{wide}][\t-\r {wide}]*+| [\t-\r {wide}]++", " "))
 
 
 def company_key(name: Column) -> Column:
     """A company's name without case, marks, punctuation and generic words."""
-    folded = F.translate(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), LONE_MARKS, ""), MARKED, PLAIN)
+    lower = F.lower(F.coalesce(name, F.lit("")))
+    # ASCII has no marks
+    folded = F.when(F.octet_length(lower) == F.char_length(lower), lower).otherwise(F.translate(F.regexp_replace(lower, LONE_MARKS, ""), MARKED, PLAIN))
     words = F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(words, rf"\b({GENERIC})\b", " "), r"\s+", " "))
 
@@ -48,7 +52,8 @@ def company_key(name: Column) -> Column:
 def title_key(title: Column) -> Column:
     """A title without case, bracketed remarks and punctuation but + # and the full stop."""
     bare = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\([^)]*\)", " ")
-    return F.trim(F.regexp_replace(bare, "[^a-z0-9+#.]+", " "))
+    # all but a-z 0-9 + # and the full stop, said by ranges: Java is slow at classes that leave out ranges and single characters together
+    return F.trim(F.regexp_replace(bare, r"[\x00-\x22\x24-\x2A\x2C\x2D\x2F\x3A-\x60\x7B-\x{10FFFF}]+", " "))
 
 
 def description(text: Column, most: int = MAX_DESCRIPTION) -> Column:
@@ -130,7 +135,9 @@ EXCERPT = 4_000
 def _section_line(names: str) -> str:
     """A whole line of up to six words and sixty letters, without digits and ends of sentences, that begins with a name, or with qualifiers before it, and says little after it."""
     short = r"(?=[^\n0-9.!?;]{1,60}[:#*\-]*[^\S\n]*(?:\n|\z))(?=\S+(?:[^\S\n]+\S+){0,5}[^\S\n]*(?:\n|\z))"
-    return rf"(?i)(?<=\n)[^\S\n]*{short}(?:(?:{QUALIFIERS}),?[^\S\n]+)*(?:{names})\b(?:[:#*\-,\s&&[^\n]]*[^:#*\-,\s]){{0,32}}[:#*\-,\s&&[^\n]]*(?=\n|\z)"
+    # whether a name stands there is asked first, as most lines have none
+    named = rf"(?=(?:(?:{QUALIFIERS}),?[^\S\n]+)*(?:{names})\b)"
+    return rf"(?i)(?<=\n)[^\S\n]*+{named}{short}(?:(?:{QUALIFIERS}),?[^\S\n]+)*(?:{names})\b(?:[:#*\-,\s&&[^\n]]*[^:#*\-,\s]){{0,32}}[:#*\-,\s&&[^\n]]*(?=\n|\z)"
 
 
 def named_sections(text: Column) -> Column:
