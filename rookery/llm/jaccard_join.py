@@ -56,6 +56,8 @@ GAIN = 0.5
 SLACK = 1e-9
 NOBODY = 0xFFFF
 PROBES = 3
+#: A broadcast bitmap of nodes has so many pages of 4 kB at most.
+MOST_PAGES = 8_192
 #: The row number by which keep_one tells rows apart.
 ROW = "_keep_one_row"
 
@@ -216,7 +218,7 @@ def hash_of(value: str | None) -> int:
 def _sets(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFrame:
     """(node, key, n, hashes, batch) of the chosen classes, from one of their documents; other texts stay where they are.
 
-    Nodes are numbers given as the table is written, so no two classes share one. Sets written one after another share a batch.
+    What the filter lets through moves once, by key: whoever has a chosen key has its set, whichever document it is. Nodes are numbers given as the table is written, so no two classes share one. Sets written one after another share a batch.
     """
     cells, bits = _sieve(chosen, rows)
 
@@ -229,19 +231,28 @@ def _sets(docs: DataFrame, chosen: DataFrame, rows: int, width: int) -> DataFram
                     key = _key(len(hashes), _signature(hashes))
                     at = _probes(key, None if id_ is None else str(id_), cells)
                     if ((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all():
-                        found.append({"key": key, "id": id_, "hashes": hashes.view(np.int64)})
-            yield pa.RecordBatch.from_pylist(found, pa.schema([("key", pa.binary()), ("id", batch.column(0).type), ("hashes", pa.list_(pa.int64()))]))
+                        found.append({"key": key, "hashes": hashes.view(np.int64)})
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("key", pa.binary()), ("hashes", pa.list_(pa.int64()))]))
         trim()
 
-    kind = docs.schema[0].dataType.simpleString()
-    passed = docs.mapInArrow(run, f"key binary, id {kind}, hashes array<long>")
-    exact = passed.join(chosen.select(F.col("key").alias("_key"), F.col("id").alias("_id")), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    passed = docs.mapInArrow(run, "key binary, hashes array<long>")
+    exact = passed.join(chosen.select("key"), "key", "left_semi")
     one = exact.groupBy("key").agg(F.first("hashes").alias("hashes"))
     numbered = one.select(F.monotonically_increasing_id().alias("node"), "key", F.size("hashes").alias("n"), "hashes")
     batch = F.when(F.col("n") > LONG_SET, -1 - F.col("node")).otherwise(F.shiftright("node", BATCH_BITS))
     return written(numbered.withColumn("batch", batch), "sets")
 
 
+def _held(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes) of the sets that a join with `nodes` needs: a broadcast bitmap of the nodes leaves all others where they are, up to MOST_PAGES; beyond it all sets move."""
+    page, bit, held = F.shiftright("node", PAGE.bit_length() - 1), F.col("node").bitwiseAND(PAGE - 1), sets.select("node", "hashes")
+    pages = written(nodes.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(bit).alias("_bits")), "pages")
+    if pages.count() > MOST_PAGES:
+        return held
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.join(F.broadcast(pages), page == F.col("_page")).filter(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))) % 2 == 1).select("node", "hashes")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node that has a link; label is the smallest node of its component."""
     both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
@@ -263,12 +274,13 @@ def _linked(both: Column, any_: Column, percent: int) -> Column:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, pivot, d, linked) of (node, pivot) pairs; a pivot of very many nodes is dealt over salts."""
-    hashes = sets.select(F.col("node").alias("_n"), F.col("hashes").alias("_a"))
-    asked = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("_times"))
-    pivots = asked.join(sets.select("node", F.col("hashes").alias("_b")), F.col("pivot") == F.col("node")).select("pivot", "_times", "_b")
-    left = pairs.join(hashes, F.col("node") == F.col("_n")).select("node", "pivot", "_a")
-    joined = attach(left, pivots, "pivot", "_times", "node", pairs.count()).withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    """(node, pivot, d, linked) of (node, pivot) pairs; a pivot of very many nodes is dealt over salts. Up to BROADCAST_ROWS pairs go to the sets, beyond it the sets move by node, once for nodes and pivots."""
+    held, total = sets.select("node", "hashes"), pairs.count()
+    near = F.broadcast if total <= BROADCAST_ROWS else lambda df: df
+    asked = pairs.groupBy(F.col("pivot").alias("node")).agg(F.count(F.lit(1)).alias("_times"))
+    pivots = held.join(near(asked), "node").select(F.col("node").alias("pivot"), "_times", F.col("hashes").alias("_b"))
+    left = held.join(near(pairs), "node").select("node", "pivot", F.col("hashes").alias("_a"))
+    joined = attach(left, pivots, "pivot", "_times", "node", total).withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     joined = joined.withColumn("_any", F.size("_a") + F.size("_b") - F.col("_both"))
     return joined.select("node", "pivot", (1 - F.col("_both") / F.col("_any")).alias("d"), _linked(F.col("_both"), F.col("_any"), percent).alias("linked"))
 
@@ -419,10 +431,11 @@ def _divided(big: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple
     # row_number under a limit is cut before the shuffle, so no task sorts a whole region
     by_label = big.withColumn("_nth", F.row_number().over(Window.partitionBy("region", "label").orderBy(rank, "node"))).filter(F.col("_nth") <= pivots)
     chosen = by_label.withColumn("_no", F.row_number().over(Window.partitionBy("region").orderBy("_nth", rank, "node"))).filter(F.col("_no") <= pivots).select("region", "node", "label", "size")
-    kept = chosen.join(sets.select("node", "hashes"), "node").groupBy("region", "size").agg(F.collect_list(F.struct("node", "label", "hashes")).alias("_pivots"))
+    held = _held(sets, big)
+    kept = chosen.join(held, "node").groupBy("region", "size").agg(F.collect_list(F.struct("node", "label", "hashes")).alias("_pivots"))
     measured = F.expr(f"""transform(transform(_pivots, p -> struct(p.node AS node, p.label AS label, size(hashes) + size(p.hashes) AS both_sizes, size(array_intersect(p.hashes, hashes)) AS both)),
         p -> struct(p.node AS node, p.label AS label, 1 - p.both / (p.both_sizes - p.both) AS d, 100 * p.both >= {percent} * (p.both_sizes - p.both) AS linked))""")
-    members = attach(big.drop("parts", "main", "main_parts", "other_parts").join(sets.select("node", "hashes"), "node"), kept.select("region", F.col("size").alias("_size"), "_pivots"), "region", "_size", "node", big.count())
+    members = attach(big.drop("parts", "main", "main_parts", "other_parts").join(held, "node"), kept.select("region", F.col("size").alias("_size"), "_pivots"), "region", "_size", "node", big.count())
     seen = written(members.select("region", "size", "node", "label", "copied", F.col("d").alias("_d"), measured.alias("_seen")), "seen")
     links = seen.select("node", "label", F.explode("_seen").alias("p")).filter("p.linked AND p.label <> label").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
     rest = seen.filter("NOT exists(_seen, p -> p.node = node)").withColumn("_home", F.array_min(F.transform("_seen", lambda p: F.struct(p["d"].alias("d"), p["node"].alias("node")))))
@@ -493,7 +506,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     some = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1)))
     cut = cut.withColumn("block", F.when(few, 0).when(mine, some("main_parts")).otherwise(F.col("main_parts") + some("other_parts")).cast("int"))
     others = F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.when(mine, F.col("main_parts")).otherwise(0), F.col("main_parts") + F.col("other_parts") - 1))
-    meet = cut.join(sets.select("node", "hashes"), "node").withColumn("other", F.explode(others))
+    meet = cut.join(_held(sets, cut), "node").withColumn("other", F.explode(others))
     meet = meet.select("region", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "label", "copied", "d", "hashes")
     late = meet.groupBy("region", "b1", "b2").applyInArrow(_block_links(percent), "a long, b long")
     return links.unionByName(written(late, "late"))

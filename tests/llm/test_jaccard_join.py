@@ -76,6 +76,37 @@ def test_small_blocks_and_batches(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_tables_too_large_to_broadcast(spark, monkeypatch):
+    for name, value in (("BROADCAST_ROWS", 0), ("MOST_PAGES", 0), ("BLOCK", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = corpus(9, 100)
+    got = jaccard_join.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_only_sets_that_are_needed_move(spark, monkeypatch):
+    """Whole sets move once as they are written, and no set moves to a join that has no use for it."""
+    written, plans = jaccard_join.written, {}
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), written(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert jaccard_join.near_duplicates(docs_of(spark, corpus(1))).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moves = lambda plan: [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+    assert moves(plans["sets"]).count("key") == 2  # the keys that are chosen, and the sets
+    assert not [x for x in moves(plans["spokes"]) if x == "node"]
+    assert "_bits" in plans["late"]
+
+
+def test_held(spark):
+    nodes = [0, 1, 7, 8, 32_767, 32_768, (1 << 33) - 1, 1 << 33, (5 << 33) + 40_000, (5 << 33) + 40_001]
+    sets = spark.createDataFrame([(n, [n]) for n in nodes], "node long, hashes array<long>")
+    for wanted in (nodes[::2], nodes[1::2], nodes, []):
+        got = jaccard_join._held(sets, spark.createDataFrame([(n,) for n in wanted * 2], "node long"))
+        assert sorted((r.node, r.hashes) for r in got.collect()) == [(n, [n]) for n in wanted]
+
+
 def test_keep_one(spark):
     rows = [r for r in corpus(4, 80) if r[0] not in (3, None)]
     kept = jaccard_join.keep_one(docs_of(spark, rows))
