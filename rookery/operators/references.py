@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 from rookery.functions.jsons import embedded
 from rookery.operators.graphs import cut
 
+# generators are outer ones: below others Spark puts a filter that computes what is exploded, here the reading of a page, a second time
+
+
+def _once(value: Column) -> Column:
+    """The value, computed once a row however many filters and columns read it."""
+    return F.explode_outer(F.array(value))
+
+
 _REF = r'"__ref"\s*:\s*"((?:[^"\\]|\\.)*)"'
 
 
 def nodes(pages: DataFrame, id_col: str, html_col: str, element_id: str = "__NEXT_DATA__", path: str = "$.props.pageProps.apolloState.data") -> DataFrame:
     """(page, key, node): a row for each node, `node` as JSON text. Pages without readable data have none; of two nodes with one key the last stays, as JSON has it."""
     data = F.get_json_object(embedded(F.col(html_col), element_id), path)
-    return pages.select(F.col(id_col).alias("page"), F.explode(F.from_json(data, "map<string,string>")).alias("key", "node")).filter("node IS NOT NULL").dropDuplicates(["page", "key"])
+    return pages.select(F.col(id_col).alias("page"), F.explode_outer(F.from_json(data, "map<string,string>")).alias("key", "node")).filter("node IS NOT NULL").dropDuplicates(["page", "key"])
 
 
 def references(node: Column) -> Column:
@@ -53,16 +61,16 @@ def role_pages(pages: DataFrame, id_col: str, html_col: str, base: str = "https:
     """
     own = cut(nodes(pages, id_col, html_col), "nodes")
     talent = F.from_json(F.get_json_object("node", "$.talent"), "map<string,string>")
-    asked = own.filter("key = 'ROOT_QUERY'").select("page", talent.alias("t")).filter("t IS NOT NULL")
+    asked = own.filter("key = 'ROOT_QUERY'").select("page", _once(talent).alias("t")).filter("t IS NOT NULL")
     role = F.exists(F.map_keys("t"), lambda k: k.rlike(r"^seoLandingPageRole(AndLocation|Remote)\b"))
     found = asked.select("page", role.alias("recognised"), F.try_element_at(F.map_values(F.map_filter("t", lambda k, v: k.startswith("seoLandingPageJobSearchResults"))), F.lit(1)).alias("r")).filter("r IS NOT NULL")
     shape = "totalJobCount long, pageCount int, startups array<struct<__ref:string>>"
     read = found.select("page", "recognised", F.from_json("r", shape).alias("r"))
-    firms = read.select("page", F.posexplode("r.startups").alias("i", "s")).select("page", "i", F.col("s.__ref").alias("key")).join(own, ["page", "key"])
-    firm = firms.select("page", "i", F.from_json("node", "name string, highlightedJobListings array<struct<__ref:string>>").alias("f")).filter("f.name <> ''")
-    listed = firm.select("page", "i", F.col("f.name").alias("company"), F.posexplode("f.highlightedJobListings").alias("j", "l")).select("page", "i", "j", "company", F.col("l.__ref").alias("key")).join(own, ["page", "key"])
+    firms = read.select("page", F.posexplode_outer("r.startups").alias("i", "s")).select("page", "i", F.col("s.__ref").alias("key")).join(own, ["page", "key"])
+    firm = firms.select("page", "i", _once(F.from_json("node", "name string, highlightedJobListings array<struct<__ref:string>>")).alias("f")).filter("f.name <> ''")
+    listed = firm.select("page", "i", F.col("f.name").alias("company"), F.posexplode_outer("f.highlightedJobListings").alias("j", "l")).select("page", "i", "j", "company", F.col("l.__ref").alias("key")).join(own, ["page", "key"])
     posting = "id string, title string, slug string, locationNames array<string>, remote boolean, acceptedRemoteLocationNames array<string>, liveStartAt double, description string"
-    p = listed.select("page", "i", "j", "company", F.from_json("node", posting).alias("p")).filter("p.id <> '' AND p.title <> ''")
+    p = listed.select("page", "i", "j", "company", _once(F.from_json("node", posting)).alias("p")).filter("p.id <> '' AND p.title <> ''")
     places = F.filter(F.coalesce("p.locationNames", F.array().cast("array<string>")), lambda x: x != "")
     where = F.when(F.size("p.acceptedRemoteLocationNames") > 0, F.concat(F.lit("Remote ("), F.array_join("p.acceptedRemoteLocationNames", "; "), F.lit(")"))).otherwise("Remote")
     jobs = p.select(

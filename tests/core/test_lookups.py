@@ -124,3 +124,15 @@ def test_role_pages(spark):
     seen, jobs = references.role_pages(pages, "page", "html")
     assert {tuple(r) for r in seen.collect()} == {(1, True, 40, 1), (4, False, 0, 1)}
     assert [(r.page, r.url, r.company, r.location, str(r.posted_at)[:10]) for r in jobs.collect()] == [(1, "https://wellfound.com/jobs/7-t-1", "One", "A / B / Remote", "2026-02-03")] * 2
+
+
+def test_json_of_a_page_is_read_once(spark):
+    """Neither filters below generators nor columns of a reading compute it again."""
+    ref = lambda k: {"__ref": k}
+    state = {"ROOT_QUERY": {"talent": {"seoLandingPageJobSearchResults": {"startups": [ref("s")]}}}, "s": {"name": "S", "highlightedJobListings": [ref("j")]}, "j": {"id": 1, "title": "T"}}
+    pages = spark.createDataFrame([(1, graph(state))], "page long, html string")
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+    assert count(references.nodes(pages, "page", "html")) == 1
+    _, jobs = references.role_pages(pages, "page", "html")
+    assert count(jobs) == 4  # the role's talent, its results, a company, a posting
+    assert [(r.url, r.company) for r in jobs.collect()] == [("https://wellfound.com/jobs/1", "S")]
