@@ -20,11 +20,20 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether what an execution shuffled goes when it ends; else it stays until the driver happens to collect its memory.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table in the shared folder: cuts lineage and survives lost executors."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows as a written table in the shared folder: cuts lineage and survives lost executors. What was shuffled to write it is freed."""
+    spark = df.sparkSession
+    path, before = fresh_folder(spark, name), spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -57,3 +58,42 @@ def test_soft_dedupe_against_a_sequential_fold(spark):
     merged = linkage.merge(linkage.link(postings(spark, folder))).withColumn("c", company_key(linkage.F.col("company"))).withColumn("t", title_key(linkage.F.col("title"))).collect()
     got = {r.ordinal: r.soft_record for r in all_queries()["soft_dedupe"](spark, folder).collect()}
     assert len(got) == len(merged) and got == sequential([(r.ordinal, r.c, r.t, "", r.location) for r in merged])
+
+
+def test_groups_of_several_kinds_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BROADCAST_ROWS", 0)
+    test_soft_links_are_those_of_a_sequential_fold(spark, 2)
+
+
+def test_what_a_cut_shuffled_is_freed(spark):
+    from rookery.operators.graphs import FREED, cut
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    assert cut(spark.range(1_000).repartition(3, "id").groupBy((linkage.F.col("id") % 7).alias("k")).count(), "freed").count() == 7
+    for _ in range(100):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    # the last count shuffles one row of its own
+    assert len({n.split("_")[1] for n in left}) <= 1
+    assert spark.conf.get(FREED) == "false"
+
+
+def test_soft_dedupe_moves_no_urls_titles_and_descriptions(spark, monkeypatch):
+    written, cut = {}, linkage.cut
+    monkeypatch.setattr(linkage, "cut", lambda df, name: written.setdefault(name, cut(df, name)))
+    all_queries()["soft_dedupe"](spark, "/root/testdata/sf0.001")
+    assert set(written["keyed"].columns) == {"record", "ordinal", "location", "company_key", "title_key", "requisition"}
+
+
+def test_names_in_urls(spark):
+    from rookery.functions.urls import AGGREGATOR_NAMES, VENDOR_URLS, _names
+
+    names = [*AGGREGATOR_NAMES, *(domain.rstrip("$").replace("\\", "") for domain, _, _ in VENDOR_URLS.values())]
+    urls = [None, "", ".", "https://x.example.com/a"] + [text for n in names for text in (n, f"https://a.{n.upper()}:80/b", f"https://x.example/?u={n}", n.replace(".", "-"), n[1:], f"{n[:-1]}", n.replace(".", "..", 1), f"\n{n}\n{n}")]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select("url", _names(linkage.F.col("url"), names).alias("said")).collect()
+    assert all(r.said == (None if r.url is None else any(n in r.url.lower() for n in names)) for r in got)
