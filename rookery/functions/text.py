@@ -46,7 +46,7 @@ def company_key(name: Column) -> Column:
     # ASCII has no marks
     folded = F.when(F.octet_length(lower) == F.char_length(lower), lower).otherwise(F.translate(F.regexp_replace(lower, LONE_MARKS, ""), MARKED, PLAIN))
     words = F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(words, rf"\b({GENERIC})\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(words, rf"\b(?:{GENERIC})\b ?", ""))
 
 
 def title_key(title: Column) -> Column:

@@ -55,10 +55,9 @@ def merge(linked: DataFrame, best: tuple[str, ...] = ("url", "title", "company",
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SOURCE_RANK.items() for x in kv)), F.col("source")), F.lit(9))
     told = F.when(F.coalesce("description", F.lit("")) != "", 2).otherwise(0) + F.when(F.col("posted_at").isNotNull(), 1).otherwise(0)
     # one number in the order of preference(): aggregator or not, a rank of one digit, how much is known
-    sign = [F.when(is_aggregator(F.col("url")), 100).otherwise(0) + 10 * rank - told, F.col("ordinal")]
-    led = [f"_p{i}" for i in range(len(sign))]
+    sign, led = F.when(is_aggregator(F.col("url")), 100).otherwise(0) + 10 * rank - told, ["_sign", "ordinal"]
     known = lambda c: F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(*led, c)))[c].alias(c)
-    merged = linked.withColumns(dict(zip(led, sign))).groupBy("record").agg(
+    merged = linked.withColumn("_sign", sign).groupBy("record").agg(
         F.min(F.struct(*led, *best)).alias("_best"), known("description"), known("location"),
         F.min("posted_at").alias("posted_at"), F.max("watchlist").alias("watchlist"), F.array_sort(F.collect_set("source")).alias("merged_from"), F.count(F.lit(1)).alias("copies"), F.min("ordinal").alias("ordinal"),
     )
