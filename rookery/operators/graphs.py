@@ -30,7 +30,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path, before = fresh_folder(spark, name), spark.conf.get(FREED, "false")
     spark.conf.set(FREED, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)
